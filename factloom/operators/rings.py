@@ -165,12 +165,11 @@ def cyclic_groups(edges: DataFrame, group: str = "pop_id", max_rounds: int = 200
     logarithmically many rounds. Each round is checkpointed; reaching the cap
     is an error, never a silent answer.
     """
-    edges = cut_lineage(edges.select(group, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct())
-    cyclic = edges.filter("a = b").select(group).distinct()
-    found = [cut_lineage(cyclic)]
-    live = edges.join(found[0], group, "left_anti") if not found[0].isEmpty() else edges
-    live = cut_lineage(live)
+    live = cut_lineage(edges.select(group, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct())
+    found = [live.filter("a = b").select(group).distinct()]
     for turn in range(max_rounds):
+        # groups with a self-loop are answered; the checkpointed rows make this step cheap to recompute
+        live = live.join(live.filter("a = b").select(group).distinct(), group, "left_anti")
         if live.isEmpty():
             return union(found).distinct()
         heads = live.select(group, F.col("b").alias("n")).groupBy(group, "n").agg(F.count("*").alias("ins"))
@@ -196,10 +195,8 @@ def cyclic_groups(edges: DataFrame, group: str = "pop_id", max_rounds: int = 200
             .select(group, F.coalesce("pa", "a").alias("a"), "b")
             .distinct()
         )
-        step = cut_lineage(renamed)
-        new = cut_lineage(step.filter("a = b").select(group).distinct())
-        found.append(new)
-        live = step if new.isEmpty() else cut_lineage(step.join(new, group, "left_anti"))
+        live = cut_lineage(renamed)
+        found.append(live.filter("a = b").select(group).distinct())
     raise RuntimeError(f"cycle search not finished after {max_rounds} rounds")
 
 

@@ -3,7 +3,7 @@
 import importlib
 
 # The modules that register queries.
-MODULES = ("checks",)
+MODULES = ("checks", "catalog")
 
 
 def load():

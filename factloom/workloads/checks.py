@@ -202,7 +202,7 @@ _check("c23_ring_acyclic", "c23", ("follow",), _cycle_sql("c23", EDGES))
 
 # A part of several ranks: each order refers to a smaller one, so only some groups close a cycle.
 REFERENCES = """(SELECT CAST(o_orderkey % 97 AS VARCHAR) AS pop, o_orderkey AS a,
-  CASE WHEN o_orderkey % 1940 = 97 THEN o_orderkey + 97 * 40 ELSE o_orderkey - 97 END AS b FROM orders WHERE o_orderkey >= 97)"""
+  CASE WHEN o_orderkey % 9701 = 5 THEN o_orderkey + 97 * 40 ELSE o_orderkey - 97 END AS b FROM orders WHERE o_orderkey >= 97)"""
 
 
 @query("c23_cycles_in_long_chains", f"""WITH RECURSIVE e AS (SELECT DISTINCT pop, a, b FROM {REFERENCES}), r AS (SELECT pop, a, b FROM e UNION SELECT r.pop, r.a, e.b FROM r JOIN e ON r.pop = e.pop AND r.b = e.a)
@@ -210,7 +210,7 @@ REFERENCES = """(SELECT CAST(o_orderkey % 97 AS VARCHAR) AS pop, o_orderkey AS a
 def c23_chains(t: Tables):
     edges = t.orders.filter("o_orderkey >= 97").selectExpr(
         "CAST(o_orderkey % 97 AS STRING) AS pop_id", "o_orderkey AS a",
-        "CASE WHEN o_orderkey % 1940 = 97 THEN o_orderkey + 97 * 40 ELSE o_orderkey - 97 END AS b")
+        "CASE WHEN o_orderkey % 9701 = 5 THEN o_orderkey + 97 * 40 ELSE o_orderkey - 97 END AS b")
     return rings.cyclic_groups(edges)
 
 
