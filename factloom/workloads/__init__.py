@@ -3,7 +3,7 @@
 import importlib
 
 # The modules that register queries.
-MODULES = ("checks", "catalog")
+MODULES = ("checks", "catalog", "mapping")
 
 
 def load():
