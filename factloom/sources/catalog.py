@@ -12,7 +12,7 @@ SCHEMAS = {
     "fact_types": "model_id BIGINT, fact_type_id STRING, name STRING, derivation_kind STRING, derivation_rule STRING, derivation_storage STRING, seq BIGINT",
     "roles": "model_id BIGINT, fact_type_id STRING, role_id STRING, pos INT, name STRING, player_id STRING",
     "readings": "model_id BIGINT, fact_type_id STRING, pos INT, template STRING",
-    "constraints": "model_id BIGINT, fact_type_id STRING, ord INT, constraint_id STRING, type STRING, modality STRING, role_ids ARRAY<STRING>, role_ids_2 ARRAY<STRING>, min INT, max INT, ring_type STRING, allowed ARRAY<STRING>, is_preferred BOOLEAN",
+    "constraints": "model_id BIGINT, fact_type_id STRING, ord INT, constraint_id STRING, type STRING, modality STRING, role_ids ARRAY<STRING>, role_ids_2 ARRAY<STRING>, min INT, max INT, ring_type STRING, operator STRING, allowed ARRAY<STRING>, is_preferred BOOLEAN",
     "operands": "model_id BIGINT, fact_type_id STRING, constraint_id STRING, type STRING, operand INT, root STRING, steps ARRAY<STRUCT<entry: STRING, exit: STRING>>, projection ARRAY<INT>",
     "subtype_facts": "model_id BIGINT, subtype_fact_id STRING, subtype_id STRING, supertype_id STRING, provides_identification BOOLEAN, derivation_kind STRING, derivation_rule STRING",
     "objectified": "model_id BIGINT, objectified_id STRING, fact_type_id STRING, object_type_id STRING, seq BIGINT",

@@ -3,7 +3,7 @@
 import importlib
 
 # The modules that register queries.
-MODULES = ("checks", "catalog", "mapping")
+MODULES = ("checks", "catalog", "mapping", "evolution")
 
 
 def load():

@@ -82,7 +82,7 @@ def _constraints_sql() -> str:
     branches = [
         f"""SELECT {BASE} AS model_id, {FT} AS fact_type_id, {o} AS ord, concat({FT}, '_c{o}') AS constraint_id, {kind} AS type,
   CASE WHEN disc = 4 THEN 'deontic' ELSE 'alethic' END AS modality, {roles} AS role_ids, CAST({roles2} AS {{texts}}) AS role_ids_2, CAST({low} AS INT) AS min, CAST({high} AS INT) AS max,
-  CAST({ring} AS {{text}}) AS ring_type, CAST({allowed} AS {{texts}}) AS allowed, {preferred} AS is_preferred FROM l WHERE {condition}"""
+  CAST({ring} AS {{text}}) AS ring_type, CAST(NULL AS {{text}}) AS operator, CAST({allowed} AS {{texts}}) AS allowed, {preferred} AS is_preferred FROM l WHERE {condition}"""
         for o, condition, kind, roles, roles2, low, high, ring, allowed, preferred in _CONSTRAINTS
     ]
     return " UNION ALL ".join(branches)
