@@ -194,7 +194,7 @@ def d05_facts(t: Tables):
 
 def accepted(t: Tables):
     """Every delta whose name has an even length (plus the model's number) is accepted."""
-    return D.deltas(catalog(t), revised(t)).filter("(length(name) + model_id) % 2 = 0").select("model_id", "element_type", "name")
+    return materialize(D.deltas(catalog(t), revised(t)).filter("(length(name) + model_id) % 2 = 0").select("model_id", "element_type", "name"), "accepted")
 
 
 def merged(t: Tables) -> Catalog:
