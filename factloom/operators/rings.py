@@ -166,7 +166,10 @@ def cyclic_groups(edges: DataFrame, group: str = "pop_id", max_rounds: int = 200
     is an error, never a silent answer.
     """
     live = cut_lineage(edges.select(group, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct())
-    found = [live.filter("a = b").select(group).distinct()]
+    # self-loops and two-way pairs answer most cyclic groups before the first round
+    back = live.select(group, F.col("b").alias("a"), F.col("a").alias("b"))
+    found = [cut_lineage(live.join(back, [group, "a", "b"], "left_semi").select(group).distinct())]
+    live = live.join(found[0], group, "left_anti")
     for turn in range(max_rounds):
         # groups with a self-loop are answered; the checkpointed rows make this step cheap to recompute
         live = live.join(live.filter("a = b").select(group).distinct(), group, "left_anti")
