@@ -240,7 +240,7 @@ def relationship_gaps(found: DataFrame, entities: DataFrame, declared: DataFrame
     return pairs.join(declared.select(project, "a", "b").distinct(), [project, "a", "b"], "left_anti")
 
 
-def test_report(tests: DataFrame, models: DataFrame) -> DataFrame:
+def column_test_report(tests: DataFrame, models: DataFrame) -> DataFrame:
     """What column tests say: (model, severity, category, column).
 
     ``tests`` (model, column, column_pos, test, kind), kind being ``builtin`` or

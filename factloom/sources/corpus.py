@@ -20,10 +20,10 @@ def in_directory(path: Column, names: tuple[str, ...]) -> Column:
 
 
 def _read(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
 
 
 def read_sql(spark: SparkSession, path: str, glob: str = "*.sql") -> DataFrame:
