@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factloom.functions.naming import to_pascal
 
 # One token of SQL text - quoted span, comment, delimiter, or anything between.
-TOKEN = r"""(?s)'[^']*(?:'|\z)|"[^"]*(?:"|\z)|--[^\n]*|/\*.*?(?:\*/|\z)|;|[^;'"/-]+|."""
+TOKEN = r"""(?s)'[^']*(?:'|\z)|"[^"]*(?:"|\z)|--[^\n]*|/(?=\*).*?(?:\*/|\z)|;|[^;'"/-]+|."""
 # The patterns that define each kind of evidence.
 JOIN = (r"(?is)(?:LEFT\s+|RIGHT\s+|INNER\s+|OUTER\s+|CROSS\s+|FULL\s+(?:OUTER\s+)?)?JOIN\s+(\w+(?:\.\w+)*)\s+(?:(?:AS\s+)?(\w+)\s+)?ON\s+(.*?)"
         r"(?=(?:\s+(?:LEFT|RIGHT|INNER|OUTER|CROSS|FULL)\s+|\s+JOIN\s+|\s+WHERE\s+|\s+GROUP\s+|\s+ORDER\s+|\s+HAVING\s+|\s+LIMIT\s+|\s+UNION\s+|\)|;|\z))")
@@ -57,8 +57,12 @@ def split_statements(corpus: DataFrame, *keys: str) -> DataFrame:
 
 
 def _matches(text: Column, pattern: str, groups: int) -> Column:
-    """All matches as structs (g0, g1, ...): the whole match and its groups."""
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), g).alias(f"g{g}") for g in range(groups + 1)])
+    """All matches as structs (g0, g1, ...): the whole match and its groups.
+
+    The text is searched once; groups are then read from each short match.
+    """
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.struct(
+        m.alias("g0"), *[F.regexp_extract(m, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)]))
 
 
 def _bare(column: Column) -> Column:
@@ -201,23 +205,24 @@ def constraint_suggestions(found: DataFrame, known: DataFrame, *keys: str) -> Da
     order = F.struct("file_path", "statement", "place").alias("at")
     text = F.col("source_text")
 
-    def offers(df: DataFrame, items: Column) -> DataFrame:
-        return df.select(*keys, order, F.inline(items))
-
     none = F.lit(None).cast("array<string>")
 
     def offer(column: Column, kind: str, values: Column = none) -> Column:
         return F.struct(column.alias("column"), F.lit(kind).alias("type"), values.alias("allowed"))
 
     guarded = F.array_distinct(F.transform(F.concat(F.regexp_extract_all(text, F.lit(IS_NOT_NULL), 1), F.regexp_extract_all(text, F.lit(NOT_IS_NULL), 1)), _bare))
-    rows = [
-        offers(found.filter("kind = 'not_null'"), F.transform("columns", lambda c: offer(c, "mandatory"))),
-        offers(found.filter("kind = 'where'"), F.transform(guarded, lambda c: offer(c, "mandatory"))),
-        offers(found.filter("kind IN ('where', 'check')"), F.transform(_listed(text), lambda x: offer(x["column"], "value_constraint", x["values"]))),
-        offers(found.filter("kind = 'case' AND size(columns) = 1 AND CAST(details['count'] AS INT) >= 2"), F.array(offer(_bare(F.col("columns")[0]), "value_constraint", F.split(F.col("details")["values"], ",")))),
-        offers(found.filter("kind = 'unique' AND size(columns) = 1"), F.array(offer(F.col("columns")[0], "internal_uniqueness"))),
-    ]
-    offered = reduce(lambda a, b: a.unionByName(b), rows)
+    mandatory = F.transform(guarded, lambda c: offer(c, "mandatory"))
+    listed = F.transform(_listed(text), lambda x: offer(x["column"], "value_constraint", x["values"]))
+    several = (F.size("columns") == 1) & (F.coalesce(F.col("details")["count"].try_cast("int"), F.lit(0)) >= 2)
+    branches = F.array(offer(_bare(F.get("columns", F.lit(0))), "value_constraint", F.split(F.col("details")["values"], ",")))
+    single = F.array(offer(F.get("columns", F.lit(0)), "internal_uniqueness"))
+    items = (
+        F.when(F.col("kind") == "not_null", F.transform("columns", lambda c: offer(c, "mandatory")))
+        .when(F.col("kind") == "where", F.concat(mandatory, listed)).when(F.col("kind") == "check", listed)
+        .when((F.col("kind") == "case") & several, branches).when((F.col("kind") == "unique") & (F.size("columns") == 1), single)
+    )
+    # one pass over the patterns; the extraction behind them is not repeated per kind
+    offered = found.select(*keys, order, F.explode(items).alias("o")).select(*keys, "at", "o.*")
     first = offered.groupBy(*keys, "column", "type").agg(F.min_by("allowed", "at").alias("allowed"))
     declared = (
         F.when(F.col("type") == "mandatory", F.col("has_mandatory")).when(F.col("type") == "internal_uniqueness", F.col("has_uniqueness")).otherwise(F.col("has_values"))

@@ -153,7 +153,7 @@ def x09(t: Tables):
 # ---- run statistics -----------------------------------------------------------------------------------------
 
 _RUNS = """SELECT user_id AS suite_id, event_type AS case_id, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS case_index, event_id AS sample,
-  CASE WHEN event_id % 17 <> 0 THEN CASE WHEN value > 500 THEN 1.0E0 ELSE value / 500 END END AS score, event_id % 17 = 0 AS failed, event_id % 23 = 0 AS truncated, CASE WHEN event_id % 19 = 0 THEN 'timeout' END AS error,
+  CASE WHEN event_id % 17 <> 0 THEN CASE WHEN value > 500 THEN 1.0E0 ELSE value / 517.3E0 END END AS score, event_id % 17 = 0 AS failed, event_id % 23 = 0 AS truncated, CASE WHEN event_id % 19 = 0 THEN 'timeout' END AS error,
   CASE WHEN user_id % 3 <> 0 THEN event_id % 1000 END AS prompt_tokens, CASE WHEN user_id % 3 = 1 THEN event_id % 300 END AS completion_tokens, CASE WHEN user_id % 4 = 1 AND event_id % 2 = 0 THEN event_id % 50 END AS cache_read, CAST(NULL AS BIGINT) AS cache_write,
   event_id % 3 AS corrections, event_id % 2 AS errors, event_id % 5 AS warnings FROM events"""
 
