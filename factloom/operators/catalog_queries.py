@@ -223,7 +223,7 @@ def shortest_paths(cat: Catalog, start: str, end: str, max_hops: int = 1000) ->
     frontier = ends.select("model_id", F.col("first").alias("node"), F.array().cast("array<bigint>").alias("place"), no_steps.alias("steps"))
     visited = frontier.select("model_id", "node")
     answers = [ends.filter("first = last").select("model_id", no_steps.alias("steps"))]
-    open_ends = ends.filter("first <> last").select("model_id", "last")
+    wanted = open_ends = ends.filter("first <> last").select("model_id", "last")
     for _ in range(max_hops):
         reach = frontier.join(open_ends.select("model_id"), "model_id", "left_semi").join(step, ["model_id", "node"]).select(
             "model_id", F.col("next").alias("node"),
@@ -237,8 +237,8 @@ def shortest_paths(cat: Catalog, start: str, end: str, max_hops: int = 1000) ->
         visited = visited.union(frontier.select("model_id", "node"))
         hit = frontier.join(open_ends, (F.col("node") == F.col("last")) & (frontier.model_id == open_ends.model_id)).select(frontier.model_id, "steps")
         answers.append(hit)
-        open_ends = open_ends.join(hit.select("model_id"), "model_id", "left_anti")
-        open_ends = cut_lineage(open_ends)
+        # hits come from checkpointed frontiers, so this stays a cheap filter
+        open_ends = wanted.join(reduce(lambda a, b: a.union(b), [a.select("model_id") for a in answers]), "model_id", "left_anti")
     found = reduce(lambda a, b: a.union(b), answers)
     return ends.select("model_id").join(found, "model_id", "left").select(
         "model_id", F.col("steps").isNotNull().alias("found"), F.size(F.coalesce("steps", no_steps)).alias("hops"), F.coalesce("steps", no_steps).alias("steps"))

@@ -3,7 +3,8 @@
 A plain window partitioned by a hot key puts all its rows in a single task. Here
 the order axis is cut into buckets; rows are windowed per (key, bucket), and the
 much smaller bucket summaries (one row per key and bucket) carry state across
-bucket borders. The bucket column must be monotone in the order columns.
+bucket borders. The bucket column must be monotone in the order columns; choose it so
+that a bucket holds up to about a million rows.
 """
 
 from __future__ import annotations
@@ -52,11 +53,18 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], bucket: Column
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int, bucket: Column) -> DataFrame:
-    """The first n rows of each key: cut per (key, bucket) first, so only n rows per bucket meet."""
-    cut = df.withColumn("_b", bucket)
-    cut = cut.withColumn("_p", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))).filter(F.col("_p") <= n)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    return cut.withColumn("_p", F.row_number().over(final)).filter(F.col("_p") <= n).drop("_b", "_p")
+    """The first n rows of each key.
+
+    Rows are cut to n per (key, bucket), then to n per wider and wider groups of
+    buckets (``bucket`` is a whole number), so no task sees more than a few
+    thousand times n rows of a key after the first cut.
+    """
+    cut = df.withColumn("_b", bucket.cast("bigint"))
+    for width in (1, 1 << 12, 1 << 24, None):
+        level = [] if width is None else [F.floor(F.col("_b") / width)]
+        within = Window.partitionBy(*keys, *level).orderBy(*order)
+        cut = cut.withColumn("_p", F.row_number().over(within)).filter(F.col("_p") <= n).drop("_p")
+    return cut.drop("_b")
 
 
 def extreme_rows(df: DataFrame, keys: list[str], order: Column, latest: bool = True) -> DataFrame:

@@ -279,7 +279,7 @@ def t06(t: Tables):
 @query("w03_first_rows", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 5")
 def w03(t: Tables):
     from factloom.operators.sequences import first_rows
-    return first_rows(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 5, F.date_trunc("day", "ts")).select("user_id", "event_id")
+    return first_rows(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 5, F.floor(F.unix_timestamp("ts") / 86400)).select("user_id", "event_id")
 
 
 @query("w02_last_value", "SELECT l_orderkey, max_by(l_partkey, (l_shipdate, l_linenumber, l_partkey, l_suppkey)) AS l_partkey FROM lineitem GROUP BY 1")
