@@ -235,9 +235,10 @@ def shortest_paths(cat: Catalog, start: str, end: str, max_hops: int = 1000) ->
         if frontier.isEmpty():
             break
         visited = visited.union(frontier.select("model_id", "node"))
-        hit = frontier.join(open_ends, (F.col("node") == F.col("last")) & (frontier.model_id == open_ends.model_id)).select(frontier.model_id, "steps")
+        # a model that has its answer has no frontier left, so every meeting with an end is a first one
+        hit = frontier.join(wanted.withColumnRenamed("last", "node"), ["model_id", "node"]).select("model_id", "steps")
         answers.append(hit)
-        # hits come from checkpointed frontiers, so this stays a cheap filter
+        # hits read checkpointed frontiers only, so this stays a cheap filter
         open_ends = wanted.join(reduce(lambda a, b: a.union(b), [a.select("model_id") for a in answers]), "model_id", "left_anti")
     found = reduce(lambda a, b: a.union(b), answers)
     return ends.select("model_id").join(found, "model_id", "left").select(
