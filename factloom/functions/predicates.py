@@ -33,7 +33,7 @@ def is_number(value: Column) -> Column:
 
 def _comparable_natively(left: T.DataType, right: T.DataType) -> bool:
     numeric = isinstance(left, T.NumericType) and isinstance(right, T.NumericType)
-    return numeric or (left == right and isinstance(left, (T.DateType, T.TimestampType)))
+    return numeric or (left == right and isinstance(left, (T.DateType, T.TimestampType, T.TimestampNTZType)))
 
 
 def compare(a: Column, op: str, b: Column, a_type: T.DataType | None = None, b_type: T.DataType | None = None) -> Column:

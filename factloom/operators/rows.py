@@ -4,6 +4,8 @@ each one contributes an array of violation structs, and the arrays are exploded
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,9 +15,21 @@ from factloom.plans.model import Constraint, FactType
 from factloom.plans.violations import record, union
 
 
-def _one(test: Column, fields: list[Column]) -> Column:
-    """A one-element array of the violation when the test holds, else an empty one."""
-    return F.filter(F.array(F.when(test, F.struct(*fields))), lambda v: v.isNotNull())
+class Finding:
+    """What one check adds to a scan: when a row is concerned, and its violations as an array of structs."""
+
+    def __init__(self, test: Column, found: Column | None = None, fields: list[Column] | None = None):
+        self.test, self.found, self.fields = test, found, fields
+
+    def as_array(self) -> Column:
+        if self.found is not None:
+            return self.found
+        return F.filter(F.array(F.when(self.test, F.struct(*self.fields))), lambda v: v.isNotNull())
+
+
+def _one(test: Column, fields: list[Column]) -> Finding:
+    """At most one violation per row."""
+    return Finding(test, fields=fields)
 
 
 def _base(c: Constraint, rule: str, **more) -> list[Column]:
@@ -25,7 +39,7 @@ def _base(c: Constraint, rule: str, **more) -> list[Column]:
     )
 
 
-def _value_constraint(df: DataFrame, c: Constraint) -> Column:
+def _value_constraint(df: DataFrame, c: Constraint) -> Finding:
     role = c.roles[0]
     value = F.col(role)
     bad = value.isNotNull() & ~allowed_value(value, c.values, c.ranges, df.schema[role].dataType)
@@ -33,7 +47,7 @@ def _value_constraint(df: DataFrame, c: Constraint) -> Column:
     return _one(bad, _base(c, "population/value-constraint-violation", subject=[value], message=message))
 
 
-def _value_comparison(df: DataFrame, c: Constraint) -> Column:
+def _value_comparison(df: DataFrame, c: Constraint) -> Finding:
     a, b = c.roles
     holds = compare(F.col(a), c.operator, F.col(b), df.schema[a].dataType, df.schema[b].dataType)
     bad = F.col(a).isNotNull() & F.col(b).isNotNull() & ~holds
@@ -41,36 +55,38 @@ def _value_comparison(df: DataFrame, c: Constraint) -> Column:
     return _one(bad, _base(c, "population/value-comparison-violation", subject=[F.col(a), F.col(b)], message=message))
 
 
-def _exclusion(df: DataFrame, c: Constraint) -> Column:
+def _exclusion(df: DataFrame, c: Constraint) -> Finding:
     """One violation per value that fills more than one of the roles in the same row."""
     cells = F.array(*[F.col(r).cast("string") for r in c.roles])
     repeated = F.filter(
         F.array_distinct(F.array_compact(cells)),
         lambda v: F.size(F.filter(cells, lambda x: x == v)) > 1,
     )
-    return F.transform(
+    found = F.transform(
         repeated,
         lambda v: F.struct(*_base(
             c, "population/exclusion-violation", subject=F.array(v),
             message=F.concat(F.lit("value fills several excluded roles: "), v),
         )),
     )
+    some = reduce(lambda a, b: a | b, [cells[i] == cells[j] for i, j in combinations(range(len(c.roles)), 2)], F.lit(False))
+    return Finding(some, found)
 
 
-def _exclusive_or(df: DataFrame, c: Constraint) -> Column:
+def _exclusive_or(df: DataFrame, c: Constraint) -> Finding:
     filled = sum((F.col(r).isNotNull().cast("int") for r in c.roles), F.lit(0))
     played = F.array_compact(F.array(*[F.when(F.col(r).isNotNull(), F.lit(r)) for r in c.roles]))
     message = F.concat(F.lit("exactly one role must be filled; filled: "), filled.cast("string"))
     return _one(filled != 1, _base(c, "population/exclusive-or-violation", subject=played, message=message))
 
 
-def _irreflexive(df: DataFrame, c: Constraint) -> Column:
+def _irreflexive(df: DataFrame, c: Constraint) -> Finding:
     a, b = c.roles
     return _one(F.col(a) == F.col(b), _base(
         c, "population/ring-violation", subject=[F.col(a), F.col(b)], message="irreflexive: same object in both roles"))
 
 
-def _purely_reflexive(df: DataFrame, c: Constraint) -> Column:
+def _purely_reflexive(df: DataFrame, c: Constraint) -> Finding:
     a, b = c.roles
     return _one(F.col(a) != F.col(b), _base(
         c, "population/ring-violation", subject=[F.col(a), F.col(b)], message="purely reflexive: two different objects"))
@@ -95,7 +111,7 @@ def is_row_local(c: Constraint, fact_type: FactType) -> bool:
     return kind_key(c) in LOCAL_KINDS and bool(c.roles) and all(fact_type.has(r) for r in c.roles)
 
 
-def incomplete(fact_type: FactType, player_names: dict[str, str]) -> Column:
+def incomplete(fact_type: FactType, player_names: dict[str, str]) -> Finding:
     names = [(r.id, player_names.get(r.player, r.id)) for r in fact_type.roles]
     lacking = missing_roles(names)
     fields = record(
@@ -111,11 +127,15 @@ def check_rows(rows: DataFrame, fact_type: FactType, constraints: list[Constrain
 
     ``player_names`` (possibly empty) switches the incomplete-instance check on.
     """
-    arrays = [LOCAL_KINDS[kind_key(c)](rows, c) for c in constraints]
+    findings = [LOCAL_KINDS[kind_key(c)](rows, c) for c in constraints]
     if player_names is not None:
-        arrays.append(incomplete(fact_type, player_names))
-    found = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    return rows.select(F.inline(found))
+        findings.append(incomplete(fact_type, player_names))
+    # only rows that concern some check get violation structs; simple tests reach the scan
+    concerned = rows.filter(reduce(lambda a, b: a | b, [f.test for f in findings]))
+    if len(findings) == 1 and findings[0].fields is not None:
+        return concerned.select(*findings[0].fields)
+    arrays = [f.as_array() for f in findings]
+    return concerned.select(F.inline(arrays[0] if len(arrays) == 1 else F.concat(*arrays)))
 
 
 def check_local(facts: FactSet, constraints: list[Constraint], incomplete_instances: bool = False) -> DataFrame | None:

@@ -80,8 +80,9 @@ class FactSet:
         a following aggregate can combine on the map side."""
         fact_type, _ = self.role(role_ids[0])
         rows = self.rows(fact_type.id, include_samples)
-        picked = rows.select(*[F.col(r).cast("string").alias(n) for r, n in zip(role_ids, names)])
-        return picked.dropna()
+        for r in role_ids:
+            rows = rows.filter(F.col(r).isNotNull())  # on the column itself, so that it reaches the scan
+        return rows.select(*[F.col(r).cast("string").alias(n) for r, n in zip(role_ids, names)])
 
     def role_values(self, role_id: str, include_samples: bool = True) -> DataFrame | None:
         """Values played in a role across all populations, column ``value`` (with repeats)."""
