@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import exact_dedup, mixing, url_rules
+from factloom.llm import exact_dedup, mixing, packing, url_rules
 from factloom.plans.session import tune
 
 QUERIES, ORACLES = {}, {}
@@ -67,3 +67,10 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
 def op7(docs: DataFrame) -> DataFrame:
     return exact_dedup.mark_copies(docs)
+
+
+@query("op8_best_fit", "documents")
+def op8(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
