@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import exact_dedup, mixing, packing, url_rules
+from factloom.llm import exact_dedup, jaccard, language, mixing, neighbours, packing, quality, url_rules, warc
 from factloom.plans.session import tune
 
 QUERIES, ORACLES = {}, {}
 
 
-def query(name: str, table: str, sql: str | None = None):
+def query(name: str, *tables: str, sql: str | None = None):
     def register(build):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(tune(spark).read.parquet(f"{folder}/{table}.parquet"))
+            return build(*[tune(spark).read.parquet(f"{folder}/{table}.parquet") for table in tables])
 
         QUERIES[name] = run
         if sql is not None:
@@ -23,11 +23,31 @@ def query(name: str, table: str, sql: str | None = None):
     return register
 
 
+def _fold(folds: int):
+    """Fold of a document by its id, as the contracts fix it."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
+
+
+@query("op1_jaccard_join", "documents")
+def op1(docs: DataFrame) -> DataFrame:
+    return jaccard.similar_components(docs)
+
+
+@query("op2_nearest_neighbours", "embeddings")
+def op2(vectors: DataFrame) -> DataFrame:
+    return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op3_warc", "pages")
+def op3(pages: DataFrame) -> DataFrame:
+    return warc.archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _RULES_SQL = ", ".join(f"({k}, '{r.name}', '{r.verdict}', '{r.pattern}', {str(r.ordered).lower()})"
                        for k, r in enumerate(url_rules.SITE_RULES + url_rules.PATTERN_RULES))
 
 
-@query("op5_url_rules", "pages", f"""
+@query("op5_url_rules", "pages", sql=f"""
 WITH rules(rule_no, name, verdict, pattern, ordered) AS (VALUES {_RULES_SQL}),
 p AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -41,7 +61,7 @@ def op5(pages: DataFrame) -> DataFrame:
     return judged.select("page_id", *[F.col(f"__{c}").alias(c) for c in ("host", "path", "rule", "verdict", "pattern")])
 
 
-@query("op6_source_mixing", "documents", r"""
+@query("op6_source_mixing", "documents", sql=r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS k, source IS NULL AS o, source,
   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -61,7 +81,7 @@ def op6(docs: DataFrame) -> DataFrame:
     return mixing.plan_mix(docs)
 
 
-@query("op7_exact_dedup", "documents", """
+@query("op7_exact_dedup", "documents", sql="""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   coalesce(doc_id = max(doc_id) OVER g, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
@@ -74,3 +94,17 @@ def op8(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_language", "documents")
+def op9(docs: DataFrame) -> DataFrame:
+    held_out = _fold(3) == 1
+    model = language.train(docs.filter(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+@query("op10_quality", "documents", "labels")
+def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    held_out = _fold(5) == 0
+    scored = quality.score_quality(docs, labels.filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
