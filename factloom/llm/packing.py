@@ -22,7 +22,8 @@ CAPACITY = 1024
 END = 2  # the id that ends each document
 OPEN = 256  # open sequences of a task
 PIECES = 32768  # pieces packed by one task
-KNOWN = 400_000  # chunks whose ids a worker remembers before it starts anew
+MARKS = ".,!?;:"
+KNOWN = 600_000  # chunks whose ids a worker remembers before it starts anew
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # No token of this vocabulary crosses the bounds of these chunks: a run of other characters with one space before it, or white space.
@@ -40,18 +41,23 @@ class Ids:
         self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
         self.known: dict[str, bytes] = {}
         self.newline = self._encode("\n")
+        self.marks = {mark: self._encode(mark) for mark in MARKS}
 
     def _encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Tokenise new chunks in one call, apart by newlines, which stand alone and occur in no dark chunk."""
+        """Tokenise new chunks in one call, apart by newlines, which stand alone and occur in no dark chunk. A mark after a
+        letter is a token of its own, so such chunks are put together from the word and the mark."""
         new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        dark = [c for c in new if not _BLANK.match(c[-1])]
-        for c in new:
-            if _BLANK.match(c[-1]):
-                self.known[c] = self._encode(c)
+        marked = [c for c in new if c[-1] in MARKS and "A" <= c[-2:-1] < "\u0250" and c[-2].isalpha()]
+        light = [c for c in new if _BLANK.match(c[-1])]
+        apart = {*marked, *light}
+        whole = [c for c in new if c not in apart]
+        dark = list(dict.fromkeys([*whole, *(c[:-1] for c in marked if c[:-1] not in self.known)]))
+        for c in light:
+            self.known[c] = self._encode(c)
         ids = self.tokenizer.encode("\n".join(dark), add_special_tokens=False).ids
         (newline,) = struct.unpack("<I", self.newline)
         start = 0
@@ -59,6 +65,8 @@ class Ids:
             end = ids.index(newline, start) if c is not dark[-1] else len(ids)
             self.known[c] = struct.pack(f"<{end - start}I", *ids[start:end])
             start = end + 1
+        for c in marked:
+            self.known[c] = self.known[c[:-1]] + self.marks[c[-1]]
 
     def of(self, text: str) -> bytes:
         chunks = _CHUNK.findall(text)
