@@ -25,7 +25,6 @@ from factloom.plans.session import materialize
 
 COMMON = 64  # a shingle in more prefixes than this is common: it goes later in the order, and its documents into tiles
 MOST_COMMON = 1 << 20  # shingles moved back at most; any choice of them gives the same result
-BACK = (1 << 64) // 10  # how far a common shingle is moved back, in hash values
 TILE = 256
 KNOWN = 400_000  # words whose hashes a worker remembers before it starts anew
 
@@ -73,6 +72,11 @@ class Similarity:
         """How many first shingles of n must be looked at."""
         return n - -(-self.percent * n // 100) + 1
 
+    @property
+    def back(self) -> int:
+        """How far a common shingle is moved back, in hash values: about as far as prefixes reach."""
+        return (1 << 64) // 100 * (100 - self.percent)
+
 
 def bitmap(shingles: np.ndarray) -> bytes:
     """Parity of the shingles by their low bits, in a power of two of bits of at least their number. Each shingle in which two
@@ -133,7 +137,7 @@ def tiles(rows: DataFrame, key: str, size: int = TILE) -> DataFrame:
 
 def sketches(docs: DataFrame, doc_id: str, text: str, like: Similarity) -> DataFrame:
     """A row per row of docs: doc_id, key (doc_id, or a hash of the text), n, two set signatures, bitmap, and the hashes up to
-    BACK beyond the prefix."""
+    `back` beyond the prefix."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, bits, first = [], [], [], [], []
@@ -144,7 +148,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, like: Similarity) -> DataF
                 one.append(xxhash.xxh64_intdigest(raw, 1) - (1 << 63))
                 two.append(xxhash.xxh64_intdigest(raw, 2) - (1 << 63))
                 bits.append(bitmap(s) if len(s) else b"")
-                limit = min(int(s[like.prefix(len(s)) - 1]) + BACK, (1 << 64) - 1) if len(s) else 0
+                limit = min(int(s[like.prefix(len(s)) - 1]) + like.back, (1 << 64) - 1) if len(s) else 0
                 first.append(s[:np.searchsorted(s, np.uint64(limit), "right")].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
@@ -160,7 +164,7 @@ def _key(doc_id: str, text: str):
 
 def prefixes(sets: DataFrame, common: np.ndarray, like: Similarity) -> DataFrame:
     """node, n, group (hash of size and prefix), prefix, which of it is common, and whether any common shingle was moved: the
-    first shingles when common ones stand BACK later. Whatever lies beyond the stored hashes comes later than those."""
+    first shingles when common ones stand `back` later. Whatever lies beyond the stored hashes comes later than those."""
     shared = sets.sparkSession.sparkContext.broadcast(np.sort(common))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +174,7 @@ def prefixes(sets: DataFrame, common: np.ndarray, like: Similarity) -> DataFrame
                 s = first.values.to_numpy().view(np.uint64)
                 at = np.minimum(np.searchsorted(shared.value, s), max(len(shared.value) - 1, 0))
                 is_common = shared.value[at] == s if len(shared.value) else np.zeros(len(s), bool)
-                place = (s >> np.uint64(1)) + is_common.astype(np.uint64) * np.uint64(BACK >> 1)
+                place = (s >> np.uint64(1)) + is_common.astype(np.uint64) * np.uint64(like.back >> 1)
                 chosen = np.lexsort((s, place))[:like.prefix(n)]
                 groups.append(xxhash.xxh64_intdigest(s[chosen].tobytes(), n) - (1 << 63))
                 firsts.append(s[chosen].view(np.int64))
@@ -318,3 +322,10 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .select("n", "s1", "s2", F.coalesce("component_id", "least_id").alias("component_id")), "components")
     return rows.join(of_sets, ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", like: Similarity = Similarity()) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id names their component. Rows without an id stay."""
+    found = similar_components(docs, doc_id, text, like)
+    dropped = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "near-copies")
+    return docs.join(dropped, F.col(doc_id).cast("long") == F.col("__dropped"), "left_anti")

@@ -76,3 +76,26 @@ def plan_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     return placed.select(
         "doc_id", F.when(~F.col("source_null"), F.col("source_key")).alias("source"), "size", "source_size", "target",
         (F.col("whole") * F.col("size") + last).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **plan) -> DataFrame:
+    """The mix itself, with the columns of docs: each row as often as it is taken whole, then cut after the last word taken.
+
+    Options are those of plan_mix. Rows equal in id, source and size share what the plan gives to them evenly. A column
+    n_chars, where there is one, follows the text. Rows of which nothing is taken do not appear."""
+    space = r"\x20\x09-\x0D"
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    keys = {"__id": F.col(doc_id), "__source": F.col(source), "__size": size}
+    shares = plan_mix(docs, doc_id, text, source, **plan).groupBy(
+        F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__n")).agg(
+        F.floor(F.sum("taken") / F.count(F.lit(1))).alias("__taken")).filter("__taken > 0")
+    same = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))
+    taken = docs.withColumns(keys).join(shares, same)
+    whole, rest = F.expr("__taken DIV __n"), F.col("__taken") % F.col("__n")
+    copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + F.when(rest > 0, 1).otherwise(0))))
+    # pieces are words with the white space after them
+    words = F.split(F.regexp_replace(F.col(text), f"^[{space}]+", ""), f"(?<=[{space}])(?=[^{space}])")
+    cut = F.regexp_replace(F.array_join(F.slice(words, 1, rest.cast("int")), ""), f"[{space}]+$", "")
+    mixed = copies.withColumn("__text", F.when(F.col("__copy") <= whole, F.col(text)).otherwise(cut))
+    changed = {text: F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return mixed.withColumns(changed).select(*docs.columns)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from factloom.plans.session import materialize
 
@@ -152,7 +152,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN, tas
     Pieces are dealt round-robin to tasks of about task_pieces, so no key can gather in one; each task packs in the order of
     the checksum, which is as good as random and the same when a lost task runs again. Empty tables give empty results."""
     tasks = max(1, -(-pieces.count() // task_pieces))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, base = BestFit(capacity, most_open), TaskContext.get().partitionId() << 40
