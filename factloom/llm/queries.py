@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import exact_dedup, jaccard, language, mixing, neighbours, packing, quality, url_rules, warc
+from factloom.llm import exact_dedup, jaccard, language, main_text, mixing, neighbours, packing, quality, url_rules, warc
 from factloom.plans.session import tune
 
 QUERIES, ORACLES = {}, {}
@@ -43,6 +43,12 @@ def op3(pages: DataFrame) -> DataFrame:
     return warc.archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op4_main_text", "pages")
+def op4(pages: DataFrame) -> DataFrame:
+    found = main_text.extract(pages.select("page_id", "url", "html"), main_text.trained())
+    return found.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+
+
 _RULES_SQL = ", ".join(f"({k}, '{r.name}', '{r.verdict}', '{r.pattern}', {str(r.ordered).lower()})"
                        for k, r in enumerate(url_rules.SITE_RULES + url_rules.PATTERN_RULES))
 
