@@ -22,6 +22,7 @@ SAMPLE = 20_000  # labelled rows that are learned from, at most
 PAIRS = 300_000  # preference pairs, at most
 RIDGE = 1e-3
 CUT = 0.3  # the score at the quantile of the decision
+WIDTH = 29  # features of a text
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[list(b" \t\r\n.,;:'\"-?()")] = True
@@ -35,7 +36,7 @@ def features(text: str | None) -> list[float]:
     """Shares and lengths that describe the whole text; zeros for null, empty and blank texts."""
     words = (text or "").split()
     if not words:
-        return [0.0] * (2 * 14 + 1)
+        return [0.0] * WIDTH
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     size, n = int(raw.sum()), len(words)
     lines = [x for x in text.split("\n") if x]
@@ -86,7 +87,7 @@ def preference_pairs(good: int, bad: int, most: int = PAIRS) -> tuple[np.ndarray
 
 def learn(x: np.ndarray, label: np.ndarray, rounds: int = 25) -> Ranking:
     """Newton steps on the logistic loss of feature differences. With labels of one kind only, all worths are equal."""
-    width = x.shape[1] if len(x) else 1
+    width = x.shape[1]
     better, worse = preference_pairs(int((label == 1).sum()), int((label == 0).sum()))
     if not len(better):
         return Ranking(np.zeros(width), 20.0 if (label == 1).any() else float(np.log(CUT / (1 - CUT))))
@@ -113,9 +114,10 @@ def train(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label:
     doc_id, `sample` at most. Repeated labels and documents count once; a document may have both labels."""
     marked = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = measured.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "features").dropDuplicates(["doc_id", "label"]).collect()  # `sample` rows at most
+    rows = measured.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "features").dropDuplicates(["doc_id", "label"])
+    rows = rows.collect()  # `sample` rows at most
     rows.sort(key=lambda r: (r.doc_id, r.label))
-    x = np.array([r.features for r in rows]) if rows else np.empty((0, 1))
+    x = np.array([r.features for r in rows]) if rows else np.empty((0, WIDTH))
     return learn(x, np.array([r.label for r in rows]))
 
 
