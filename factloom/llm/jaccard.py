@@ -25,7 +25,8 @@ from factloom.plans.session import materialize
 
 COMMON = 64  # a shingle in more prefixes than this is common: it goes later in the order, and its documents into tiles
 MOST_COMMON = 1 << 20  # shingles moved back at most; any choice of them gives the same result
-TILE = 256
+MAP_TILE = 1024  # documents of a tile when bitmaps are compared, a few hundred bytes each
+TEXT_TILE = 256  # and when whole texts are
 KNOWN = 400_000  # words whose hashes a worker remembers before it starts anew
 
 _A, _B, _C = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -120,7 +121,7 @@ def _as_pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=_pairs_schema())
 
 
-def tiles(rows: DataFrame, key: str, size: int = TILE) -> DataFrame:
+def tiles(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Rows of each key dealt to cells of at most about two tiles, so that any two rows of a key meet in a cell.
 
     A key of up to two tiles is one cell; larger ones are split by a hash of node, and each row goes to one cell per tile."""
@@ -211,7 +212,7 @@ def presumed_in_tiles(rows: DataFrame, like: Similarity) -> DataFrame:
                         links.join(k, k + 1 + other)
             yield _as_pairs([(int(nodes[a]), int(nodes[b])) for a, b in links.made])
 
-    return by_cell(tiles(rows, "key"), "node", "n", "bitmap").mapInArrow(compare, "x long, y long")
+    return by_cell(tiles(rows, "key", MAP_TILE), "node", "n", "bitmap").mapInArrow(compare, "x long, y long")
 
 
 def presumed_pairs(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
@@ -255,7 +256,7 @@ def verified_links(texts: DataFrame, like: Similarity) -> DataFrame:
                         links.join(k, other)
             yield _as_pairs([(int(nodes[a]), int(nodes[b])) for a, b in links.made])
 
-    return by_cell(tiles(texts, "key"), "node", "text").mapInArrow(compare, "x long, y long")
+    return by_cell(tiles(texts, "key", TEXT_TILE), "node", "text").mapInArrow(compare, "x long, y long")
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", like: Similarity = Similarity(), common: int = COMMON) -> DataFrame:
