@@ -190,7 +190,7 @@ def isolated_object_types(cat: Catalog) -> DataFrame:
     return _found(alone, "completeness/isolated-object-type", "info", "object_type_id", message="plays no role")
 
 
-def preferred_identifiers(cat: Catalog, max_rounds: int = 1000) -> DataFrame:
+def preferred_identifiers(cat: Catalog) -> DataFrame:
     """Entity types without a preferred identifier, own or inherited along identifying subtype links, or with several."""
     preferred = cat.constraints.filter("type = 'internal_uniqueness' AND is_preferred").groupBy(*KEY).agg(F.count("*").alias("n"))
     played = cat.roles.select(*KEY, F.col("player_id").alias("object_type_id")).distinct()
@@ -201,14 +201,10 @@ def preferred_identifiers(cat: Catalog, max_rounds: int = 1000) -> DataFrame:
     links = cat.subtype_facts.filter("provides_identification").select(
         "model_id", F.col("supertype_id").alias("object_type_id"), F.col("subtype_id").alias("next")).distinct()
     known = frontier = cut_lineage(counted.filter("n > 0").select("model_id", "object_type_id"))
-    for _ in range(max_rounds):
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():
         spread = frontier.join(links, ["model_id", "object_type_id"]).select("model_id", F.col("next").alias("object_type_id")).distinct()
         frontier = cut_lineage(spread.join(known, ["model_id", "object_type_id"], "left_anti"))
         known = known.union(frontier)
-    else:
-        raise RuntimeError(f"identification not settled after {max_rounds} rounds")
     return _union(
         _found(counted.filter("n IS NULL").join(known, ["model_id", "object_type_id"], "left_anti"), "completeness/missing-preferred-identifier", "info", "object_type_id", message="no preferred identifier"),
         _found(counted.filter("n > 1"), "completeness/multiple-preferred-identifiers", "warning", "object_type_id", [F.col("n")], "several preferred identifiers"),

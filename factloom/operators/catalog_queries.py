@@ -110,39 +110,38 @@ def _subtype_pairs(cat: Catalog, down: bool) -> DataFrame:
     return cat.subtype_facts.select("model_id", F.col(near).alias("entity_id"), F.col(far).alias("object_type_id")).distinct()
 
 
-def _hierarchy(cat: Catalog, name: str | None, transitive: bool, down: bool, max_rounds: int) -> DataFrame:
+def _hierarchy(cat: Catalog, name: str | None, transitive: bool, down: bool) -> DataFrame:
     pairs = _subtype_pairs(cat, down)
     reached = pairs.join(find_object(cat, name).select("model_id", "entity_id"), ["model_id", "entity_id"], "left_semi")
     if transitive:
-        reached = closure(pairs, reached, max_rounds).filter("entity_id <> object_type_id")
+        reached = closure(pairs, reached).filter("entity_id <> object_type_id")
     return reached.join(cat.object_types.select("model_id", "object_type_id", "name"), ["model_id", "object_type_id"]).select(
         "model_id", "entity_id", "object_type_id", "name")
 
 
-def closure(pairs: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(pairs: DataFrame, start: DataFrame) -> DataFrame:
     """All (model_id, entity_id, object_type_id) reached from ``start`` along ``pairs``.
 
     Frontier by frontier: each round joins only the newest pairs and drops those
-    already known; a round's result is checkpointed, so plans do not grow.
+    already known, so the rounds end by themselves; each is checkpointed, so plans
+    do not grow.
     """
     columns = ["model_id", "entity_id", "object_type_id"]
     step = pairs.select("model_id", F.col("entity_id").alias("object_type_id"), F.col("object_type_id").alias("next"))
     known = frontier = cut_lineage(start.select(*columns).distinct())
-    for _ in range(max_rounds):
-        if frontier.isEmpty():
-            return known
+    while not frontier.isEmpty():
         grown = frontier.join(step, ["model_id", "object_type_id"]).select("model_id", "entity_id", F.col("next").alias("object_type_id")).distinct()
         frontier = cut_lineage(grown.join(known, columns, "left_anti"))
         known = known.union(frontier)
-    raise RuntimeError(f"closure not finished after {max_rounds} rounds")
+    return known
 
 
-def subtypes_of(cat: Catalog, name: str | None = None, transitive: bool = False, max_rounds: int = 1000) -> DataFrame:
-    return _hierarchy(cat, name, transitive, True, max_rounds)
+def subtypes_of(cat: Catalog, name: str | None = None, transitive: bool = False) -> DataFrame:
+    return _hierarchy(cat, name, transitive, True)
 
 
-def supertypes_of(cat: Catalog, name: str | None = None, transitive: bool = False, max_rounds: int = 1000) -> DataFrame:
-    return _hierarchy(cat, name, transitive, False, max_rounds)
+def supertypes_of(cat: Catalog, name: str | None = None, transitive: bool = False) -> DataFrame:
+    return _hierarchy(cat, name, transitive, False)
 
 
 def _sections(*parts: tuple[str, DataFrame, Column, Column]) -> DataFrame:
@@ -208,12 +207,13 @@ def hops(cat: Catalog) -> DataFrame:
     return a.join(b, KEY).filter("entry <> exit AND node <> next")
 
 
-def shortest_paths(cat: Catalog, start: str, end: str, max_hops: int = 1000) -> DataFrame:
+def shortest_paths(cat: Catalog, start: str, end: str) -> DataFrame:
     """Per model, the first shortest path between two entities (model_id, found, hops, steps).
 
     Breadth first for all models together. Among equally short paths the one
     found first by fact type order wins, decided by comparing the positions along
-    the path. Models leave the search as soon as their end is reached.
+    the path. Models leave the search as soon as their end is reached; visited
+    objects are not entered again, so the search ends by itself.
     """
     ends = find_object(cat, start).select("model_id", F.col("entity_id").alias("first")).join(
         find_object(cat, end).select("model_id", F.col("entity_id").alias("last")), "model_id")
@@ -224,7 +224,7 @@ def shortest_paths(cat: Catalog, start: str, end: str, max_hops: int = 1000) ->
     visited = frontier.select("model_id", "node")
     answers = [ends.filter("first = last").select("model_id", no_steps.alias("steps"))]
     wanted = open_ends = ends.filter("first <> last").select("model_id", "last")
-    for _ in range(max_hops):
+    while True:
         reach = frontier.join(open_ends.select("model_id"), "model_id", "left_semi").join(step, ["model_id", "node"]).select(
             "model_id", F.col("next").alias("node"),
             F.concat("place", F.array("seq", F.col("entry").cast("bigint"), F.col("exit").cast("bigint"))).alias("place"),
@@ -344,16 +344,15 @@ def describe(cat: Catalog, focus: str | None = None, populations: bool = True) -
 
 def key_entities(cat: Catalog, n: int = 10) -> DataFrame:
     """The first n object types of each model plus how many more there are (model_id, name, definition, more)."""
-    first = first_rows(cat.object_types.select("model_id", "name", "definition", "seq"), ["model_id"], ["seq"], n, F.floor(F.col("seq") / 4096))
+    first = first_rows(cat.object_types.select("model_id", "name", "definition", "seq"), ["model_id"], ["seq"], n)
     counts = cat.object_types.groupBy("model_id").agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
     return first.join(counts, "model_id").drop("seq")
 
 
-def summarize_populations(rows: DataFrame, columns: list[str], n: int = 5, bucket: Column | None = None) -> DataFrame:
+def summarize_populations(rows: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
     """Instance count and first n instances of each population, the instances as one text each, in order."""
-    bucket = F.lit(0) if bucket is None else bucket
     text = F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), ",")
-    first = first_rows(rows.select("pop_id", "ord", text.alias("t")), ["pop_id"], ["ord"], n, bucket)
+    first = first_rows(rows.select("pop_id", "ord", text.alias("t")), ["pop_id"], ["ord"], n)
     shown = first.groupBy("pop_id").agg(F.array_sort(F.collect_list(F.struct("ord", "t"))).alias("xs"))
     counts = rows.groupBy("pop_id").agg(F.count("*").alias("instances"))
     return counts.join(shown, "pop_id").select("pop_id", "instances", F.array_join("xs.t", ";").alias("first_rows"))

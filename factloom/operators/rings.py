@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import itertools
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from factloom.operators.rows import check_rows
 from factloom.plans.factset import FactSet
@@ -154,33 +157,70 @@ def missing_steps(facts: FactSet, c: Constraint, chosen: DataFrame) -> DataFrame
     return steps.join(edges.select("pop_id", "a", F.col("b").alias("c")), ["pop_id", "a", "c"], "left_anti").select("pop_id", "a", "b", "c")
 
 
-def cyclic_groups(edges: DataFrame, group: str = "pop_id", max_rounds: int = 200) -> DataFrame:
+SMALL = 100_000  # edges of a group that one task may search by itself
+
+
+def _search(edges: pd.DataFrame) -> bool:
+    """Whether the pairs form a cycle: objects without a predecessor are taken away until none is left to take."""
+    after, waiting = {}, {}
+    for a, b in zip(edges["a"], edges["b"]):
+        after.setdefault(a, []).append(b)
+        waiting[b] = waiting.get(b, 0) + 1
+    free = [a for a in after if a not in waiting]
+    while free:
+        for b in after.pop(free.pop(), ()):
+            waiting[b] -= 1
+            if not waiting[b]:
+                free.append(b)
+    return bool(after)
+
+
+def _small_cyclic(edges: DataFrame, group: str) -> DataFrame:
+    field = edges.schema[group]
+    return edges.groupBy(group).applyInPandas(
+        lambda pdf: pdf[[group]].head(1) if _search(pdf) else pdf[[group]].head(0), T.StructType([field]))
+
+
+def cyclic_groups(edges: DataFrame, group: str = "pop_id", small: int = SMALL) -> DataFrame:
     """Groups whose directed graph (group, a, b) has a cycle; one row per group.
 
-    Each round (1) sets aside groups that show a self-loop, (2) drops edges that
-    leave a source or enter a sink, neither of which lies on a cycle, and
-    (3) shortens chains: an object with a single predecessor is merged into it
-    when a per-round coin says so, which keeps every cycle (it must pass that
-    predecessor) and ends as a self-loop. Chains of any length vanish in
-    logarithmically many rounds. Each round is checkpointed; reaching the cap
-    is an error, never a silent answer.
+    Pairs with a null end are no edges. Groups of up to ``small`` edges are searched
+    in one task each; larger ones by rounds over all tasks. Each round (1) sets
+    aside groups that show a self-loop, (2) drops edges that leave a source or enter
+    a sink, neither of which lies on a cycle; a group that loses none has a
+    predecessor for every object and so a cycle; and (3) shortens chains: an object
+    with a single predecessor is merged into it when a per-round coin says so, which
+    keeps every cycle (it must pass that predecessor) and ends as a self-loop.
+    Chains of any length vanish in logarithmically many rounds. A group that is not
+    answered loses edges in every round, so the rounds end by themselves; each is
+    checkpointed.
     """
-    live = cut_lineage(edges.select(group, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct())
+    live = cut_lineage(edges.select(group, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).dropna(subset=["a", "b"]).distinct())
+    sizes = cut_lineage(live.groupBy(group).agg(F.count("*").alias("edges")).filter(F.col("edges") > small).select(group))
+    answered = _small_cyclic(live.join(sizes, group, "left_anti"), group)
+    if sizes.isEmpty():
+        return answered
+    live = live.join(sizes, group, "left_semi")
     # self-loops and two-way pairs answer most cyclic groups before the first round
     back = live.select(group, F.col("b").alias("a"), F.col("a").alias("b"))
     found = [cut_lineage(live.join(back, [group, "a", "b"], "left_semi").select(group).distinct())]
     live = live.join(found[0], group, "left_anti")
-    for turn in range(max_rounds):
+    for turn in itertools.count():
         # groups with a self-loop are answered; the checkpointed rows make this step cheap to recompute
         live = live.join(live.filter("a = b").select(group).distinct(), group, "left_anti")
         if live.isEmpty():
-            return union(found).distinct()
+            return union([answered, *found]).distinct()
         heads = live.select(group, F.col("b").alias("n")).groupBy(group, "n").agg(F.count("*").alias("ins"))
         tails = live.select(group, F.col("a").alias("n")).distinct()
         trimmed = (
             live.join(heads.select(group, F.col("n").alias("a")), [group, "a"], "left_semi")
             .join(tails.select(group, F.col("n").alias("b")), [group, "b"], "left_semi")
         )
+        trimmed = cut_lineage(trimmed)
+        edges_of = lambda df: df.groupBy(group).agg(F.count("*").alias("edges"))
+        stuck = cut_lineage(edges_of(live).join(edges_of(trimmed), [group, "edges"]).select(group))
+        found.append(stuck)
+        trimmed = trimmed.join(stuck, group, "left_anti")
 
         def coin(node: str) -> Column:
             return F.pmod(F.xxhash64(F.col(node), F.lit(turn)), F.lit(2))
@@ -200,7 +240,6 @@ def cyclic_groups(edges: DataFrame, group: str = "pop_id", max_rounds: int = 200
         )
         live = cut_lineage(renamed)
         found.append(live.filter("a = b").select(group).distinct())
-    raise RuntimeError(f"cycle search not finished after {max_rounds} rounds")
 
 
 def check_acyclic(facts: FactSet, c: Constraint) -> DataFrame:

@@ -52,19 +52,10 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], bucket: Column
         *[F.col(f"l.{c}") for c in df.columns], (F.col("_p") + F.col("_o")).alias(alias))
 
 
-def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int, bucket: Column) -> DataFrame:
-    """The first n rows of each key.
-
-    Rows are cut to n per (key, bucket), then to n per wider and wider groups of
-    buckets (``bucket`` is a whole number), so no task sees more than a few
-    thousand times n rows of a key after the first cut.
-    """
-    cut = df.withColumn("_b", bucket.cast("bigint"))
-    for width in (1, 1 << 12, 1 << 24, None):
-        level = [] if width is None else [F.floor(F.col("_b") / width)]
-        within = Window.partitionBy(*keys, *level).orderBy(*order)
-        cut = cut.withColumn("_p", F.row_number().over(within)).filter(F.col("_p") <= n).drop("_p")
-    return cut.drop("_b")
+def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each key. Every task cuts its own rows to n per key before they are shuffled."""
+    within = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_p", F.row_number().over(within)).filter(F.col("_p") <= n).drop("_p")
 
 
 def extreme_rows(df: DataFrame, keys: list[str], order: Column, latest: bool = True) -> DataFrame:

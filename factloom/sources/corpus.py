@@ -32,11 +32,10 @@ def read_sql(spark: SparkSession, path: str, glob: str = "*.sql") -> DataFrame:
     return files.withColumnRenamed("content", "sql")
 
 
-def read_source(spark: SparkSession, path: str, extensions: tuple[str, ...], excludes: tuple[str, ...] = (), max_files: int | None = None) -> DataFrame:
+def read_source(spark: SparkSession, path: str, extensions: tuple[str, ...], excludes: tuple[str, ...] = ()) -> DataFrame:
     """(file_path, content) of source files by extension.
 
-    ``excludes`` are path parts to leave out (declaration files always are);
-    ``max_files`` is the reader's own limit, taken in path order.
+    ``excludes`` are path parts to leave out (declaration files always are).
     """
     ending = F.lit(False)
     for extension in extensions:
@@ -45,4 +44,4 @@ def read_source(spark: SparkSession, path: str, extensions: tuple[str, ...], exc
     kept = _read(spark, path, None).filter(ending & ~F.endswith(p, F.lit(".d.ts")) & ~in_directory(p, SOURCE_SKIPPED))
     for part in excludes:
         kept = kept.filter(~F.contains(p, F.lit(part)))
-    return kept if max_files is None else kept.orderBy("file_path").limit(max_files)
+    return kept

@@ -268,7 +268,7 @@ def t04(t: Tables):
 @query("a19_population_summary", """SELECT source AS pop_id, count(*) AS instances, string_agg(doc_id || ',' || lang, ';' ORDER BY doc_id) FILTER (rn <= 5) AS first_rows
   FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) GROUP BY 1""")
 def a19(t: Tables):
-    return Q.summarize_populations(facts(t, "document").rows("document"), ["dc_doc", "dc_lang"], bucket=F.floor(F.col("ord") / 4096))
+    return Q.summarize_populations(facts(t, "document").rows("document"), ["dc_doc", "dc_lang"])
 
 
 @query("p07_guided_types", "SELECT event_id, event_type AS name, CASE WHEN event_id % 5 = 0 THEN 'enum' ELSE 'class' END AS kind FROM events WHERE event_id % 5 = 0 OR lower(event_type) IN ('click', 'view')")
@@ -287,7 +287,12 @@ def _row(rule: str, severity: str, element: str, subject: str, body: str) -> str
     return f"SELECT model_id, '{rule}' AS rule_id, '{severity}' AS severity, CAST({element} AS VARCHAR) AS element_id, CAST({subject} AS VARCHAR) AS subject {body}"
 
 
+LINT: dict[str, tuple[str, tuple[str, ...]]] = {}  # what each rule finds in any catalog: SELECT and the CTEs before it
+
+
 def _lint(name: str, rule, *selects: str, ctes: tuple[str, ...] = ()):
+    LINT[name] = (" UNION ALL ".join(selects), ctes)
+
     @_query(name, " UNION ALL ".join(selects), *ctes)
     def build(t: Tables):
         return _flat(rule(catalog(t)))

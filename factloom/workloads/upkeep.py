@@ -43,8 +43,8 @@ _K = (f"ce AS (SELECT * FROM ({_CELLS}) WHERE (model_id, pop_id) IN (SELECT (mod
       "em AS (SELECT * FROM populations WHERE (model_id, pop_id) NOT IN (SELECT (model_id, pop_id) FROM ce))",
       "orph AS (SELECT p.* FROM populations p WHERE (model_id, pop_id) IN (SELECT (model_id, pop_id) FROM ce) AND (model_id, fact_type_id) NOT IN (SELECT (model_id, fact_type_id) FROM fact_types))",
       "snd AS (SELECT p.* FROM populations p WHERE (model_id, pop_id) IN (SELECT (model_id, pop_id) FROM ce) AND (model_id, fact_type_id) IN (SELECT (model_id, fact_type_id) FROM fact_types))",
-      """vl AS (SELECT s.* FROM snd s WHERE EXISTS (SELECT 1 FROM roles r JOIN object_types o ON o.model_id = r.model_id AND o.object_type_id = r.player_id AND len(o.allowed) > 0 WHERE r.model_id = s.model_id AND r.fact_type_id = s.fact_type_id
-        AND (SELECT bool_and(list_contains(o.allowed, ce.value)) FROM ce WHERE ce.model_id = s.model_id AND ce.pop_id = s.pop_id AND ce.role_id = r.role_id)))""",
+      """vl AS (SELECT * FROM snd WHERE (model_id, pop_id, fact_type_id) IN (SELECT (ce.model_id, ce.pop_id, r.fact_type_id) FROM ce JOIN roles r ON r.model_id = ce.model_id AND r.role_id = ce.role_id
+        JOIN object_types o ON o.model_id = r.model_id AND o.object_type_id = r.player_id AND len(o.allowed) > 0 GROUP BY ce.model_id, ce.pop_id, r.fact_type_id, r.role_id, o.object_type_id, o.allowed HAVING bool_and(list_contains(o.allowed, ce.value))))""",
       ARITY,
       "ok AS (SELECT * FROM snd WHERE (model_id, pop_id) NOT IN (SELECT (model_id, pop_id) FROM vl))",
       "inc AS (SELECT ce.model_id, ce.pop_id, ce.inst_id, ok.fact_type_id FROM ce JOIN ok USING (model_id, pop_id) JOIN ar ON ar.model_id = ok.model_id AND ar.fact_type_id = ok.fact_type_id LEFT JOIN roles r ON r.model_id = ce.model_id AND r.fact_type_id = ok.fact_type_id AND r.role_id = ce.role_id GROUP BY ALL, arity HAVING count(DISTINCT r.role_id) < any_value(arity))".replace("GROUP BY ALL, arity", "GROUP BY ce.model_id, ce.pop_id, ce.inst_id, ok.fact_type_id"),
@@ -54,11 +54,14 @@ _K = (f"ce AS (SELECT * FROM ({_CELLS}) WHERE (model_id, pop_id) IN (SELECT (mod
       "cl AS (SELECT ce.*, ok.fact_type_id FROM ce JOIN ok USING (model_id, pop_id) WHERE (ce.model_id, ce.pop_id, ce.inst_id) NOT IN (SELECT (model_id, pop_id, inst_id) FROM inc))",
       """ent AS (SELECT DISTINCT cl.model_id, i.fact_type_id, i.entity_id, cl.value FROM cl JOIN roles r ON r.model_id = cl.model_id AND r.fact_type_id = cl.fact_type_id AND r.role_id = cl.role_id JOIN idf i ON i.model_id = r.model_id AND i.entity_id = r.player_id AND i.first
         WHERE (cl.model_id, i.fact_type_id, cl.value) NOT IN (SELECT (model_id, fact_type_id, value) FROM cl))""",
-      "cc AS (SELECT * FROM constraints UNION ALL SELECT * REPLACE (ord + 20 AS ord) FROM constraints WHERE length(constraint_id) % 2 = 0)",
-      """cj AS (SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest(c.role_ids) AS rid) u WHERE NOT EXISTS (SELECT 1 FROM roles r WHERE r.model_id = c.model_id AND r.role_id = u.rid)) THEN 'invalid_role_player'
+      "cc AS (SELECT *, row_number() OVER () AS rid FROM (SELECT * FROM constraints UNION ALL SELECT * REPLACE (ord + 20 AS ord) FROM constraints WHERE length(constraint_id) % 2 = 0))",
+      "cr AS (SELECT rid, model_id, fact_type_id, type, unnest(role_ids) AS role_id FROM cc)",
+      "cu AS (SELECT DISTINCT rid FROM cr LEFT JOIN (SELECT DISTINCT model_id, role_id, TRUE AS known FROM roles) USING (model_id, role_id) WHERE known IS NULL)",
+      "cp AS (SELECT rid, count(DISTINCT player_id) AS players FROM cr JOIN roles USING (model_id, fact_type_id, role_id) WHERE type = 'ring' GROUP BY 1)",
+      """cj AS (SELECT c.*, CASE WHEN cu.rid IS NOT NULL THEN 'invalid_role_player'
         WHEN NOT CASE WHEN type = 'ring' THEN len(role_ids) = 2 WHEN type IN ('frequency', 'mandatory') THEN len(role_ids) = 1 WHEN type IN ('disjunctive_mandatory', 'exclusion', 'exclusive_or') THEN len(role_ids) >= 2 ELSE len(role_ids) >= 1 END THEN 'arity_mismatch'
         WHEN type = 'frequency' AND (min < 1 OR max < min) THEN 'invalid_bounds'
-        WHEN type = 'ring' AND (SELECT count(DISTINCT player_id) FROM roles r WHERE r.model_id = c.model_id AND r.fact_type_id = c.fact_type_id AND list_contains(c.role_ids, r.role_id)) = 2 THEN 'ring_different_players' END AS fault FROM cc c)""",
+        WHEN type = 'ring' AND players = 2 THEN 'ring_different_players' END AS fault FROM cc c LEFT JOIN cu USING (rid) LEFT JOIN cp USING (rid))""",
       "cs AS (SELECT *, is_preferred AND (model_id, fact_type_id) NOT IN (SELECT (model_id, fact_type_id) FROM idf) AS misplaced, row_number() OVER (PARTITION BY model_id, fact_type_id, type, list_sort(role_ids) ORDER BY ord) AS rn FROM cj WHERE fault IS NULL)",
       """lg AS (SELECT model_id, 'empty_population' AS category, fact_type_id AS element FROM em UNION ALL SELECT model_id, 'orphaned_population', fact_type_id FROM orph UNION ALL SELECT model_id, 'duplicate_value_constraint_population', fact_type_id FROM vl
         UNION ALL SELECT model_id, 'incomplete_instance', fact_type_id FROM inc UNION ALL SELECT model_id, 'missing_identifier_population', fact_type_id FROM ent UNION ALL SELECT model_id, fault, fact_type_id FROM cj WHERE fault IS NOT NULL
@@ -66,6 +69,9 @@ _K = (f"ce AS (SELECT * FROM ({_CELLS}) WHERE (model_id, pop_id) IN (SELECT (mod
         UNION ALL SELECT model_id, 'orphaned_reference_mode', object_type_id FROM object_types WHERE kind = 'entity' AND reference_mode <> '' AND (model_id, object_type_id) NOT IN (SELECT (model_id, entity_id) FROM idf))""")
 
 
+_K = tuple(part.replace(" AS (", " AS MATERIALIZED (", 1) for part in _K)
+
+
 def _clean(name: str, select: str):
     return query(name, with_catalog(select, *_K))
 
@@ -106,7 +112,8 @@ def k06(t: Tables):
     return K.clean_constraints(doubled(t)).kept.select("model_id", "fact_type_id", "ord", "type", "is_preferred")
 
 
-@_clean("k07_orphaned_reference_modes", "SELECT model_id, element AS entity_id FROM lg WHERE category = 'orphaned_reference_mode'")
+@_clean("k07_orphaned_reference_modes", """SELECT model_id, object_type_id AS entity_id FROM object_types WHERE kind = 'entity' AND reference_mode <> ''
+  AND (model_id, object_type_id) NOT IN (SELECT (model_id, entity_id) FROM idf)""")
 def k07(t: Tables):
     return K.orphaned_reference_modes(catalog(t))
 
@@ -253,9 +260,9 @@ def f11(t: Tables):
 
 
 @_clean("a18_correction_summary", """SELECT b.model_id AS run_id, b.object_types, l.category, l.n, coalesce(x.n, 0) AS corrections FROM (SELECT model_id, count(*) AS object_types FROM object_types GROUP BY 1) b
-  LEFT JOIN (SELECT model_id, category, count(*) AS n FROM lg WHERE category LIKE '%population' GROUP BY ALL) l USING (model_id) LEFT JOIN (SELECT model_id, count(*) AS n FROM lg WHERE category LIKE '%population' GROUP BY ALL) x USING (model_id)""")
+  LEFT JOIN (SELECT model_id, category, count(*) AS n FROM lg GROUP BY ALL) l USING (model_id) LEFT JOIN (SELECT model_id, count(*) AS n FROM lg GROUP BY ALL) x USING (model_id)""")
 def a18(t: Tables):
-    log = K.correction_log(doubled(t), cells(t)).filter("category LIKE '%population'").select(F.col("model_id").alias("run_id"), "category")
+    log = K.correction_log(doubled(t), cells(t)).select(F.col("model_id").alias("run_id"), "category")
     builds = catalog(t).object_types.groupBy(F.col("model_id").alias("run_id")).agg(F.count("*").alias("object_types"))
     return A.correction_summary(materialize(log, "corrections"), builds)
 
@@ -279,7 +286,7 @@ def t06(t: Tables):
 @query("w03_first_rows", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= 5")
 def w03(t: Tables):
     from factloom.operators.sequences import first_rows
-    return first_rows(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 5, F.floor(F.unix_timestamp("ts") / 86400)).select("user_id", "event_id")
+    return first_rows(t.events.select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 5).select("user_id", "event_id")
 
 
 @query("w02_last_value", "SELECT l_orderkey, max_by(l_partkey, (l_shipdate, l_linenumber, l_partkey, l_suppkey)) AS l_partkey FROM lineitem GROUP BY 1")

@@ -26,7 +26,7 @@ def test_bucketed_windows_equal_plain_windows(spark):
         (S.next_value(df, ["k"], ["o"], bucket, "v", "x"), df.withColumn("x", F.lead("v").over(w))),
         (S.previous_value(df, ["k"], ["o"], bucket, "v", "x"), df.withColumn("x", F.lag("v").over(w))),
         (S.number_rows(df, ["k"], ["o"], bucket, "x"), df.withColumn("x", F.row_number().over(w).cast("bigint"))),
-        (S.first_rows(df, ["k"], ["o"], 3, bucket), df.withColumn("x", F.row_number().over(w)).filter("x <= 3").drop("x")),
+        (S.first_rows(df, ["k"], ["o"], 3), df.withColumn("x", F.row_number().over(w)).filter("x <= 3").drop("x")),
     ):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
