@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import reduce
 
 import pandas as pd
@@ -82,34 +83,39 @@ def source_file_count(files: DataFrame, domain_paths: tuple[str, ...], exclude:
     return files.groupBy("repo_id").agg(F.count_if(ok).alias("files"))
 
 
-def blocks(pattern: str):
-    """Arrow UDF: every match of a header that ends in ``{`` with its balanced block.
+def blocks(**patterns: str):
+    """Arrow UDF: every match of the named headers, each ending in ``{``, with its balanced block.
 
-    Balanced braces are beyond regular expressions, so this one step is Python;
-    everything done with a block is column expressions again.
+    Balanced braces are beyond regular expressions, so this one step is Python; everything done with a block is column
+    expressions again. A text is read once for all headers: one walk over its braces pairs them with a stack, one over
+    its line ends numbers them. An unclosed block reaches to the end.
     """
-    header = re.compile(pattern)
-    brace = re.compile(r"[{}]")
-
-    @F.pandas_udf("array<struct<name:string,params:string,start_line:int,end_line:int,body:string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[dict]:
-            out, line, at = [], 1, 0
-            for m in header.finditer(text or ""):
-                depth, end = 1, len(text)
-                for b in brace.finditer(text, m.end()):
-                    depth += 1 if b.group() == "{" else -1
-                    if depth == 0:
-                        end = b.start()
-                        break
-                line, at = line + text.count("\n", at, m.start()), m.start()
-                out.append({"name": m.group(1), "params": m.group(2) if header.groups > 1 else None, "start_line": line,
-                            "end_line": line + text.count("\n", m.start(), end), "body": text[m.end():end]})
-            return out
-
-        return texts.map(one)
-
-    return found
+    headers = {kind: re.compile(pattern, re.ASCII) for kind, pattern in patterns.items()}
+    brace, line_end = re.compile(r"[{}]"), re.compile("\n")
+
+    def one(text: str | None) -> list[dict]:
+        found = [(kind, m) for kind, header in headers.items() for m in header.finditer(text or "")]
+        if not found:
+            return []
+        closed, opened = {}, []
+        for b in brace.finditer(text):
+            if b.group() == "{":
+                opened.append(b.start())
+            elif opened:
+                closed[opened.pop()] = b.start()
+        ends = [m.start() for m in line_end.finditer(text)]
+        rows = []
+        for kind, m in found:
+            end = closed.get(m.end() - 1, len(text))
+            rows.append({"kind": kind, "name": m.group(1), "params": m.group(2) if m.re.groups > 1 else None, "start_line": 1 + bisect_left(ends, m.start()),
+                         "end_line": 1 + bisect_left(ends, end), "body": text[m.end():end]})
+        return rows
+
+    @F.pandas_udf("array<struct<kind:string,name:string,params:string,start_line:int,end_line:int,body:string>>")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return read
 
 
 def _member_names(body: Column) -> Column:
@@ -122,20 +128,17 @@ def _clean_items(text: Column) -> Column:
 
 
 def type_definitions(files: DataFrame) -> DataFrame:
-    """Enums, interfaces, aliases and classes with their members (repo_id, path, kind, name, members)."""
+    """Enums, interfaces, aliases and classes with their members (repo_id, path, kind, name, members), from one reading of each file."""
     c = F.col("content")
 
-    def plain(pattern: str, kind: str, members) -> DataFrame:
-        zipped = F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), 1).alias("name"), F.regexp_extract_all(c, F.lit(pattern), 2).alias("text"))
-        return files.select(*FILE, F.inline(zipped)).select(*FILE, F.lit(kind).alias("kind"), "name", members(F.col("text")).alias("members"))
+    def plain(pattern: str, kind: str, members) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), 1).alias("name"), F.regexp_extract_all(c, F.lit(pattern), 2).alias("text"))
+        return F.transform(pairs, lambda p: F.struct(F.lit(kind).alias("kind"), p["name"].alias("name"), members(p["text"]).alias("members")))
 
-    def nested(pattern: str, kind: str) -> DataFrame:
-        return files.select(*FILE, F.inline(blocks(pattern)(c))).select(*FILE, F.lit(kind).alias("kind"), "name", _member_names(F.col("body")).alias("members"))
-
-    return reduce(lambda a, b: a.unionByName(b), [
-        plain(ENUM, "enum", _clean_items), nested(INTERFACE, "interface"),
-        plain(TYPE_ALIAS, "type_alias", lambda v: F.regexp_extract_all(v, F.lit("['\"]([^'\"]+)['\"]"), 1)), nested(CLASS, "class"),
-    ])
+    nested = F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["name"].alias("name"), _member_names(b["body"]).alias("members")))
+    read = files.select(*FILE, "content", blocks(**{"interface": INTERFACE, "class": CLASS})(c).alias("blocks"))
+    found = F.concat(plain(ENUM, "enum", _clean_items), nested, plain(TYPE_ALIAS, "type_alias", lambda v: F.regexp_extract_all(v, F.lit("['\"]([^'\"]+)['\"]"), 1)))
+    return read.select(*FILE, F.inline(found))
 
 
 def annotations(files: DataFrame) -> DataFrame:
@@ -171,7 +174,7 @@ def annotations(files: DataFrame) -> DataFrame:
 
 def validations(files: DataFrame) -> DataFrame:
     """Functions whose names announce a check (repo_id, path, name, start_line, end_line, target_type)."""
-    found = reduce(lambda a, b: a.unionByName(b), [files.select(*FILE, F.inline(blocks(p)(F.col("content")))) for p in FUNCTIONS])
+    found = files.select(*FILE, F.inline(blocks(**{f"form{k}": p for k, p in enumerate(FUNCTIONS)})(F.col("content"))))
     target = F.regexp_extract(F.coalesce("params", F.lit("")), r"(\w+)\s*:\s*(\w+)", 2)
     return found.filter(F.col("name").rlike(VALIDATION_NAME)).select(*FILE, "name", "start_line", "end_line", F.when(target != "", target).alias("target_type"))
 
@@ -179,7 +182,7 @@ def validations(files: DataFrame) -> DataFrame:
 def state_transitions(files: DataFrame) -> DataFrame:
     """Consecutive cases of switches on state-like fields (repo_id, path, start_line, state_field, step, from, to)."""
     field = F.regexp_extract(F.trim("name"), r"(?:\w+\.)?(\w+)(?:\(\))?$", 1)
-    switches = files.select(*FILE, F.inline(blocks(SWITCH)(F.col("content")))).withColumn("state_field", field).filter(F.col("state_field").rlike(STATE_WORD))
+    switches = files.select(*FILE, F.inline(blocks(switch=SWITCH)(F.col("content")))).withColumn("state_field", field).filter(F.col("state_field").rlike(STATE_WORD))
     quoted = F.regexp_extract_all("body", F.lit(r"\bcase\s+['\"]([^'\"]+)['\"]\s*:"), 1)
     named = F.filter(F.regexp_extract_all("body", F.lit(r"\bcase\s+(?:\w+\.)?(\w+)\s*:"), 1), lambda v: v != "default")
     cases = F.when(F.size(quoted) > 0, quoted).otherwise(named)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.naming import to_pascal
 
@@ -36,24 +36,36 @@ ALTER_NOT_NULL = r"(?i)ALTER\s+TABLE\s+\w+\s+ALTER\s+(?:COLUMN\s+)?(\w+)\s+SET\s
 FOREIGN_KEY = r"(?i)FOREIGN\s+KEY\s*\(([^)]+)\)\s*REFERENCES\s+(\w+(?:\.\w+)?)\s*\(([^)]+)\)"
 DEFAULT = r"(?i)(?:^|,|\()\s*(\w+)\s+\w+(?:\([^)]*\))?[^,)]*\bDEFAULT\s+('?[^,\n)']+'?)"
 GROUP_BY = r"(?is)GROUP\s+BY\s+(.*?)(?=HAVING|ORDER\s+BY|LIMIT|UNION|\)|;|\z)"
-_BREAK = "\u0001"
+# The word without which a statement holds no evidence of a kind.
+NEEDED = {
+    "join": "JOIN", "where": "WHERE", "case": "CASE", "check": "CHECK", "unique": "UNIQUE", "not_null": "NOT", "foreign_key": "FOREIGN",
+    "default": "DEFAULT", "group_by": "GROUP",
+}
+PATTERNS = "array<struct<kind:string,source_text:string,tables:array<string>,columns:array<string>,details:map<string,string>>>"
 
 
 def split_statements(corpus: DataFrame, *keys: str) -> DataFrame:
     """Statements with their number and first and last line (file_path, statement, start_line, end_line, sql).
 
     Semicolons inside quotes and comments do not split. The text is cut into
-    tokens, delimiters are swapped for a mark, and the mark splits: no
-    backtracking across the text, whatever its length.
+    tokens and the tokens between delimiters are joined: no backtracking across
+    the text, whatever its length, and no shuffle, since lines are counted within
+    the file's row.
     """
-    tokens = F.regexp_extract_all("sql", F.lit(TOKEN), 0)
-    marked = F.array_join(F.transform(tokens, lambda t: F.when(t == ";", F.lit(_BREAK)).otherwise(t)), "")
-    pieces = F.filter(F.transform(F.split(marked, _BREAK), lambda s: F.regexp_replace(s, r"^\s+|\s+\z", "")), lambda s: s != "")
-    rows = corpus.select(*keys, "file_path", F.posexplode(pieces).alias("statement", "sql"))
-    lines = F.size(F.split("sql", "\n"))
-    before = Window.partitionBy(*keys, "file_path").orderBy("statement").rowsBetween(Window.unboundedPreceding, -1)  # one file's statements
-    start = F.lit(1) + F.coalesce(F.sum(lines).over(before), F.lit(0))
-    return rows.withColumn("start_line", start.cast("int")).withColumn("end_line", (F.col("start_line") + lines - 1).cast("int"))
+    tokens = corpus.select(*keys, "file_path", F.regexp_extract_all("sql", F.lit(TOKEN), 0).alias("tokens"))
+    at = F.filter(F.transform("tokens", lambda t, i: F.when(t == ";", i + 1)), lambda i: i.isNotNull())  # places of delimiters, from 1
+    cut = tokens.withColumn("after", F.concat(F.array(F.lit(0)), at)).withColumn("before", F.concat(at, F.array(F.size("tokens") + 1)))
+    joined = F.transform(F.arrays_zip("after", "before"), lambda b: F.array_join(F.slice("tokens", b["after"] + 1, b["before"] - b["after"] - 1), ""))
+    pieces = cut.withColumn("pieces", F.filter(F.transform(joined, lambda s: F.regexp_replace(s, r"^\s+|\s+\z", "")), lambda s: s != ""))
+
+    def number(done: Column, sql: Column) -> Column:
+        lines = F.size(F.split(sql, "\n"))
+        row = F.struct((done["lines"] + 1).alias("start_line"), (done["lines"] + lines).alias("end_line"), sql.alias("sql"))
+        return F.struct((done["lines"] + lines).alias("lines"), F.concat(done["rows"], F.array(row)).alias("rows"))
+
+    none = F.struct(F.lit(0).alias("lines"), F.array().cast("array<struct<start_line:int,end_line:int,sql:string>>").alias("rows"))
+    rows = pieces.select(*keys, "file_path", F.posexplode(F.aggregate("pieces", none, number, lambda done: done["rows"])).alias("statement", "s"))
+    return rows.select(*keys, "file_path", "statement", "s.sql", "s.start_line", "s.end_line")
 
 
 def _matches(text: Column, pattern: str, groups: int) -> Column:
@@ -168,7 +180,7 @@ EXTRACTORS = {
 
 def patterns(statements: DataFrame, *keys: str, kinds: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
     """All evidence of the given kinds, one pass over the statements; ``place`` numbers the patterns of a statement."""
-    found = [EXTRACTORS[k](F.col("sql")) for k in kinds]
+    found = [F.coalesce(F.when(F.contains(F.upper("sql"), F.lit(NEEDED[k])), EXTRACTORS[k](F.col("sql"))), F.array().cast(PATTERNS)) for k in kinds]
     both = found[0] if len(found) == 1 else F.concat(*found)
     return statements.select(*keys, "file_path", "statement", "start_line", "end_line", F.posexplode(both).alias("place", "p")).select(
         *keys, "file_path", "statement", "start_line", "end_line", "place", "p.*")

@@ -252,10 +252,10 @@ def b08(t: Tables):
 # ---- corpora on disk ------------------------------------------------------------------------------------------
 
 def _written(t: Tables, name: str, df, key: str) -> str:
-    """Write texts as files below one directory per key and return the root."""
+    """Write texts as files of bounded size below one directory per key and return the root."""
     ensure_checkpoint_dir(t.spark)
     root = f"{t.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.repartition(key).write.partitionBy(key).text(root)
+    df.write.option("maxRecordsPerFile", 1000).partitionBy(key).text(root)
     return root
 
 
