@@ -135,10 +135,22 @@ def upsert(manifest: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def resolve_artifacts(exports: DataFrame, sources: DataFrame, paths: DataFrame) -> DataFrame:
-    """Export entry and sources behind file paths (model_id, path); ``./`` and doubled slashes do not matter."""
+    """Export entry and sources behind file paths (model_id, path), compared without ``.``, ``..`` and doubled slashes.
+
+    ``..`` takes back the name before it; where there is none it stays, or has no effect at the root of an absolute path.
+    """
     def normal(c: str) -> Column:
-        tidy = F.regexp_replace(F.regexp_replace(F.col(c), "/+", "/"), r"(^|/)(\./)+", "$1")
-        return F.regexp_replace(tidy, r"[^/]+/\.\./", "")
+        root = F.startswith(F.col(c), F.lit("/"))
+
+        def add(names: Column, part: Column) -> Column:
+            last = F.get(names, F.size(names) - 1)
+            up = part == ".."
+            return (
+                F.when(part.isin("", "."), names).when(up & last.isNotNull() & (last != ".."), F.slice(names, 1, F.size(names) - 1))
+                .when(up & root, names).otherwise(F.concat(names, F.array(part))))
+
+        names = F.aggregate(F.split(F.col(c), "/"), F.array().cast("array<string>"), add)
+        return F.concat(F.when(root, "/").otherwise(""), F.array_join(names, "/"))
 
     wanted = paths.select("model_id", "path", normal("path").alias("p"))
     return wanted.join(exports.select("model_id", "artifact", "format", normal("artifact").alias("p")), ["model_id", "p"]).join(
