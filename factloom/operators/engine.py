@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.operators import keys, paths, rings, rows, sets
 from factloom.plans.factset import FactSet
 from factloom.plans.model import Constraint
+from factloom.plans.session import materialize
 from factloom.plans.violations import COLUMNS, errors_only, record, report_order, tally, union
 
 Rule = Callable[[FactSet], DataFrame]
@@ -58,21 +59,31 @@ def check_dangling(populations: DataFrame, fact_types: DataFrame) -> DataFrame:
         subject=[F.col("fact_type_id")], message="population of an undeclared fact type"))
 
 
-def check_all(facts: FactSet, constraints: Iterable[Constraint], custom: Iterable[Rule] = (), incomplete_instances: bool = True) -> DataFrame | None:
-    """Every check as one plan; row-local checks of a fact type share one scan."""
+def check_all(facts: FactSet, constraints: Iterable[Constraint], custom: Iterable[Rule] = (), incomplete_instances: bool = True,
+              object_types: bool = True, populations: DataFrame | None = None) -> DataFrame | None:
+    """Every check as one plan; row-local checks of a fact type share one scan.
+
+    ``object_types`` checks the declared numbers of objects; ``populations`` (pop_id, fact_type_id), where given, is
+    checked for undeclared fact types.
+    """
     constraints = list(constraints)
     fused = [c for c in constraints if c.fact_type in facts.fact_types and rows.is_row_local(c, facts.fact_types[c.fact_type])]
     parts = [rows.check_local(facts, fused, incomplete_instances)]
     parts += [check(facts, c) for c in constraints if c not in fused]
+    if object_types:
+        parts.append(sets.check_object_cardinality(facts))
+    if populations is not None:
+        declared = populations.sparkSession.createDataFrame([(f,) for f in facts.fact_types], "fact_type_id string")
+        parts.append(check_dangling(populations, declared))
     parts += [rule(facts).select(*COLUMNS) for rule in custom]
     parts = [p for p in parts if p is not None]
     return union(parts) if parts else None
 
 
 def run(facts: FactSet, constraints: Iterable[Constraint], custom: Iterable[Rule] = ()) -> DataFrame | None:
-    """All violations in report order."""
+    """All violations in report order. They are stored first: sorting by range reads its input twice."""
     found = check_all(facts, constraints, custom)
-    return None if found is None else report_order(found)
+    return None if found is None else report_order(materialize(found, "violations"))
 
 
 def rejects_population(facts: FactSet, constraints: Iterable[Constraint], forbidden: list[tuple]) -> DataFrame | None:
@@ -86,7 +97,7 @@ def rejects_population(facts: FactSet, constraints: Iterable[Constraint], forbid
         facts = facts.bind(fact_type, df, roles, ord=ord_, inst_id=inst, pop_id=pop)
         added = df.select((F.col(pop) if isinstance(pop, str) else pop).cast("string").alias("_pop")).distinct()
         names = added if names is None else names.union(added)
-    found = check_all(facts, constraints)
+    found = check_all(facts, constraints, object_types=False)
     if found is None or names is None:
         return None
     found = errors_only(found).filter(F.col("rule_id").startswith("population/"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,11 +26,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only where none is named, a scratch one."""
+    """Use the shared folder named in spark.checkpoint.dir. Only a local session, whose tasks all see one disk, may do without."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="factloom-ckpt-"))
 
 

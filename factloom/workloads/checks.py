@@ -6,6 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from factloom.functions import predicates as P
 from factloom.operators import engine, keys, paths, rings, sets
+from factloom.plans.session import materialize
 from factloom.plans.violations import record, report_order
 from factloom.workloads.registry import Tables, flat, flat_sql, query
 from factloom.workloads.retail import CONSTRAINTS, FACT_TYPES, ORDER_NATION_BY_CUSTOMER, ORDER_NATION_BY_SUPPLIER, facts
@@ -25,7 +26,12 @@ BY_CUSTOMER = "(SELECT DISTINCT o_orderkey AS o, c_nationkey AS n FROM orders JO
 BY_SUPPLIER = "(SELECT DISTINCT l_orderkey AS o, s_nationkey AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
 
 
+STATED: dict[str, str] = {}  # the query of each constraint
+
+
 def _check(name: str, constraint: str, tables: tuple[str, ...], sql: str, *details: str):
+    STATED[constraint] = name
+
     @query(name, sql)
     def build(t: Tables):
         return flat(engine.check(facts(t, *tables), CONSTRAINTS[constraint]), *details)
@@ -202,15 +208,15 @@ _check("c23_ring_acyclic", "c23", ("follow",), _cycle_sql("c23", EDGES))
 
 # A part of several ranks: each order refers to a smaller one, so only some groups close a cycle.
 REFERENCES = """(SELECT CAST(o_orderkey % 97 AS VARCHAR) AS pop, o_orderkey AS a,
-  CASE WHEN o_orderkey % 9701 = 5 THEN o_orderkey + 97 * 40 ELSE o_orderkey - 97 END AS b FROM orders WHERE o_orderkey >= 97)"""
+  CASE WHEN o_orderkey % 9701 = 5 THEN o_orderkey + 97 * 40 WHEN o_orderkey >= 97 THEN o_orderkey - 97 END AS b FROM orders)"""
 
 
 @query("c23_cycles_in_long_chains", f"""WITH RECURSIVE e AS (SELECT DISTINCT pop, a, b FROM {REFERENCES}), r AS (SELECT pop, a, b FROM e UNION SELECT r.pop, r.a, e.b FROM r JOIN e ON r.pop = e.pop AND r.b = e.a)
   SELECT DISTINCT pop AS pop_id FROM r WHERE a = b""")
 def c23_chains(t: Tables):
-    edges = t.orders.filter("o_orderkey >= 97").selectExpr(
+    edges = t.orders.selectExpr(
         "CAST(o_orderkey % 97 AS STRING) AS pop_id", "o_orderkey AS a",
-        "CASE WHEN o_orderkey % 9701 = 5 THEN o_orderkey + 97 * 40 ELSE o_orderkey - 97 END AS b")
+        "CASE WHEN o_orderkey % 9701 = 5 THEN o_orderkey + 97 * 40 WHEN o_orderkey >= 97 THEN o_orderkey - 97 END AS b")
     return rings.cyclic_groups(edges)
 
 
@@ -271,10 +277,6 @@ def u03(t: Tables):
 
 # ---- engine ---------------------------------------------------------------------------------------
 
-ALL_TABLES = ("places", "line", "label", "document", "cust_nation", "supp_nation", "state")
-ALL_RULES = ("c25", "c03", "c08", "c25d", "c10", "c11", "c06")
-
-
 def shipping_late(fs):
     """A rule of the user's own: rows of a wide fact type without a supplier value above zero."""
     rows = fs.rows("line").filter("ln_supp = 0")
@@ -282,8 +284,10 @@ def shipping_late(fs):
                                subject=[F.col("ln_supp")], message="supplier zero"))
 
 
-def run_some(t: Tables):
-    return engine.check_all(facts(t, *ALL_TABLES), [CONSTRAINTS[c] for c in ALL_RULES], [shipping_late])
+def run_everything(t: Tables):
+    """All declared constraints over all bound tables, object counts, incomplete rows, undeclared populations and a custom rule."""
+    loose = t.events.select(F.col("event_type").alias("pop_id"), F.when(F.col("event_type") == "click", "clicks").otherwise("follow").alias("fact_type_id"))
+    return engine.check_all(facts(t), CONSTRAINTS.values(), [shipping_late], populations=loose)
 
 
 def _sql_of(name: str) -> str:
@@ -293,39 +297,51 @@ def _sql_of(name: str) -> str:
 
 
 _CUSTOM_SQL = flat_sql("custom/supplier-zero", "FROM lineitem WHERE l_suppkey = 0", "'0'", severity="'info'", element=LINE_ID, pop="'lines'", inst=LINE_ID)
-RUN_SQL = " UNION ALL ".join([_sql_of(n) for n in (
-    "c25_mandatory", "c03_uniqueness", "c08_frequency", "c25_mandatory_samples", "c10_exclusion_spanning", "c11_exclusive_or_local", "c06_value_range", "c02_incomplete_instance")] + [_CUSTOM_SQL])
+_INCOMPLETE = [flat_sql("population/incomplete-instance", f"FROM {rows} WHERE b IS NULL", f"'{player}'", element="inst", fact_type=f"'{name}'", pop="pop", inst="inst")
+               for name, rows, player in (("follow", FOLLOW, "User"), ("refers", REFERS, "Customer"))]
+_DANGLING = flat_sql("population/dangling-fact-type", "FROM (SELECT DISTINCT event_type FROM events WHERE event_type = 'click')", "'clicks'", element="event_type", fact_type="'clicks'", pop="event_type")
+# With every table bound, customers who are only referred to are known objects too.
+_KNOWN = "(SELECT c_custkey AS v FROM customer UNION SELECT CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey * 7) % 1600 END FROM orders)"
+_CUSTOMERS = _sql("c25c", "mandatory", f"FROM {_KNOWN} WHERE v NOT IN (SELECT o_custkey FROM orders)", "v")
+# Who can be followed from one to the next more often than there are objects runs in a circle.
+_CIRCLE = _sql("c23r", "ring", f"""FROM (WITH RECURSIVE e AS (SELECT DISTINCT pop, a, b FROM {REFERS} WHERE b IS NOT NULL), f AS (SELECT pop, a, min(b) AS b FROM e WHERE (pop, b) IN (SELECT (pop, a) FROM e) GROUP BY ALL),
+  w AS (SELECT pop, a AS node, 0 AS steps FROM f UNION SELECT w.pop, f.b, steps + 1 FROM w JOIN f ON f.pop = w.pop AND f.a = w.node WHERE steps < 1700)
+  SELECT DISTINCT pop FROM w WHERE steps = 1700)""", "pop", element="pop", pop="pop")
+RUN_SQL = " UNION ALL ".join([_sql_of(name) for c, name in STATED.items() if c not in ("c25c", "c23r")] + [
+    _sql_of("c02_incomplete_instance"), _sql_of("c27_object_cardinality"), *_INCOMPLETE, _DANGLING, _CUSTOMERS, _CIRCLE, _CUSTOM_SQL])
 
 
 @query("c32_custom_rule", _CUSTOM_SQL)
 def c32(t: Tables):
-    return flat(engine.check_all(facts(t, "line"), [], [shipping_late], incomplete_instances=False))
+    return flat(engine.check_all(facts(t, "line"), [], [shipping_late], incomplete_instances=False, object_types=False))
 
 
 @query("c33_run_all", RUN_SQL)
 def c33(t: Tables):
-    return flat(report_order(run_some(t)))
+    return flat(report_order(materialize(run_everything(t), "violations")))
 
 
 @query("c34_errors_only", f"SELECT * FROM ({RUN_SQL}) WHERE severity = 'error'")
 def c34(t: Tables):
-    return flat(engine.errors_only(run_some(t)))
+    return flat(engine.errors_only(run_everything(t)))
 
 
 @query("c35_tally", f"SELECT rule_id, count(*) AS violations FROM ({RUN_SQL}) GROUP BY 1")
 def c35(t: Tables):
-    return engine.tally(run_some(t))
+    return engine.tally(run_everything(t))
+
+
+_TWICE = "(SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount FROM lineitem)"
 
 
-@query("c36_rejects_population", "SELECT rule_id, element_id, count(*) AS n FROM (" + " UNION ALL ".join([
-    """SELECT 'population/uniqueness-violation' AS rule_id, 'forbidden' AS element_id FROM lineitem l JOIN (SELECT min(l_orderkey) AS k FROM lineitem) ON l_orderkey % 100 = 0""",
-    """SELECT 'population/value-constraint-violation', 'forbidden' FROM lineitem, (VALUES (1), (2)) v(x) WHERE l_orderkey % 100 = 0 AND NOT (l_discount BETWEEN 0 AND 0.05)"""]) + ") GROUP BY ALL")
+@query("c36_rejects_population", f"""SELECT 'population/uniqueness-violation' AS rule_id, 'forbidden' AS element_id, count(*) AS n FROM {_TWICE}
+  UNION ALL SELECT 'population/value-constraint-violation', 'forbidden', 2 * count(*) FROM {_TWICE} WHERE NOT (l_discount BETWEEN 0 AND 0.05)""")
 def c36(t: Tables):
-    # every hundredth order's lines stated twice: the second statement of each is a repeated key
-    some = t.lineitem.filter("l_orderkey % 100 = 0").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    some = some.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "copy").agg(F.count("*").alias("n"))
-    forbidden = ("line", some, {"ln_ord": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "ln_num": "l_linenumber", "ln_disc": "l_discount"},
-                 "copy", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy"), F.lit("forbidden"))
+    # every line stated twice: the second statement of each is a repeated key
+    key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    twice = t.lineitem.select(*key, "l_discount").distinct().withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    forbidden = ("line", twice, {"ln_ord": F.concat_ws("-", *key), "ln_num": "l_linenumber", "ln_disc": "l_discount"},
+                 "copy", F.concat_ws("-", *key, "copy"), F.lit("forbidden"))
     found = engine.rejects_population(facts(t, "places"), [CONSTRAINTS["c03"], CONSTRAINTS["c06"]], [forbidden])
     return found.filter("rule_id <> 'population/incomplete-instance'").groupBy("rule_id", "element_id").agg(F.count("*").alias("n"))
 
