@@ -27,7 +27,8 @@ COMMON = 64  # a shingle in more prefixes than this is common: it goes later in
 MOST_COMMON = 1 << 20  # shingles moved back at most; any choice of them gives the same result
 MAP_TILE = 1024  # documents of a tile when bitmaps are compared, a few hundred bytes each
 TEXT_TILE = 256  # and when whole texts are
-KNOWN = 400_000  # words whose hashes a worker remembers before it starts anew
+SLICE = 1000  # rows whose sketches are made together
+KNOWN = 200_000  # words whose hashes a worker remembers before it starts anew
 
 _A, _B, _C = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -140,7 +141,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, like: Similarity) -> DataF
     """A row per row of docs: doc_id, key (doc_id, or a hash of the text), n, two set signatures, bitmap, and the hashes up to
     `back` beyond the prefix."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             n, one, two, bits, first = [], [], [], [], []
             for body in batch.column(2):
                 s = like.shingles(body.as_py())
@@ -163,15 +164,17 @@ def _key(doc_id: str, text: str):
     return F.coalesce(F.col(doc_id).cast("long"), -F.abs(F.xxhash64(text)) - 1)
 
 
-def prefixes(sets: DataFrame, common: np.ndarray, like: Similarity) -> DataFrame:
-    """node, n, group (hash of size and prefix), prefix, which of it is common, and whether any common shingle was moved: the
-    first shingles when common ones stand `back` later. Whatever lies beyond the stored hashes comes later than those."""
-    shared = sets.sparkSession.sparkContext.broadcast(np.sort(common))
+def ordered(rows: DataFrame, common: np.ndarray, like: Similarity) -> DataFrame:
+    """Sketches with group (hash of size and prefix), prefix, which of it is common, and whether any common shingle was moved
+    instead of `first`: the first shingles when common ones stand `back` later. Whatever lies beyond the stored hashes comes
+    later than those."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.sort(common))
+    columns = ["key", "doc_id", "n", "s1", "s2", "bitmap"]
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups, firsts, often, moved = [], [], [], []
-            for n, first in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for n, first in zip(batch.column("n").to_pylist(), batch.column("first")):
                 s = first.values.to_numpy().view(np.uint64)
                 at = np.minimum(np.searchsorted(shared.value, s), max(len(shared.value) - 1, 0))
                 is_common = shared.value[at] == s if len(shared.value) else np.zeros(len(s), bool)
@@ -182,10 +185,11 @@ def prefixes(sets: DataFrame, common: np.ndarray, like: Similarity) -> DataFrame
                 often.append(is_common[chosen])
                 moved.append(bool(is_common[:like.prefix(n)].any()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(groups, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.bool_())),
-                 pa.array(moved, pa.bool_())], names=["node", "n", "group", "prefix", "common", "moved"])
+                [*(batch.column(c) for c in columns), pa.array(groups, pa.int64()), pa.array(firsts, pa.list_(pa.int64())),
+                 pa.array(often, pa.list_(pa.bool_())), pa.array(moved, pa.bool_())], names=[*columns, "group", "prefix", "common", "moved"])
 
-    return sets.select("node", "n", "first").mapInArrow(order, "node long, n int, group long, prefix array<long>, common array<boolean>, moved boolean")
+    ddl = "key long, doc_id long, n int, s1 long, s2 long, bitmap binary, group long, prefix array<long>, common array<boolean>, moved boolean"
+    return rows.select(*columns, "first").mapInArrow(order, ddl)
 
 
 def presumed_in_tiles(rows: DataFrame, like: Similarity) -> DataFrame:
@@ -266,24 +270,24 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     that share an id count as one document. Rows without an id are linked like others, but name no component (null if none of
     it has an id). Other columns take no part; an empty table gives an empty result."""
     rows = materialize(sketches(docs, doc_id, text, like), "sketches")
-    sets = materialize(
-        rows.filter("n > 0").groupBy("n", "s1", "s2").agg(
-            F.min("key").alias("node"), F.min("doc_id").alias("least_id"), F.any_value("bitmap").alias("bitmap"), F.any_value("first").alias("first")), "sets")
 
     # the order: shingles that many prefixes hold go later
+    some = rows.filter("n > 0")
     often = (
-        sets.select(F.explode(F.slice("first", 1, (F.col("n") - F.ceil(F.col("n") * like.percent / 100) + 1).cast("int"))).alias("token"))
+        some.select(F.explode(F.slice("first", 1, (F.col("n") - F.ceil(F.col("n") * like.percent / 100) + 1).cast("int"))).alias("token"))
         .groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > common).orderBy(F.desc("df"), "token").limit(MOST_COMMON))
     known = np.fromiter((r.token for r in often.toLocalIterator()), np.int64).view(np.uint64)
 
-    # groups of identical size and prefix
-    members = materialize(prefixes(sets, known, like), "prefixes")
-    groups = members.groupBy("n", "group").agg(
-        F.min("node").alias("gid"), F.count(F.lit(1)).alias("members"), F.any_value("prefix").alias("prefix"),
-        F.any_value("common").alias("common"), F.any_value("moved").alias("moved"))
-    groups = materialize(groups, "groups")
-    of_group = members.select("node", "n", "group").join(groups.filter("members > 1").select("n", "group", "gid"), ["n", "group"]).select("node", "n", "gid")
-    of_group = materialize(of_group, "members")
+    # documents with one set count once; sets of identical size and prefix form a group
+    placed = materialize(ordered(some, known, like), "prefixes")
+    sets = materialize(
+        placed.groupBy("n", "s1", "s2").agg(
+            F.min("key").alias("node"), F.min("doc_id").alias("least_id"), F.any_value("bitmap").alias("bitmap"), F.any_value("group").alias("group")), "sets")
+    sizes = sets.groupBy("n", "group").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("members"))
+    shapes = placed.groupBy("n", "group").agg(F.any_value("prefix").alias("prefix"), F.any_value("common").alias("common"), F.max("moved").alias("moved"))
+    groups = materialize(shapes.join(sizes, ["n", "group"]), "groups")
+    of_group = materialize(
+        sets.select("node", "n", "group").join(groups.filter("members > 1").select("n", "group", "gid"), ["n", "group"]).select("node", "n", "gid"), "members")
     tokens = groups.select("gid", "n", "members", "moved", F.posexplode(F.arrays_zip("prefix", "common")).alias("place", "t")).select(
         "gid", "n", "members", "moved", "place", F.col("t.prefix").alias("token"), F.col("t.common").alias("common"))
     # shingles that came into prefixes because others went later may be common too
