@@ -25,7 +25,7 @@ from factloom.plans.session import materialize
 
 COMMON = 64  # a shingle in more prefixes than this is common: it goes later in the order, and its documents into tiles
 MOST_COMMON = 1 << 20  # shingles moved back at most; any choice of them gives the same result
-MAP_TILE = 1024  # documents of a tile when bitmaps are compared, a few hundred bytes each
+MAP_TILE = 4096  # documents of a tile when bitmaps are compared, a few hundred bytes each
 TEXT_TILE = 256  # and when whole texts are
 SLICE = 1000  # rows whose sketches are made together
 KNOWN = 200_000  # words whose hashes a worker remembers before it starts anew
