@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 SALTS = 32  # a text's rows meet in so many places before their winners meet in one
+SPREAD = 16  # and their decisions go back to so many places
 
 
 def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -38,15 +39,24 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sal
     doc_id are kept only if no copy has one. Other columns take no part; an empty table gives an empty result.
     """
     rows = _bodies(docs, doc_id, text).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("repeats"))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
+    several = copy_groups(docs, doc_id, text, salts).filter("group_size > 1")
+    several = several.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return (
-        rows.join(copy_groups(docs, doc_id, text, salts), "text_sha256", "left")
+        rows.join(several, ["text_sha256", "place"], "left").withColumn("keep_id", keep_id)
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")))
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"))
+        .select("doc_id", "keep_id", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+                (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"))
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """The kept rows of docs, with all their columns; among rows equal in id and text, any one."""
-    groups = copy_groups(docs, doc_id, text, salts).select(F.col("text_sha256").alias("__digest"), F.col("keep_id").alias("__keep"))
-    rows = docs.withColumn("__digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).withColumn("__keep", F.col(doc_id).cast("long"))
-    matched = rows.join(groups, (rows["__digest"] == groups["__digest"]) & rows["__keep"].eqNullSafe(groups["__keep"]), "left_semi")
-    return matched.dropDuplicates(["__digest", "__keep"]).drop("__digest", "__keep")
+    # plain keys for join and drop alike, so that texts are dealt out once for both
+    def keyed(df: DataFrame, digest, identity) -> DataFrame:
+        return df.withColumns({"__digest": digest, "__id": F.coalesce(identity, F.lit(0).cast("long")), "__none": identity.isNull()})
+
+    keys = ["__digest", "__id", "__none"]
+    kept = keyed(copy_groups(docs, doc_id, text, salts), F.col("text_sha256"), F.col("keep_id")).select(*keys)
+    rows = keyed(docs, F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.col(doc_id).cast("long"))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
