@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WIDTH = 1 << 14  # hashed grams
 CLUSTERS = 4  # centroids of a language
@@ -56,6 +56,16 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return found, total[found].astype(np.float64)
 
 
+def _has_letter(text: Column) -> Column:
+    """Whether gram_counts finds anything; only texts without a letter known to Java are looked at in Python."""
+    @F.pandas_udf("boolean")
+    def rare(texts: pd.Series) -> pd.Series:
+        return pd.Series([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
+
+    known = text.rlike(r"\p{L}")
+    return known | rare(F.when(~known, text))
+
+
 def _vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, counts = gram_counts(text)
     weights = (1 + np.log(counts)) * idf[found]
@@ -120,19 +130,20 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     """Learn from rows with a language; rows with null language, null text or no letter teach nothing.
 
     Document frequencies come from all rows. Clustered are the `sample` distinct texts of each language that come first in
-    the order of a hash of the text; candidates are thinned by the same hash beforehand, so no task gathers more than a few
-    samples of a language."""
+    the order of a hash of the text, or all if there are fewer; candidates are thinned beforehand by the same hash and the
+    number of distinct texts, however often each is repeated, so no task gathers more than a few samples of a language."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     frequency = _document_frequencies(rows.select("text"))
     idf = np.log((1 + frequency[WIDTH]) / (1 + frequency[:WIDTH])) + 1
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    spelt = rows.filter(_has_letter(F.col("text"))).withColumn("hash", F.xxhash64("text"))
+    sizes = spelt.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
     few = (
-        rows.withColumn("place", place).join(sizes, "lang").filter(F.col("place") < 8.0 * sample / F.col("n"))
-        .groupBy("lang", "place").agg(F.min("text").alias("text")))
+        spelt.withColumn("place", place).join(sizes, "lang").filter(F.col("place") < 8.0 * sample / F.col("n"))
+        .groupBy("lang", "place", "hash").agg(F.min("text").alias("text")))
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place", kind="stable").head(sample)
+        group = group.sort_values(["place", "hash"], kind="stable").head(sample)
         vectors = []
         for body in group["text"]:
             found, weights = _vector(body, idf)
@@ -140,7 +151,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
                 vectors.append(np.zeros(WIDTH, np.float32))
                 vectors[-1][found] = weights
         if not vectors:
-            return pd.DataFrame({"lang": [], "centroid": [], "least": []})
+            return pd.DataFrame({"lang": [], "centroid": [], "least": []}, dtype=object)
         matrix = np.stack(vectors)
         made = cluster(matrix, clusters)
         least = MARGIN * float((matrix @ made.T).max(axis=1).min())

@@ -170,6 +170,21 @@ def test_language(spark, odd):
     assert language.train(odd.limit(0)).predict("text") == ("und", 0.0, True)
 
 
+@pytest.mark.parametrize("blank", [0, 3000])
+def test_language_of_copies(spark, monkeypatch, blank):
+    """One text many thousand times, or many texts without a letter, leave the other texts of a small language in the sample."""
+    base = [f"{a}{b} kuva talo {b}{a}" for a in ("ba", "ko", "mi", "su", "te", "ra") for b in ("lo", "na", "pi", "se", "tu")]
+    numbers = [(f"{k} {k * 7}", "xx") for k in range(blank)]
+    rows = [("kaikki muut tekstit", "xx")] * 20_000 + [(t, "xx") for t in base] + numbers + [("the other language of the two", "yy")] * 3
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    once = spark.createDataFrame(sorted(set(rows) - set(numbers)), "text string, lang string")
+    monkeypatch.setattr(language, "_document_frequencies", lambda texts: np.ones(language.WIDTH + 1))
+    for sample in (4, 384):
+        model, want = language.train(docs, sample=sample), language.train(once, sample=sample)
+        assert model.languages == want.languages and set(model.languages) == {"xx", "yy"}
+        assert np.allclose(model.centroids, want.centroids) and np.allclose(model.least, want.least)
+
+
 def test_gram_counts_of_slices(monkeypatch):
     slices = ["ab cd ", "ef gh", " ij kl"]
     want = np.zeros(language.WIDTH)
