@@ -30,6 +30,14 @@ _INLINE = set(
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style title textarea iframe noframes xmp".split())
 _UNSEEN = set("head template noscript select button svg math object canvas audio video datalist".split())
+_IN_HEAD = set("head html base basefont bgsound link meta noframes noscript script style template title".split())
+_CONTROLS = {"button": {"button"}, "select": {"select", "input", "textarea", "keygen"}}  # and the tags that end them
+_SCOPE = set("table td th caption object template svg math".split())
+_FOREIGN = {"svg", "math"}
+_PASSAGES = set("foreignobject desc mi mo mn ms mtext annotation-xml".split())  # inside foreign elements, HTML again
+_LEAVES_FOREIGN = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var".split())
 _ENDS_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup main "
     "menu nav ol p pre section table ul li dt dd tr td th tbody thead tfoot".split())
@@ -52,6 +60,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|</[^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|data-label)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CONTROL = {name: re.compile(rf"<(/?)(?:{'|'.join(sorted(ends))})(?=[\s/>])", re.I) for name, ends in _CONTROLS.items()}
 _MARKS = re.compile(r"[.,;:!?](?=\s|$)")
 
 
@@ -83,17 +92,37 @@ class Page:
 
 
 def parse(html: str | None) -> Page:
-    """Tolerant reading: unclosed and stray tags do no harm, nor does a page that breaks off. Character references are decoded."""
+    """Tolerant reading: unclosed and stray tags do no harm, nor does a page that breaks off. Character references are decoded.
+
+    The head ends at the first text or tag that is not of a head; svg and math at "/>" or at a tag of HTML; button and select
+    at the tags that HTML names, and at the next block if they are never closed."""
     page, stack, position, text = Page(), [("", 0)], 0, html or ""
+    open_controls: set[int] = set()  # places in the stack of controls that are never closed
     unseen = links = 0
     fresh = True
 
     def pop() -> None:
         nonlocal unseen, links
         name, _ = stack.pop()
+        open_controls.discard(len(stack))
         unseen -= name in _UNSEEN
         links -= name == "a"
 
+    def leave(at: int) -> None:
+        nonlocal fresh
+        while len(stack) > at:
+            pop()
+        fresh = True
+
+    def within(names: set[str], border: set[str]) -> int:
+        """Place of the innermost open element of these names inside the border; 0 if there is none."""
+        for at in range(len(stack) - 1, 0, -1):
+            if stack[at][0] in names:
+                return at
+            if stack[at][0] in border:
+                return 0
+        return 0
+
     def say(piece: str) -> None:
         nonlocal fresh
         if unseen or not piece:
@@ -108,7 +137,10 @@ def parse(html: str | None) -> Page:
 
     while position < len(text):
         token = _TOKEN.search(text, position)
-        say(text[position:token.start() if token else len(text)])
+        piece = text[position:token.start() if token else len(text)]
+        if stack[-1][0] == "head" and not piece.isspace() and piece:
+            leave(len(stack) - 1)
+        say(piece)
         if not token:
             break
         position = token.end()
@@ -128,7 +160,21 @@ def parse(html: str | None) -> Page:
                 while len(stack) > at:
                     pop()
             continue
+        if name == "head" and any(tag != "html" for tag, _ in stack[1:]) or name == "html" and stack[-1][0] == "head":
+            continue
+        if stack[-1][0] == "head" and name not in _IN_HEAD:
+            leave(len(stack) - 1)
+        if unseen:
+            if name in _LEAVES_FOREIGN and (at := within(_FOREIGN, _PASSAGES)):
+                leave(at)
+            for control, ends in _CONTROLS.items():
+                if name in ends and (at := within({control}, _SCOPE)):
+                    leave(at)
+            if open_controls and name in _ENDS_P and within(set(_CONTROLS), _SCOPE) >= min(open_controls):
+                leave(min(open_controls))
         if name in _RAW:
+            if unseen and attributes.rstrip().endswith("/") and within(_FOREIGN, _PASSAGES):
+                continue
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(text, position)
             position = end.end() if end else len(text)
             continue
@@ -155,6 +201,12 @@ def parse(html: str | None) -> Page:
                 while len(stack) > inner:
                     pop()
                 inner = len(stack) - 1
+        if name in _FOREIGN and attributes.rstrip().endswith("/"):
+            continue
+        if name in _CONTROLS:
+            follows = _CONTROL[name].search(text, position)
+            if not follows or not follows[1]:
+                open_controls.add(len(stack))
         if name in _INLINE or name in _UNSEEN:
             unseen += name in _UNSEEN
             links += name == "a"

@@ -175,6 +175,36 @@ def test_main_text_reading():
     assert read("</div></p><td>x</table>") == ["x"]
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>x</title><h1>a</h1><p>b</p>", ["a", "b"]),
+    ("<head><meta charset=utf-8><title>x</title><link rel=y>a<p>b", ["a", "b"]),
+    ("<html><head><noscript><img src=x>n</noscript><template>t</template><script>s</script>\n<div>a</div><head><p>b", ["a", "b"]),
+    ("<head><html lang=en><title>x</title><p>a", ["a"]),
+    ("<head><title>x</title></head><body><p>a", ["a"]),
+    ("<div>a<svg class=icon/>b<p>c</div>", ["ab", "c"]),
+    ("<div>a<svg class=\"icon\" />b<math/>c<p>d</div>", ["abc", "d"]),
+    ("<div><svg><title/><path d='' /><text>n</text></svg><p>a</div>", ["a"]),
+    ("<div><svg><path d=''><text>n<p>a</p>b</div>", ["a", "b"]),
+    ("<svg><foreignObject><p>n</p></foreignObject></svg><p>a", ["a"]),
+    ("<article><button>n<p>a</p>b</article>", ["a", "b"]),
+    ("<article><button>n<button>n</button>a<p>b</article>", ["a", "b"]),
+    ("<article><button><div>n</div></button>a<p>b</article>", ["a", "b"]),
+    ("<article><select><option>n<p>a</p></article>", ["a"]),
+    ("<article><select><option>n<input>a<p>b</article>", ["a", "b"]),
+    ("<article><select><option>n<option>n</select>a<p>b</article>", ["a", "b"])])
+def test_hidden_parts_end(html, want):
+    """Omitted end tags and tags that close themselves hide nothing of what follows."""
+    assert [r for _, r, _ in main_text.parse(html).runs if r] == want
+
+
+def test_main_text_of_an_open_head():
+    page = next(p for p in labelled_pages(20) if "</head>" in p and main_text.texts([p], main_text.trained())[0])
+    whole = main_text.texts([page], main_text.trained())[0]
+    head, body = page.split("</head>")
+    opened = head + main_text.re.sub(r"^\s*<body[^>]*>", "", body)
+    assert "<body" not in opened and set(whole.split("\n")) & set(main_text.texts([opened], main_text.trained())[0].split("\n"))
+
+
 def test_main_text_edges(spark, odd):
     rows = main_text.extract(odd, main_text.trained()).collect()
     assert len(rows) == len(ODD) and all(isinstance(r["__text"], str) for r in rows)
