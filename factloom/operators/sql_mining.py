@@ -261,10 +261,12 @@ def column_test_report(tests: DataFrame, models: DataFrame) -> DataFrame:
     """What column tests say: (model, severity, category, column).
 
     ``tests`` (model, column, column_pos, test, kind), kind being ``builtin`` or
-    ``custom``. Both unique and not_null on a column make it the identifier
-    (the first such column); a model without one is a gap; custom tests need review.
+    ``custom``; tests of a whole model have no column. Both unique and not_null on
+    a column make it the identifier (the first such column); a model without one is
+    a gap; custom tests need review, those of a model in a row without column.
+    Relationships are listed by ``relationship_tests``.
     """
-    both = tests.filter("test IN ('unique', 'not_null')").groupBy("model", "column", "column_pos").agg(
+    both = tests.filter("column IS NOT NULL AND test IN ('unique', 'not_null')").groupBy("model", "column", "column_pos").agg(
         F.max(F.col("test") == "unique").alias("u"), F.max(F.col("test") == "not_null").alias("n")).filter("u AND n")
     key = both.groupBy("model").agg(F.min_by("column", "column_pos").alias("column"))
     identified = models.select("model").join(key, "model", "left").select(
@@ -273,6 +275,17 @@ def column_test_report(tests: DataFrame, models: DataFrame) -> DataFrame:
     return identified.unionByName(custom)
 
 
+def relationship_tests(tests: DataFrame) -> DataFrame:
+    """References that column tests state: (model, column, target_model, target_field), a row per test.
+
+    ``tests`` (model, column, test, to, field), ``to`` and ``field`` being the
+    arguments of a relationships test. Other tests and those of a whole model give
+    no row.
+    """
+    return tests.filter("test = 'relationships' AND column IS NOT NULL").select(
+        "model", "column", F.col("to").alias("target_model"), F.col("field").alias("target_field"))
+
+
 # Template constructs in the order they are replaced, and what takes their place.
 TEMPLATE_RULES = (
     (r"\{\{\s*ref\(\s*['\"]([^'\"]+)['\"]\s*\)\s*\}\}", "$1"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from factloom.operators import source_mining as B, sql_mining as R
 from factloom.plans.session import ensure_checkpoint_dir
@@ -158,6 +158,30 @@ def r14(t: Tables):
     return R.column_test_report(tests, t.orders.select(model))
 
 
+def _tests(t: Tables):
+    """Tests of a model per order: of its columns, with references to the customer and for finished orders the archive, and of the model."""
+    fields = ("column string", "column_pos int", "test string", "kind string", "to string", "field string")
+    customer, status = F.concat(F.lit("customer_"), "o_custkey"), F.col("o_orderstatus")
+    cells = [F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast(f.split()[1]).alias(f.split()[0]) for f, x in zip(fields, cell)], on.alias("on")) for *cell, on in (
+        ("id", 0, "unique", "builtin", None, None, F.lit(True)), ("id", 0, "not_null", "builtin", None, None, status != "P"),
+        ("cust", 1, "relationships", "builtin", customer, "id", F.lit(True)), ("cust", 1, "relationships", "builtin", "archive", "key", status == "F"),
+        ("cust", 1, "is_sane", "custom", None, None, status == "F"), (None, None, "adds_up", "custom", None, None, status == "O"))]
+    return t.orders.select(F.concat(F.lit("order_"), "o_orderkey").alias("model"), F.inline(F.array(*cells))).filter("on").drop("on")
+
+
+@query("r14_relationships", """SELECT concat('order_', o_orderkey) AS model, 'cust' AS "column", concat('customer_', o_custkey) AS target_model, 'id' AS target_field FROM orders
+  UNION ALL SELECT concat('order_', o_orderkey), 'cust', 'archive', 'key' FROM orders WHERE o_orderstatus = 'F'""")
+def r14_relationships(t: Tables):
+    return R.relationship_tests(_tests(t))
+
+
+@query("r14_model_tests", """SELECT concat('order_', o_orderkey) AS model, CASE WHEN o_orderstatus = 'P' THEN 'gap' ELSE 'info' END AS severity, 'identifier' AS category, CASE WHEN o_orderstatus <> 'P' THEN 'id' END AS "column" FROM orders
+  UNION ALL SELECT concat('order_', o_orderkey), 'warning', 'macro', 'cust' FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT concat('order_', o_orderkey), 'warning', 'macro', NULL FROM orders WHERE o_orderstatus = 'O'""")
+def r14_model_tests(t: Tables):
+    return R.column_test_report(_tests(t), t.orders.select(F.concat(F.lit("order_"), "o_orderkey").alias("model")))
+
+
 @query("r15_flattened_templates", "SELECT o_orderkey, concat('select * from order_', o_orderkey, ' join raw.cust where a = ''x'' and t > 0', chr(10), chr(10), 'end this_model') AS sql FROM orders")
 def r15(t: Tables):
     text = F.concat(F.lit("{{ config(materialized='table') }}\nselect * from {{ ref('order_"), "o_orderkey", F.lit("') }} join {{ source(\"raw\", 'cust') }} where a = {{ var('x') }}{% if is_incremental() %} and t > 1 {% else %} and t > 0{% endif %}{{ other() }}{%- set y = 1 -%}\n\n\n\nend {{ this }}"))
