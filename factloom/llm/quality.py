@@ -110,10 +110,12 @@ def learn(x: np.ndarray, label: np.ndarray, rounds: int = 25) -> Ranking:
 
 
 def train(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Ranking:
-    """Learn from the labelled rows (label 0 or 1; others and nulls teach nothing) that come first in the order of a hash of
-    doc_id, `sample` at most. Repeated labels and documents count once; a document may have both labels."""
+    """Learn from the labelled documents (label 0 or 1; others and nulls teach nothing) that come first in the order of a hash
+    of doc_id, `sample` at most. Repeated labels and documents count once, labels of other documents not at all; a document may
+    have both labels."""
     marked = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    known = marked.distinct().join(measured.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = measured.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "features").dropDuplicates(["doc_id", "label"])
     rows = rows.collect()  # `sample` rows at most
     rows.sort(key=lambda r: (r.doc_id, r.label))

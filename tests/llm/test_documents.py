@@ -213,6 +213,19 @@ def test_quality(spark, odd):
     assert all(r.score == pytest.approx(0.3) for r in quality.score_quality(odd, labels.limit(0)).collect())
 
 
+def test_quality_sample_is_full(spark):
+    """Repeated labels and labels of other documents take no places in the sample."""
+    docs = spark.createDataFrame([(k, f"text {k} " + "Word, " * (k % 7) + "!" * (k % 5)) for k in range(60)], "doc_id long, text string")
+    clean = spark.createDataFrame([(k, int(k % 5 < 2)) for k in range(60)], "doc_id long, quality int")
+    other = spark.createDataFrame([(k, k % 2) for k in range(1000, 3000)], "doc_id long, quality int")
+    measured = quality.measure(docs).cache()
+    want = quality.train(measured, clean, sample=20)
+    for labels in (clean.unionByName(other), clean.crossJoin(spark.range(300)).drop("id")):
+        got = quality.train(measured, labels, sample=20)
+        assert np.allclose(got.weights, want.weights) and np.isclose(got.offset, want.offset)
+    assert want.weights.any()
+
+
 def test_pairwise_ranking_orders_by_preference():
     pick = np.random.default_rng(0)
     x = pick.normal(size=(400, 5))
