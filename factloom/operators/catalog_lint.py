@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.operators.keys import later_duplicates
 from factloom.operators.rings import cyclic_groups
-from factloom.plans.session import cut_lineage
+from factloom.plans.session import cut_lineage, materialize
 from factloom.plans.violations import record
 from factloom.sources.catalog import Catalog
 
@@ -297,11 +297,7 @@ def project_products(domains: DataFrame, mappings: DataFrame, products: DataFram
     lost = needs.join(contexts, ["project_id", "dep"], "left_anti")
     wanted = products.select("project_id", "path", F.explode("mappings").alias("dep"))
     paths = mappings.select("project_id", F.col("path").alias("mapping")).distinct()
-    # whole-path names resolve by equality; only the rest need the substring comparison
-    wanted = wanted.join(paths.withColumnRenamed("mapping", "dep"), ["project_id", "dep"], "left_anti")
-    deps = wanted.select("project_id", "dep").distinct()
-    hits = deps.alias("d").join(paths.alias("m"),
-                                (F.col("d.project_id") == F.col("m.project_id")) & F.contains(F.col("m.mapping"), F.col("d.dep")), "left_semi")
+    hits = containing(paths, wanted.select("project_id", "dep").distinct())
     unresolved = wanted.join(hits, ["project_id", "dep"], "left_anti")
     return _union(
         _project(lost, "product-domain-dependency-missing", "error", "path", F.col("dep")),
@@ -309,6 +305,51 @@ def project_products(domains: DataFrame, mappings: DataFrame, products: DataFram
     )
 
 
+PIECE = 3  # letters of an indexed piece
+
+
+def _pieces(text: str) -> Column:
+    """The distinct runs of PIECE letters of a text; a shorter text is its own and only piece."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - PIECE + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda k: F.substr(F.col(text), k, F.lit(PIECE))))
+
+
+def _short_pieces(text: str) -> Column:
+    """The distinct runs of fewer letters, the empty one included."""
+    def runs(size: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda k: F.substr(F.col(text), k, F.lit(size)))
+        return F.filter(made, lambda p: F.length(p) == size)
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[runs(size) for size in range(1, PIECE)]))
+
+
+def containing(paths: DataFrame, deps: DataFrame) -> DataFrame:
+    """The distinct (project_id, dep) that are part of some path (project_id, mapping) of their project.
+
+    Paths are indexed by their pieces. A dependency no longer than a piece is there if it is a piece; any other fetches
+    the paths of its rarest piece, none if that is nowhere, and only those are compared with the whole of it.
+    """
+    short = deps.filter(F.length("dep") <= PIECE)
+    pieces = _asked_pieces(paths, short.select("project_id", F.col("dep").alias("piece")))
+    there = short.join(pieces.select("project_id", F.col("piece").alias("dep")).distinct(), ["project_id", "dep"], "left_semi")
+
+    long = deps.filter(F.length("dep") > PIECE).withColumn("piece", F.explode(_pieces("dep")))
+    counts = materialize(_asked_pieces(paths, long.select("project_id", "piece")).groupBy("project_id", "piece").agg(F.count("*").alias("n")), "piece-counts")
+    rated = long.join(counts, ["project_id", "piece"], "left").groupBy("project_id", "dep").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest")).filter("rarest.n > 0")
+    rated = materialize(rated.select("project_id", "dep", F.col("rarest.piece").alias("piece")), "rarest-pieces")
+    index = _asked_pieces(paths, rated.select("project_id", "piece"))
+    found = rated.alias("d").join(index.alias("m"), [
+        F.col("d.project_id") == F.col("m.project_id"), F.col("d.piece") == F.col("m.piece"), F.contains(F.col("m.mapping"), F.col("d.dep"))], "left_semi")
+    return there.unionByName(found.select("project_id", "dep"))
+
+
+def _asked_pieces(paths: DataFrame, asked: DataFrame) -> DataFrame:
+    """(project_id, mapping, piece) of the pieces that are asked for."""
+    every = F.concat(F.filter(_pieces("mapping"), lambda p: F.length(p) == PIECE), _short_pieces("mapping"))
+    return paths.withColumn("piece", F.explode(every)).join(asked.distinct(), ["project_id", "piece"], "left_semi")
+
+
 def _project(df: DataFrame, rule: str, severity: str, element: str, subject: Column) -> DataFrame:
     return df.select("project_id", F.lit(f"project/{rule}").alias("rule_id"), F.lit(severity).alias("severity"),
                      F.col(element).alias("element_id"), subject.alias("subject"))

@@ -51,6 +51,17 @@ def check(facts: FactSet, c: Constraint) -> DataFrame | None:
     return checks[c.kind](facts, c)
 
 
+def _with_stored_rows(facts: FactSet, constraints: list[Constraint]) -> FactSet:
+    """facts with the computed rows of each fact type that several constraints read stored in the shared folder."""
+    readers: dict[str, int] = {}
+    for c in constraints:
+        readers[c.fact_type] = readers.get(c.fact_type, 0) + 1
+    for fact_type, count in readers.items():
+        if count > 1 and facts.is_computed(fact_type):
+            facts = facts.store(fact_type)
+    return facts
+
+
 def check_dangling(populations: DataFrame, fact_types: DataFrame) -> DataFrame:
     """Populations (pop_id, fact_type_id) whose fact type is not declared (fact_type_id)."""
     known = fact_types.select("fact_type_id").distinct()
@@ -61,15 +72,23 @@ def check_dangling(populations: DataFrame, fact_types: DataFrame) -> DataFrame:
 
 def check_all(facts: FactSet, constraints: Iterable[Constraint], custom: Iterable[Rule] = (), incomplete_instances: bool = True,
               object_types: bool = True, populations: DataFrame | None = None) -> DataFrame | None:
-    """Every check as one plan; row-local checks of a fact type share one scan.
+    """Every check as one plan; row-local checks of a fact type share one scan, and so do its key checks.
 
+    Rows that are computed (``stored`` bindings) and read by several checks are stored once before.
     ``object_types`` checks the declared numbers of objects; ``populations`` (pop_id, fact_type_id), where given, is
     checked for undeclared fact types.
     """
     constraints = list(constraints)
+    facts = _with_stored_rows(facts, constraints)
     fused = [c for c in constraints if c.fact_type in facts.fact_types and rows.is_row_local(c, facts.fact_types[c.fact_type])]
     parts = [rows.check_local(facts, fused, incomplete_instances)]
-    parts += [check(facts, c) for c in constraints if c not in fused]
+    keyed: dict[str, list[Constraint]] = {}
+    for c in constraints:
+        if c.kind in keys.KEY_KINDS and _local(facts, c) and facts.has_rows(c.fact_type) and c.roles:
+            keyed.setdefault(c.fact_type, []).append(c)
+    for together in keyed.values():
+        parts += keys.check_keys(facts, together)
+    parts += [check(facts, c) for c in constraints if c not in fused and c not in keyed.get(c.fact_type, [])]
     if object_types:
         parts.append(sets.check_object_cardinality(facts))
     if populations is not None:

@@ -2,42 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.predicates import group_key
 from factloom.plans.factset import FactSet
 from factloom.plans.model import Constraint
-from factloom.plans.violations import record, union
+from factloom.plans.session import materialize
+from factloom.plans.violations import record
+
+
+def repeated_keys(rows: DataFrame, keys: list[Column]) -> DataFrame:
+    """Keys (_k0, _k1, ...) that several rows share. A plain count, so the aggregate hashes and combines in every task."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    return rows.select(*named).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
 
 
-def later_duplicates(rows: DataFrame, keys: list[Column], order: str = "ord", identity: str = "inst_id") -> DataFrame:
+def later_duplicates(rows: DataFrame, keys: list[Column], order: str = "ord", identity: str = "inst_id", repeated: DataFrame | None = None) -> DataFrame:
     """Rows that repeat an earlier row's key, with ``first_id`` of the earliest one.
 
-    The first row of each key comes from a map-side combined aggregate, and only
-    keys that do repeat are joined back. No key is ever sorted inside one task,
-    and a hot key's rows are on the side that adaptive skew splitting can divide.
+    Keys are counted first, by themselves. Only rows of keys that do repeat (``repeated``, where they are known already)
+    go on: the first of each key comes from a map-side combined aggregate over them and is joined back. No key is ever
+    sorted inside one task, and a hot key's rows are on the side that adaptive skew splitting can divide.
     """
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    keyed = rows.select("*", *named)
     names = [f"_k{i}" for i in range(len(keys))]
-    firsts = (
-        keyed.groupBy(*names)
-        .agg(F.count("*").alias("_n"), F.min(F.struct(F.col(order).alias("o"), F.col(identity).alias("i"))).alias("_first"))
-        .filter(F.col("_n") > 1)
-    )
-    condition = [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]
+    keyed = rows.select("*", *[k.alias(n) for k, n in zip(keys, names)])
+    repeated = repeated_keys(rows, keys) if repeated is None else repeated
+
+    def same(left: str, right: str) -> list[Column]:
+        return [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names]
+
+    again = keyed.alias("l").join(repeated.alias("r"), same("l", "r"), "left_semi")
+    firsts = again.groupBy(*names).agg(F.min(F.struct(F.col(order).alias("o"), F.col(identity).alias("i"))).alias("_first"))
     later = F.struct(F.col(f"l.{order}").alias("o"), F.col(f"l.{identity}").alias("i")) > F.col("r._first")
     return (
-        keyed.alias("l").join(firsts.alias("r"), [*condition, later], "inner")
+        again.alias("l").join(firsts.alias("r"), [*same("l", "r"), later], "inner")
         .select("l.*", F.col("r._first.i").alias("first_id"))
         .drop(*names)
     )
 
 
-def check_uniqueness(facts: FactSet, c: Constraint) -> DataFrame:
+def _unique_keys(rows: DataFrame, c: Constraint) -> list[Column]:
+    return [F.col("pop_id"), *[group_key(r, rows.schema[r].dataType) for r in c.roles]]
+
+
+def check_uniqueness(facts: FactSet, c: Constraint, repeated: DataFrame | None = None) -> DataFrame:
     rows = facts.rows(c.fact_type)
-    keys = [F.col("pop_id"), *[group_key(r, rows.schema[r].dataType) for r in c.roles]]
-    return later_duplicates(rows, keys).select(*record(
+    return later_duplicates(rows, _unique_keys(rows, c), repeated=repeated).select(*record(
         "population/uniqueness-violation", c.severity, F.col("pop_id"), constraint=c.id, fact_type=c.fact_type,
         pop=F.col("pop_id"), inst=F.col("inst_id"),
         subject=[F.coalesce(F.col(r).cast("string"), F.lit("")) for r in c.roles],
@@ -46,6 +58,51 @@ def check_uniqueness(facts: FactSet, c: Constraint) -> DataFrame:
     ))
 
 
+KEY_KINDS = ("internal_uniqueness", "frequency")
+
+
+def check_keys(facts: FactSet, constraints: list[Constraint]) -> list[DataFrame]:
+    """Uniqueness and frequency constraints of one fact type from one pass over its rows.
+
+    Every row stands once for each distinct key set (grouping sets), and one combinable count tells all keys; only those
+    that some constraint objects to are stored. Frequencies are done with that; uniqueness then looks up the rows of
+    its repeated keys. A single constraint needs no such pass.
+    """
+    rows = facts.rows(constraints[0].fact_type)
+    if len(constraints) == 1:
+        c = constraints[0]
+        return [check_uniqueness(facts, c) if c.kind == "internal_uniqueness" else check_frequency(facts, c)]
+    roles = list(dict.fromkeys(r for c in constraints for r in c.roles))
+    # a missing value is part of a unique key, but not of a frequency
+    unique = {c.id: tuple(f"u_{r}" for r in c.roles) for c in constraints if c.kind == "internal_uniqueness"}
+    often = {c.id: tuple(f"f_{r}" for r in c.roles) for c in constraints if c.kind == "frequency"}
+    columns = ["pop_id", *dict.fromkeys(name for names in [*unique.values(), *often.values()] for name in names)]
+    named = {f"u_{r}": group_key(r, rows.schema[r].dataType) for r in roles} | {f"f_{r}": F.col(r) for r in roles}
+    sets = list(dict.fromkeys([*unique.values(), *often.values()]))
+    keyed = rows.select("pop_id", *[named[n].alias(n) for n in columns[1:]])
+    counts = keyed.groupingSets([[F.col("pop_id"), *map(F.col, names)] for names in sets], *map(F.col, columns)).agg(
+        F.count("*").alias("n"), F.grouping_id().alias("key_set"))
+    bit = {name: 1 << (len(columns) - 1 - i) for i, name in enumerate(columns)}
+    number = {names: sum(bit[n] for n in columns[1:] if n not in names) for names in sets}
+
+    def bad(c: Constraint) -> Column:
+        if c.kind == "internal_uniqueness":
+            return (F.col("key_set") == number[unique[c.id]]) & (F.col("n") > 1)
+        there = [F.col(n).isNotNull() for n in often[c.id]]
+        return reduce(lambda x, y: x & y, [F.col("key_set") == number[often[c.id]], *there, _off_bounds(c)])
+
+    found = materialize(counts.filter(reduce(lambda x, y: x | y, map(bad, constraints))), "key-counts")
+    parts = []
+    for c in constraints:
+        mine = found.filter(bad(c))
+        if c.kind == "internal_uniqueness":
+            keys = mine.select(*[F.col(n).alias(f"_k{i}") for i, n in enumerate(("pop_id", *unique[c.id]))])
+            parts.append(check_uniqueness(facts, c, keys))
+        else:
+            parts.append(_frequency_rows(mine.select("pop_id", "n", *[F.col(n).alias(r) for n, r in zip(often[c.id], c.roles)]), c))
+    return parts
+
+
 def infer_join(facts: FactSet, role_ids: tuple[str, ...]) -> tuple[str, dict[str, str]] | None:
     """Common object type of an external uniqueness constraint and its key role per constrained role.
 
@@ -102,22 +159,18 @@ def check_external_uniqueness(facts: FactSet, c: Constraint) -> DataFrame | None
     ))
 
 
-def check_frequency(facts: FactSet, c: Constraint) -> DataFrame | None:
-    if not c.roles:
-        return None
-    counts = (
-        facts.rows(c.fact_type).select("pop_id", *c.roles).dropna(subset=list(c.roles))
-        .groupBy("pop_id", *c.roles).agg(F.count("*").alias("n"))
-    )
+def _off_bounds(c: Constraint) -> Column:
     bad = F.col("n") < c.min
-    if c.max is not None:
-        bad = bad | (F.col("n") > c.max)
+    return bad if c.max is None else bad | (F.col("n") > c.max)
+
+
+def _frequency_rows(counts: DataFrame, c: Constraint) -> DataFrame:
     # A value can miss both bounds only when min > max; then it is reported once per bound.
     bounds = [F.when(F.col("n") < c.min, F.lit("min"))]
     if c.max is not None:
         bounds.append(F.when(F.col("n") > c.max, F.lit("max")))
     return (
-        counts.filter(bad).withColumn("bound", F.explode(F.array_compact(F.array(*bounds))))
+        counts.filter(_off_bounds(c)).withColumn("bound", F.explode(F.array_compact(F.array(*bounds))))
         .select(*record(
             "population/frequency-violation", c.severity, F.col("pop_id"), constraint=c.id, fact_type=c.fact_type,
             pop=F.col("pop_id"), subject=[F.col(r) for r in c.roles],
@@ -127,6 +180,14 @@ def check_frequency(facts: FactSet, c: Constraint) -> DataFrame | None:
     )
 
 
+def check_frequency(facts: FactSet, c: Constraint) -> DataFrame | None:
+    if not c.roles:
+        return None
+    return _frequency_rows(
+        facts.rows(c.fact_type).select("pop_id", *c.roles).dropna(subset=list(c.roles))
+        .groupBy("pop_id", *c.roles).agg(F.count("*").alias("n")), c)
+
+
 def column_not_null(df: DataFrame, column: str, shown: list[str]) -> DataFrame:
     return df.filter(F.col(column).isNull()).select(*shown, column)
 

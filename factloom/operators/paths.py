@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factloom.operators.sets import _flagged
 from factloom.plans.factset import FactSet
 from factloom.plans.model import Constraint, JoinOperand
+from factloom.plans.session import materialize
 from factloom.plans.violations import record, union
 
 
@@ -49,7 +50,10 @@ def _rows(df: DataFrame, c: Constraint, rule: str, keys: list[str], message: Col
 
 
 def with_rollup(details: DataFrame, c: Constraint, rule: str) -> DataFrame:
-    """The per-tuple rows plus one summary row for the constraint (only when it is violated)."""
+    """The per-tuple rows plus one summary row for the constraint (only when it is violated).
+
+    The rows are stored first, so that the paths are walked once for both."""
+    details = materialize(details, "path-violations")
     total = details.agg(F.count("*").alias("n")).filter("n > 0").select(*record(
         rule, c.severity, c.id or c.fact_type, constraint=c.id, fact_type=c.fact_type,
         detail={"tuples": F.col("n")}, message=F.concat(F.lit("violating tuples: "), F.col("n").cast("string"))))

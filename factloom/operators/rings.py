@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from factloom.operators.rows import check_rows
 from factloom.plans.factset import FactSet
 from factloom.plans.model import Constraint
-from factloom.plans.session import cut_lineage
+from factloom.plans.session import cut_lineage, materialize
 from factloom.plans.violations import record, union
 
 RULE = "population/ring-violation"
@@ -122,7 +122,7 @@ def _triangles(plain: DataFrame) -> DataFrame:
 
 def check_intransitive(facts: FactSet, c: Constraint) -> DataFrame:
     """One row per path a->b->c that a->c closes; ``row_pairs`` counts the pairs of rows forming it."""
-    return closed_paths(weighted_edges(facts, c)).select(*record(
+    return closed_paths(materialize(weighted_edges(facts, c), "weighted-edges")).select(*record(
         RULE, c.severity, F.col("pop_id"), constraint=c.id, fact_type=c.fact_type, pop=F.col("pop_id"),
         subject=[F.col("a"), F.col("b"), F.col("c")], detail={"row_pairs": F.col("n")},
         message="intransitive: the shortcut pair is present"))
@@ -135,7 +135,7 @@ def check_transitive(facts: FactSet, c: Constraint) -> DataFrame:
     continuations of (a, b) minus the closed ones. Listing each missing pair would
     be quadratic at hubs; ``missing_steps`` lists them for chosen pairs.
     """
-    edges = weighted_edges(facts, c)
+    edges = materialize(weighted_edges(facts, c), "weighted-edges")
     out = edges.groupBy("pop_id", F.col("a").alias("b")).agg(F.sum("m").alias("next"))
     closed = closed_paths(edges).groupBy("pop_id", "a", "b").agg(F.sum("n").alias("closed"))
     missing = (

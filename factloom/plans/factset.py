@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.plans.model import FactType, ObjectType, Role
+from factloom.plans.session import materialize
 
 META = ("pop_id", "inst_id", "ord", "sample")
 
@@ -16,6 +17,7 @@ META = ("pop_id", "inst_id", "ord", "sample")
 class _Binding:
     rows: DataFrame
     sample: bool
+    computed: bool = False
 
 
 class FactSet:
@@ -36,9 +38,12 @@ class FactSet:
         inst_id: str | Column,
         pop_id: str | Column,
         sample: bool = False,
+        computed: bool = False,
     ) -> "FactSet":
         """Bind a table to a fact type. ``ord`` is any sortable column; it defines first and last.
 
+        ``computed`` marks rows that are dear to compute (joins, windows): where several checks read them, they are stored once.
+
         Returns a new FactSet; the receiver is unchanged.
         """
         def column(c: str | Column) -> Column:
@@ -55,9 +60,22 @@ class FactSet:
                 for r in declared
             ],
         )
+        other = self._copy()
+        other._bindings.setdefault(fact_type, []).append(_Binding(rows, sample, computed))
+        return other
+
+    def _copy(self) -> "FactSet":
         other = FactSet(list(self.fact_types.values()), list(self.object_types.values()))
         other._bindings = {k: list(v) for k, v in self._bindings.items()}
-        other._bindings.setdefault(fact_type, []).append(_Binding(rows, sample))
+        return other
+
+    def is_computed(self, fact_type: str) -> bool:
+        return any(b.computed for b in self._bindings.get(fact_type, []))
+
+    def store(self, fact_type: str) -> "FactSet":
+        """The same facts, with the computed rows of a fact type written to the shared folder and read from there."""
+        other = self._copy()
+        other._bindings[fact_type] = [_Binding(materialize(b.rows, f"rows-{fact_type}"), b.sample) if b.computed else b for b in self._bindings[fact_type]]
         return other
 
     def role(self, role_id: str) -> tuple[FactType, Role]:

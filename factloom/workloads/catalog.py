@@ -178,7 +178,17 @@ def q12(t: Tables):
     return Q.shortest_paths(catalog(t), "Order 3", "Order 40").select("model_id", "found", "hops")
 
 
-@query("q12_shortest_path")  # the chosen steps depend on search order; tests compare them with a plain search
+# Breadth first: objects reached for the first time, each with the least path by positions; what is reached is not entered again.
+_POSITIONS = """sp AS MATERIALIZED (SELECT x.model_id, x.fact_type_id, x.player_id AS a, z.player_id AS b, [CAST(f.seq AS BIGINT), x.pos, z.pos] AS place FROM roles x JOIN roles z ON z.model_id = x.model_id AND z.fact_type_id = x.fact_type_id
+  AND x.pos <> z.pos AND x.player_id <> z.player_id JOIN fact_types f ON f.model_id = x.model_id AND f.fact_type_id = x.fact_type_id WHERE x.model_id IN (SELECT model_id FROM ent) AND x.model_id IN (SELECT model_id FROM fin))"""
+_BREADTH = """bf(model_id, node, place, steps) USING KEY (model_id, node) AS (SELECT model_id, entity_id, CAST([] AS BIGINT[]), CAST([] AS STRUCT(f VARCHAR, a VARCHAR, b VARCHAR)[]) FROM ent
+  UNION SELECT y.model_id, y.node, min(y.place), arg_min(y.steps, y.place) FROM (SELECT bf.model_id, sp.b AS node, list_concat(bf.place, sp.place) AS place, list_append(bf.steps, struct_pack(f := sp.fact_type_id, a := sp.a, b := sp.b)) AS steps
+    FROM bf JOIN sp ON sp.model_id = bf.model_id AND sp.a = bf.node) y ANTI JOIN recurring.bf o ON o.model_id = y.model_id AND o.node = y.node GROUP BY y.model_id, y.node)"""
+
+
+@_query("q12_shortest_path", """SELECT model_id, steps IS NOT NULL AS found, CAST(step - 1 AS INTEGER) AS step, steps[step].f AS fact_type_id, steps[step].a AS "from", steps[step].b AS "to"
+  FROM (SELECT ent.model_id, bf.steps, unnest(CASE WHEN len(bf.steps) > 0 THEN range(1, len(bf.steps) + 1) ELSE [NULL] END) AS step FROM ent JOIN fin USING (model_id) LEFT JOIN bf ON bf.model_id = fin.model_id AND bf.node = fin.entity_id)""",
+        entity("Order 3"), entity("Order 40", "fin"), _POSITIONS, _BREADTH)
 def q12_steps(t: Tables):
     return Q.shortest_paths(catalog(t), "Order 3", "Order 40").select("model_id", "found", F.posexplode_outer("steps").alias("step", "s")).select("model_id", "found", "step", "s.fact_type_id", "s.from", "s.to")
 
@@ -361,9 +371,10 @@ _lint("l20_derivations", L.derivations,
       _row("derivation/missing-rule", "warning", "subtype_fact_id", "''", "FROM subtype_facts WHERE derivation_kind IS NOT NULL AND trim(coalesce(derivation_rule, '')) = ''"),
       _row("derivation/derived-with-population", "warning", "fact_type_id", "''", f"FROM fact_types y WHERE derivation_kind = 'derived' AND derivation_storage IS NULL AND NOT {_no('populations', 'z.fact_type_id = y.fact_type_id')}"))
 
-_DOMAINS = "SELECT CAST(floor(o_orderkey / 64.0) AS BIGINT) AS project_id, concat('d', o_orderkey % 64) AS context, CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(o_orderkey / 64.0) AS BIGINT) END AS model_id FROM orders WHERE o_orderkey % 64 < 12"
-_MAPPINGS = "SELECT CAST(floor(k / 64.0) AS BIGINT) AS project_id, concat('map/', k, '.yaml') AS path, concat('d', part % 14) AS source_context, concat('d', supp % 14) AS target_context, concat('Order ', part % 70) AS source_name, concat('Order ', supp % 70) AS target_name FROM l WHERE n = 1"
-_PRODUCTS = "SELECT CAST(floor(o_orderkey / 64.0) AS BIGINT) AS project_id, concat('product/', o_orderkey) AS path, {array}(concat('d', o_orderkey % 15), concat('d', o_orderkey % 5)) AS domains, {array}(concat('map/', o_orderkey, '.yaml'), CAST(o_orderkey AS {text}), concat('zzz', o_orderkey)) AS mappings FROM orders WHERE o_orderkey % 64 >= 20 AND o_orderkey % 64 < 30"
+# Every order is a domain, a mapping and a product of its project. Contexts from d64 on, and those of keys without an order, are nobody's.
+_DOMAINS = "SELECT CAST(floor(o_orderkey / 64.0) AS BIGINT) AS project_id, concat('d', o_orderkey % 64) AS context, CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(o_orderkey / 64.0) AS BIGINT) END AS model_id FROM orders"
+_MAPPINGS = "SELECT CAST(floor(k / 64.0) AS BIGINT) AS project_id, concat('map/', k, '.yaml') AS path, concat('d', part % 70) AS source_context, concat('d', supp % 70) AS target_context, concat('Order ', part % 70) AS source_name, concat('Order ', supp % 70) AS target_name FROM l WHERE n = 1"
+_PRODUCTS = "SELECT CAST(floor(o_orderkey / 64.0) AS BIGINT) AS project_id, concat('product/', o_orderkey) AS path, {array}(concat('d', o_custkey % 70), concat('d', o_orderkey % 5)) AS domains, {array}(concat('map/', o_orderkey, '.yaml'), CAST(o_orderkey AS {text}), concat('zzz', o_orderkey)) AS mappings FROM orders"
 
 
 def _project(rule: str, severity: str, subject: str, body: str) -> str:
@@ -373,7 +384,7 @@ def _project(rule: str, severity: str, subject: str, body: str) -> str:
 _PROJECT_CTES = (f"dm AS ({_DOMAINS})", f"mp AS ({_MAPPINGS})", "pr AS (" + _PRODUCTS.replace("{array}", "list_value").replace("{text}", "VARCHAR") + ")")
 
 
-@_query("l21_project_mappings", " UNION ALL ".join(
+@_query("l21_project_mappings_all", " UNION ALL ".join(
     [_project(f"mapping-{end}-context-missing", "error", f"{end}_context", f"FROM mp WHERE (project_id, {end}_context) NOT IN (SELECT (project_id, context) FROM dm)") for end in ("source", "target")]
     + [_project(f"entity-mapping-{end}-missing", "error", f"{end}_name", f"FROM (SELECT mp.*, dm.model_id FROM mp JOIN dm ON dm.project_id = mp.project_id AND dm.context = mp.{end}_context WHERE dm.model_id IS NOT NULL) y WHERE {_no('object_types', f'z.name = y.{end}_name')}") for end in ("source", "target")]), *_PROJECT_CTES)
 def l21(t: Tables):
@@ -384,7 +395,7 @@ def l21(t: Tables):
     return L.project_mappings(dm, mp.select("project_id", "path", "source_context", "target_context"), mp.select("project_id", "path", "source_name", "target_name"), cat.object_types)
 
 
-@_query("l21_project_products", " UNION ALL ".join([
+@_query("l21_project_products_all", " UNION ALL ".join([
     _project("product-domain-dependency-missing", "error", "dep", "FROM (SELECT project_id, path, unnest(domains) AS dep FROM pr) WHERE (project_id, dep) NOT IN (SELECT (project_id, context) FROM dm)"),
     _project("product-mapping-dependency-unresolved", "warning", "dep", "FROM (SELECT project_id, path, unnest(mappings) AS dep FROM pr) y WHERE NOT EXISTS (SELECT 1 FROM mp WHERE mp.project_id = y.project_id AND contains(mp.path, y.dep))")]), *_PROJECT_CTES)
 def l21_products(t: Tables):

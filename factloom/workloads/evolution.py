@@ -139,8 +139,9 @@ def d02(t: Tables):
     return _joined(D.fact_type_deltas(catalog(t), revised(t)))
 
 
-_GLOSSARY = "SELECT doc_id % 7 AS model_id, concat('term ', doc_id) AS name, text AS definition, CASE WHEN doc_id % 4 <> 0 THEN lang END AS context, doc_id AS seq FROM documents WHERE doc_id % 10 <> 1"
-_GLOSSARY_B = "SELECT doc_id % 7 AS model_id, concat('term ', doc_id) AS name, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' revised') ELSE text END AS definition, CASE WHEN doc_id % 5 <> 0 THEN lang END AS context, doc_id AS seq FROM documents WHERE doc_id % 9 <> 1"
+# Every document is a term on both sides; some are named otherwise on one of them, and so removed, added or both.
+_GLOSSARY = "SELECT doc_id % 7 AS model_id, concat(CASE WHEN doc_id % 9 = 1 THEN 'old term ' ELSE 'term ' END, doc_id) AS name, text AS definition, CASE WHEN doc_id % 4 <> 0 THEN lang END AS context, doc_id AS seq FROM documents"
+_GLOSSARY_B = "SELECT doc_id % 7 AS model_id, concat(CASE WHEN doc_id % 10 = 1 THEN 'new term ' ELSE 'term ' END, doc_id) AS name, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' revised') ELSE text END AS definition, CASE WHEN doc_id % 5 <> 0 THEN lang END AS context, doc_id AS seq FROM documents"
 _DEFINITION_DELTAS = _delta("definition", "gl", [
     ("a.definition <> b.definition", "'definition text changed'", 1),
     ("coalesce(a.context, '') <> coalesce(b.context, '')", f"'context: ' || {_NONE.format('a.context')} || ' -> ' || {_NONE.format('b.context')}", 1)])
@@ -153,7 +154,7 @@ def glossaries(t: Tables):
 _GL = f"gl AS ({_GLOSSARY}), gl_b AS ({_GLOSSARY_B})"
 
 
-@query("d01_definition_deltas", f"WITH {_GL} {_DEFINITION_DELTAS}")
+@query("d01_all_definition_deltas", f"WITH {_GL} {_DEFINITION_DELTAS}")
 def d01_definitions(t: Tables):
     return _joined(D.definition_deltas(*glossaries(t)))
 
@@ -226,20 +227,38 @@ _MF = _merge_cte("mf", "fs") + """, mr AS (SELECT f.model_id, coalesce(f.x.fact_
   UNION ALL SELECT f.model_id, coalesce(f.x.fact_type_id, f.y.fact_type_id), r.role_id, r.pos, r.name, r.player_id FROM mf f JOIN roles_b r ON r.model_id = f.model_id AND r.fact_type_id = f.y.fact_type_id WHERE source = 'b')"""
 
 
-@_query("d06_merged_roles", """SELECT mr.model_id, fact_type_id, role_id, pos, mr.name, CASE WHEN k.object_type_id IS NOT NULL THEN was ELSE coalesce(m.object_type_id, was) END AS player_id
-  FROM mr LEFT JOIN mt k ON k.model_id = mr.model_id AND k.object_type_id = was LEFT JOIN mt m ON m.model_id = mr.model_id AND m.other = was""", *SHAPES, _MO, _MF)
+_MERGED_ROLES = """SELECT mr.model_id, fact_type_id, role_id, pos, mr.name, CASE WHEN k.object_type_id IS NOT NULL THEN was ELSE coalesce(m.object_type_id, was) END AS player_id
+  FROM mr LEFT JOIN mt k ON k.model_id = mr.model_id AND k.object_type_id = was LEFT JOIN mt m ON m.model_id = mr.model_id AND m.other = was"""
+
+
+@_query("d06_merged_roles", _MERGED_ROLES, *SHAPES, _MO, _MF)
 def d06_roles(t: Tables):
     return merged(t).roles.select("model_id", "fact_type_id", "role_id", "pos", "name", "player_id")
 
 
-@query("d06_merged_definitions", f"WITH {_GL} SELECT d.model_id, d.name, CASE WHEN src = 'a' THEN a.definition ELSE b.definition END AS definition FROM (SELECT *, CASE WHEN kind = 'unchanged' THEN 'a' WHEN kind = 'added' THEN CASE WHEN {_YES.format('')} THEN 'b' END WHEN kind = 'removed' THEN CASE WHEN {_YES.format('')} THEN NULL ELSE 'a' END WHEN {_YES.format('')} THEN 'b' ELSE 'a' END AS src FROM ({_DEFINITION_DELTAS})) d LEFT JOIN gl a ON a.model_id = d.model_id AND a.name = d.name LEFT JOIN gl_b b ON b.model_id = d.model_id AND b.name = d.name WHERE src IS NOT NULL")
+@query("d06_all_merged_definitions", f"WITH {_GL} SELECT d.model_id, d.name, CASE WHEN src = 'a' THEN a.definition ELSE b.definition END AS definition FROM (SELECT *, CASE WHEN kind = 'unchanged' THEN 'a' WHEN kind = 'added' THEN CASE WHEN {_YES.format('')} THEN 'b' END WHEN kind = 'removed' THEN CASE WHEN {_YES.format('')} THEN NULL ELSE 'a' END WHEN {_YES.format('')} THEN 'b' ELSE 'a' END AS src FROM ({_DEFINITION_DELTAS})) d LEFT JOIN gl a ON a.model_id = d.model_id AND a.name = d.name LEFT JOIN gl_b b ON b.model_id = d.model_id AND b.name = d.name WHERE src IS NOT NULL")
 def d06_definitions(t: Tables):
     a, b = glossaries(t)
     yes = a.select("model_id", "name").union(b.select("model_id", "name")).distinct().filter(_YES.format(""))
     return D.merge_definitions(a, b, yes).select("model_id", "name", "definition")
 
 
-@_query("d07_merge_gate", None)  # tests run the SQL of the rules on the merged models
+def _gate_sql() -> str:
+    """The SQL of the structural rules, reading the merged models under the names of the catalog's tables."""
+    from factloom.workloads.catalog import LINT
+
+    pick = lambda c: f"CASE source WHEN 'a' THEN x.{c} ELSE y.{c} END AS {c}"
+    types = f"SELECT model_id, coalesce(x.object_type_id, y.object_type_id) AS object_type_id, name, {pick('kind')}, {pick('seq')} FROM mo WHERE source IS NOT NULL"
+    facts = f"SELECT model_id, coalesce(x.fact_type_id, y.fact_type_id) AS fact_type_id, name, {pick('seq')} FROM mf WHERE source IS NOT NULL"
+    rules = [LINT[n] for n in ("l01_dangling_roles", "l02_duplicate_names", "l04_subtype_references", "l05_subtype_cycle", "l06_objectification")]
+    shadows = [f"{n} AS MATERIALIZED (SELECT * FROM merged_{n})" for n in ("object_types", "fact_types", "roles")]
+    ctes = list(dict.fromkeys(cte for _, found in rules for cte in found))
+    every = " UNION ALL ".join(f"SELECT model_id, rule_id, severity FROM ({select})" for select, _ in rules)
+    return f"""merged_object_types AS ({types}), merged_fact_types AS ({facts}), merged_roles AS ({_MERGED_ROLES})
+  SELECT model_id, rule_id, count(*) AS n FROM (WITH RECURSIVE {', '.join([*shadows, *ctes])} SELECT * FROM ({every})) WHERE severity = 'error' GROUP BY ALL"""
+
+
+@query("d07_merge_gate", with_catalog(_gate_sql(), *_B, *SHAPES, _MO, _MF).replace("\nmerged_object_types", ", merged_object_types", 1))
 def d07(t: Tables):
     return D.structural_errors(merged(t)).groupBy("model_id", "rule_id").agg(F.count("*").alias("n"))
 

@@ -54,7 +54,7 @@ BINDINGS = {
         inst_id=F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), pop_id=F.lit("lines")),
     "dates": lambda fs, t: fs.bind("dates", t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")), {
         "da_ship": "l_shipdate", "da_order": "o_orderdate"}, ord="l_shipdate",
-        inst_id=F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), pop_id=F.lit("dates")),
+        inst_id=F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), pop_id=F.lit("dates"), computed=True),
     "cust_nation": lambda fs, t: fs.bind("cust_nation", t.customer, {"cn_cust": "c_custkey", "cn_nation": "c_nationkey"},
                                          ord="c_custkey", inst_id="c_custkey", pop_id=F.lit("cust_nation")),
     "cust_segment": lambda fs, t: fs.bind("cust_segment", t.customer, {"cs_cust": "c_custkey", "cs_seg": "c_mktsegment"},
@@ -69,7 +69,7 @@ BINDINGS = {
                              .bind("label", t.labels.filter("toxic = 1"), {"lb_doc": "doc_id", "lb_quality": "quality"},
                                    ord="doc_id", inst_id="doc_id", pop_id=F.lit("labels-sample"), sample=True),
     "follow": lambda fs, t: fs.bind("follow", follow_rows(t), {"fo_a": "user_id", "fo_b": "next_user"},
-                                    ord=F.struct("ts", "event_id"), inst_id="event_id", pop_id=F.col("event_type")),
+                                    ord=F.struct("ts", "event_id"), inst_id="event_id", pop_id=F.col("event_type"), computed=True),
     "state": lambda fs, t: fs.bind("state", t.orders, {
         "st_done": F.expr("CASE WHEN o_orderstatus = 'F' THEN o_custkey END"),
         "st_open": F.expr("CASE WHEN o_orderstatus = 'O' OR o_orderpriority = '1-URGENT' THEN o_custkey END")},

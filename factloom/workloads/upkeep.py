@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -51,9 +53,9 @@ _K = (f"ce AS (SELECT * FROM ({_CELLS}) WHERE (model_id, pop_id) IN (SELECT (mod
       """idf AS (SELECT a.model_id, a.fact_type_id, a.player_id AS entity_id, a.role_id AS entity_role, b.role_id AS value_role, f.seq = min(f.seq) OVER (PARTITION BY a.model_id, a.player_id) AS first FROM roles a JOIN ar ON ar.model_id = a.model_id AND ar.fact_type_id = a.fact_type_id AND arity = 2
         JOIN roles b ON b.model_id = a.model_id AND b.fact_type_id = a.fact_type_id AND b.pos <> a.pos JOIN object_types o ON o.model_id = a.model_id AND o.object_type_id = a.player_id AND o.kind = 'entity' AND o.reference_mode <> ''
         JOIN object_types v ON v.model_id = b.model_id AND v.object_type_id = b.player_id AND v.kind = 'value' JOIN fact_types f ON f.model_id = a.model_id AND f.fact_type_id = a.fact_type_id)""",
-      "cl AS (SELECT ce.*, ok.fact_type_id FROM ce JOIN ok USING (model_id, pop_id) WHERE (ce.model_id, ce.pop_id, ce.inst_id) NOT IN (SELECT (model_id, pop_id, inst_id) FROM inc))",
-      """ent AS (SELECT DISTINCT cl.model_id, i.fact_type_id, i.entity_id, cl.value FROM cl JOIN roles r ON r.model_id = cl.model_id AND r.fact_type_id = cl.fact_type_id AND r.role_id = cl.role_id JOIN idf i ON i.model_id = r.model_id AND i.entity_id = r.player_id AND i.first
-        WHERE (cl.model_id, i.fact_type_id, cl.value) NOT IN (SELECT (model_id, fact_type_id, value) FROM cl))""",
+      "cl AS (SELECT ce.*, ok.fact_type_id FROM ce JOIN ok USING (model_id, pop_id) ANTI JOIN inc USING (model_id, pop_id, inst_id))",
+      """ent AS (SELECT * FROM (SELECT DISTINCT cl.model_id, i.fact_type_id, i.entity_id, cl.value FROM cl JOIN roles r ON r.model_id = cl.model_id AND r.fact_type_id = cl.fact_type_id AND r.role_id = cl.role_id JOIN idf i ON i.model_id = r.model_id AND i.entity_id = r.player_id AND i.first)
+        ANTI JOIN cl USING (model_id, fact_type_id, value))""",
       "cc AS (SELECT *, row_number() OVER () AS rid FROM (SELECT * FROM constraints UNION ALL SELECT * REPLACE (ord + 20 AS ord) FROM constraints WHERE length(constraint_id) % 2 = 0))",
       "cr AS (SELECT rid, model_id, fact_type_id, type, unnest(role_ids) AS role_id FROM cc)",
       "cu AS (SELECT DISTINCT rid FROM cr LEFT JOIN (SELECT DISTINCT model_id, role_id, TRUE AS known FROM roles) USING (model_id, role_id) WHERE known IS NULL)",
@@ -72,8 +74,20 @@ _K = (f"ce AS (SELECT * FROM ({_CELLS}) WHERE (model_id, pop_id) IN (SELECT (mod
 _K = tuple(part.replace(" AS (", " AS MATERIALIZED (", 1) for part in _K)
 
 
+def _needed(select: str) -> list[str]:
+    """The named parts that a SELECT reads, directly or through others, in their order."""
+    kept: list[str] = []
+    text = select
+    for part in reversed(_K):
+        name = part.split(" AS ", 1)[0]
+        if re.search(rf"\b{name}\b", text):
+            kept.insert(0, part)
+            text += part
+    return kept
+
+
 def _clean(name: str, select: str):
-    return query(name, with_catalog(select, *_K))
+    return query(name, with_catalog(select, *_needed(select)))
 
 
 @_clean("k01_empty_populations", "SELECT model_id, pop_id, fact_type_id FROM em")
@@ -113,7 +127,7 @@ def k06(t: Tables):
 
 
 @_clean("k07_orphaned_reference_modes", """SELECT model_id, object_type_id AS entity_id FROM object_types WHERE kind = 'entity' AND reference_mode <> ''
-  AND (model_id, object_type_id) NOT IN (SELECT (model_id, entity_id) FROM idf)""")
+  AND NOT EXISTS (SELECT 1 FROM idf WHERE idf.model_id = object_types.model_id AND idf.entity_id = object_types.object_type_id)""")
 def k07(t: Tables):
     return K.orphaned_reference_modes(catalog(t))
 
