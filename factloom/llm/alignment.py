@@ -10,7 +10,6 @@ document's links are looked up in those counts.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +21,10 @@ from factloom.plans.session import materialize
 
 WORK = 1 << 16  # ends of a piece
 TEXT_BYTES = 1 << 21  # text aligned at once; a longer document stands alone
-SEGMENT = 1 << 20  # characters tokenised at once
 LINKS = 1 << 22  # links listed at once
 BROADCAST_PAIRS = 1 << 20  # up to so many id pairs their counts go to every task; beyond, they are joined by shuffle
 TIMES_BITS = 31  # of a packed link; the rest is the id pair
 
-# Both vocabularies begin a new token at a space between two of these letters.
-_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-
 
 def merge_path(a: np.ndarray, b: np.ndarray, work: int) -> tuple[np.ndarray, np.ndarray]:
     """Cuts (i, j), from (0, 0) to (len(a), len(b)), of the merge of two ascending lists into pieces of about `work` entries.
@@ -83,20 +78,13 @@ class Vocabularies:
         self.shown = pa.array([f"{i}{mark}" for i in range(max(len(self.a_lengths), len(b_bytes))) for mark in (",", "|", ";", "")], pa.large_binary())
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)  # no token goes on beyond a space
 
-    def _segments(self, text: str) -> Iterator[str]:
-        """A space and the text, in parts that both vocabularies tokenise alone as they do together; each starts with a space."""
-        text, start = " " + text, 0
-        while self.apart and len(text) - start > SEGMENT and (cut := _SAFE.search(text, start + SEGMENT)):
-            yield text[start:cut.start()]
-            start = cut.start()
-        yield text[start:]
-
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """A and B ids; None for null and empty texts and where either's bytes are not those of the text."""
         if not text:
             return None
         a_parts, b_parts = [], []
-        for part in self._segments(text):
+        # long texts in parts that both vocabularies tokenise alone as they do together; each starts with a space
+        for part in byte_bpe.safe_parts(" " + text) if self.apart and self.a.fast else [" " + text]:
             a, b = np.array(self.a.ordinary(part), np.int32), np.array(self.b.encode(part[1:]), np.int32)
             whole = part.encode()
             if any(_joined(t.take(pa.array(i))) != whole for t, i in ((self.a_bytes, a), (self.b_bytes, b))):

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import array
 import json
 import re
+import sys
+from collections.abc import Iterator
 
 # Fixed value: the split pattern that byte-level vocabularies are made for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SEGMENT = 1 << 20  # characters of a long text tokenised at once
+_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")  # the pattern begins a new token here, whatever stands around
 _LONG_BLANK = re.compile(r"\s{2000}")  # runs beyond this overflow the fast encoder's stack
 
 
+def safe_parts(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in parts of about `size` characters, cut only before a space between two Latin letters."""
+    size, start = size or SEGMENT, 0
+    while len(text) - start > size and (cut := _SAFE.search(text, start + size)):
+        yield text[start:cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in the vocabulary file: itself where it is printable, else from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,11 +64,23 @@ class ByteBpe:
             return self.plain.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
-    def ids(self, text: str) -> list[int]:
-        """Ids of a text in which the names of special tokens are those tokens."""
-        if not any(name in text for name in self.added):
-            return self.ordinary(text)
-        return [i for part in self._cut.split(text) if part for i in ([self.added[part]] if part in self.added else self.ordinary(part))]
+    def ids(self, text: str) -> array.array:
+        """Ids, as unsigned 32-bit numbers, of a text in which the names of special tokens are those tokens."""
+        found = array.array("I")
+        for part in self._cut.split(text) if any(name in text for name in self.added) else [text]:
+            if part in self.added:
+                found.append(self.added[part])
+            elif part:
+                for piece in safe_parts(part) if self.fast else [part]:
+                    found.extend(self.ordinary(piece))
+        return found
+
+
+def little_endian(ids: array.array) -> bytes:
+    if sys.byteorder != "little":
+        ids = array.array("I", ids)
+        ids.byteswap()
+    return ids.tobytes()
 
 
 _LOADED: dict[str, ByteBpe] = {}

@@ -7,8 +7,6 @@ When one more is open than allowed, the fullest closes.
 
 from __future__ import annotations
 
-import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,76 +14,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from factloom.llm import byte_bpe
 from factloom.plans.session import materialize
 
 CAPACITY = 1024
 END = 2  # the id that ends each document
 OPEN = 256  # open sequences of a task
 PIECES = 32768  # pieces packed by one task
-MARKS = ".,!?;:"
-KNOWN = 600_000  # chunks whose ids a worker remembers before it starts anew
-
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# No token of this vocabulary crosses the bounds of these chunks: a run of other characters with one space before it, or white space.
-_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_BLANK = re.compile(f"[{_SPACE}]")
-
-
-class Ids:
-    """Token ids of texts as little-endian 32-bit bytes; each distinct chunk is tokenised once."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.newline = self._encode("\n")
-        self.marks = {mark: self._encode(mark) for mark in MARKS}
-
-    def _encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Tokenise new chunks in one call, apart by newlines, which stand alone and occur in no dark chunk. A mark after a
-        letter is a token of its own, so such chunks are put together from the word and the mark."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        marked = [c for c in new if c[-1] in MARKS and "A" <= c[-2:-1] < "\u0250" and c[-2].isalpha()]
-        light = [c for c in new if _BLANK.match(c[-1])]
-        apart = {*marked, *light}
-        whole = [c for c in new if c not in apart]
-        dark = list(dict.fromkeys([*whole, *(c[:-1] for c in marked if c[:-1] not in self.known)]))
-        for c in light:
-            self.known[c] = self._encode(c)
-        ids = self.tokenizer.encode("\n".join(dark), add_special_tokens=False).ids
-        (newline,) = struct.unpack("<I", self.newline)
-        start = 0
-        for c in dark:
-            end = ids.index(newline, start) if c is not dark[-1] else len(ids)
-            self.known[c] = struct.pack(f"<{end - start}I", *ids[start:end])
-            start = end + 1
-        for c in marked:
-            self.known[c] = self.known[c[:-1]] + self.marks[c[-1]]
-
-    def of(self, text: str) -> bytes:
-        chunks = _CHUNK.findall(text)
-        try:
-            return b"".join([self.known[c] for c in chunks])
-        except KeyError:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            self._learn(chunks)
-            return b"".join([self.known[c] for c in chunks])
-
-
-_LOADED: dict[str, Ids] = {}
-
-
-def _vocabulary(path: str) -> Ids:
-    if path not in _LOADED:
-        _LOADED[path] = Ids(path)
-    return _LOADED[path]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
@@ -93,19 +28,21 @@ def cut_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     """Rows of docs -> doc_id, piece, start, length, ids_crc32 (and ids, little-endian bytes): each document's ids and the
     end id, cut into pieces of `capacity`, of which the first takes the rest.
 
-    Null and empty texts are the end id alone. Repeated rows are tokenised each for itself; other columns take no part."""
+    Names of the vocabulary's special tokens in a text are those tokens. Null and empty texts are the end id alone. Repeated
+    rows are tokenised each for itself; other columns take no part."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                         *([("ids", pa.binary())] if with_ids else [])])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, last = _vocabulary(tokenizer), struct.pack("<I", end)
+        vocabulary = byte_bpe.load(tokenizer)
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = vocabulary.of(body.as_py() or "") + last
-                cut = (len(ids) // 4 - 1) % capacity + 1
-                for piece, (a, b) in enumerate(zip([0, *range(cut, len(ids) // 4, capacity)], range(cut, len(ids) // 4 + 1, capacity))):
-                    part = ids[4 * a:4 * b]
+                ids = vocabulary.ids(body.as_py() or "")
+                ids.append(end)
+                cut = (len(ids) - 1) % capacity + 1
+                for piece, (a, b) in enumerate(zip([0, *range(cut, len(ids), capacity)], range(cut, len(ids) + 1, capacity))):
+                    part = byte_bpe.little_endian(ids[a:b])
                     for column, value in zip(rows, (key, piece, a, b - a, zlib.crc32(part), part)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
