@@ -13,7 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from factloom.plans.session import materialize
 
 WIDTH = 1 << 14  # hashed grams
 CLUSTERS = 4  # centroids of a language
@@ -21,7 +23,7 @@ SAMPLE = 384  # texts of a language that are clustered; document frequencies cov
 ROUNDS = 8
 MARGIN = 0.5  # rejected below this part of the least similarity seen in the sample
 MOST_LANGUAGES = 1000  # the model has MOST_LANGUAGES * CLUSTERS * WIDTH numbers at most
-SLICE = 1 << 20  # characters counted at once; grams do not span slices
+SLICE = 1 << 20  # characters counted at once
 UNKNOWN = "und"
 
 _LETTER: list[np.ndarray] = []
@@ -33,24 +35,31 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
+def _grams(codes: np.ndarray) -> np.ndarray:
+    """Buckets of the 1-, 2- and 3-grams of codes, of which 0 stands between words."""
+    two = codes[:-1] * np.uint64(0x110000) + codes[1:]
+    three = two[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    grams = np.concatenate([codes[codes != 0] + np.uint64(1 << 60), two, three])
+    grams ^= grams >> np.uint64(29)
+    return ((grams * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(50)).astype(np.int64)
+
+
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of a text; empty arrays without a letter."""
-    total = None
-    for start in range(0, len(text or ""), SLICE):
-        codes = np.frombuffer(text[start:start + SLICE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    """(buckets, counts) of a text; empty arrays without a letter. A slice begins with the last two codes of the one before,
+    whose own grams are not counted again, so grams span slices."""
+    total, letters, carried = np.zeros(WIDTH, np.int64), 0, np.zeros(1, np.uint64)
+    lower = (text or "").lower()
+    for start in range(0, len(lower), SLICE):
+        codes = np.frombuffer(lower[start:start + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.where(_letters()[codes], codes, 0).astype(np.uint64)
-        codes = np.concatenate([[np.uint64(0)], codes, [np.uint64(0)]])
+        letters += int((codes != 0).sum())
+        codes = np.concatenate([carried, codes, np.zeros(int(start + SLICE >= len(lower)), np.uint64)])
         codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]  # one mark between words
-        if len(codes) < 3:
-            continue
-        two = codes[:-1] * np.uint64(0x110000) + codes[1:]
-        three = two[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        grams = np.concatenate([codes[codes != 0] + np.uint64(1 << 60), two, three])
-        grams ^= grams >> np.uint64(29)
-        buckets = ((grams * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(50)).astype(np.int64)
-        part = np.bincount(buckets, minlength=WIDTH)
-        total = part if total is None else total + part
-    if total is None:
+        total += np.bincount(_grams(codes), minlength=WIDTH)
+        carried = codes[-2:]
+        if start + SLICE < len(lower):  # what the carried codes alone make comes again with the next slice
+            total -= np.bincount(_grams(carried), minlength=WIDTH)
+    if not letters:
         return np.empty(0, np.int64), np.empty(0)
     found = np.flatnonzero(total)
     return found, total[found].astype(np.float64)
@@ -126,27 +135,42 @@ def cluster(vectors: np.ndarray, clusters: int, rounds: int = ROUNDS) -> np.ndar
     return centroids
 
 
+def _samples(spelt: DataFrame, sample: int) -> DataFrame:
+    """lang, hash, text: the `sample` distinct texts of each language that come first in the order of a hash, or all.
+
+    Chosen by hashes alone: the number of distinct ones per language, at most a row per language, thins them where they are
+    read; the few that are left are ranked. Their list, at most `sample` rows a language, then picks the texts, so
+    no other text is ever shuffled, however often any is repeated."""
+    place = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    hashes = materialize(spelt.select("lang", "hash").distinct().withColumn("place", place), "language-hashes")
+    sizes = hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages, for which the model is made")
+    thin = hashes.join(F.broadcast(sizes), "lang").filter(F.col("place") < 8.0 * sample / F.col("n"))
+    first = Window.partitionBy("lang").orderBy("place", "hash")
+    chosen = thin.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample).select("lang", "hash", "place")
+    return spelt.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "place", "hash").agg(F.min("text").alias("text"))
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, clusters: int = CLUSTERS) -> LanguageModel:
     """Learn from rows with a language; rows with null language, null text or no letter teach nothing.
 
     Document frequencies come from all rows. Clustered are the `sample` distinct texts of each language that come first in
-    the order of a hash of the text, or all if there are fewer; candidates are thinned beforehand by the same hash and the
-    number of distinct texts, however often each is repeated, so no task gathers more than a few samples of a language."""
+    the order of a hash of the text, or all if there are fewer; only their vectors reach the task that clusters them. More
+    than MOST_LANGUAGES languages are an error."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     frequency = _document_frequencies(rows.select("text"))
     idf = np.log((1 + frequency[WIDTH]) / (1 + frequency[:WIDTH])) + 1
     spelt = rows.filter(_has_letter(F.col("text"))).withColumn("hash", F.xxhash64("text"))
-    sizes = spelt.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    place = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
-    few = (
-        spelt.withColumn("place", place).join(sizes, "lang").filter(F.col("place") < 8.0 * sample / F.col("n"))
-        .groupBy("lang", "place", "hash").agg(F.min("text").alias("text")))
+
+    @F.pandas_udf("buckets array<int>, weights array<float>")
+    def vector(texts: pd.Series) -> pd.DataFrame:
+        made = [_vector(t, idf) for t in texts]
+        return pd.DataFrame({"buckets": [b.astype(np.int32) for b, _ in made], "weights": [w.astype(np.float32) for _, w in made]})
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "hash"], kind="stable").head(sample)
         vectors = []
-        for body in group["text"]:
-            found, weights = _vector(body, idf)
+        for found, weights in group.sort_values(["place", "hash"], kind="stable")[["buckets", "weights"]].itertuples(index=False):
             if len(found):
                 vectors.append(np.zeros(WIDTH, np.float32))
                 vectors[-1][found] = weights
@@ -157,10 +181,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
         least = MARGIN * float((matrix @ made.T).max(axis=1).min())
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.astype(np.float32) for c in made], "least": least})
 
+    few = _samples(spelt, sample).withColumn("vector", vector("text")).select("lang", "place", "hash", "vector.*")
     found = few.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, least double").collect()
-    names = sorted({r.lang for r in found})
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model is made for {MOST_LANGUAGES}")
     found.sort(key=lambda r: (r.lang, r.centroid))
     matrix = np.array([r.centroid for r in found], np.float32).reshape(len(found), WIDTH).T
     return LanguageModel(idf, [r.lang for r in found], np.ascontiguousarray(matrix), np.array([r.least for r in found]))
@@ -177,5 +199,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score", "rejected"])
 
-    return docs.withColumn("__p", predict(F.col(text))).withColumns(
-        {"__lang": F.col("__p.lang"), "__score": F.col("__p.score"), "__rejected": F.col("__p.rejected")}).drop("__p")
+    # one name is free for sure: it is longer than all others
+    inner = "__p" + "_" * max(map(len, docs.columns))
+    return docs.withColumn(inner, predict(F.col(text))).withColumns(
+        {"__lang": F.col(f"{inner}.lang"), "__score": F.col(f"{inner}.score"), "__rejected": F.col(f"{inner}.rejected")}).drop(inner)
