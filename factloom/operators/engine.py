@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.operators import keys, paths, rings, rows, sets
 from factloom.plans.factset import FactSet
 from factloom.plans.model import Constraint
-from factloom.plans.session import materialize
+from factloom.plans.session import materialize_all
 from factloom.plans.violations import COLUMNS, errors_only, record, report_order, tally, union
 
 Rule = Callable[[FactSet], DataFrame]
@@ -44,9 +44,9 @@ def check(facts: FactSet, c: Constraint) -> DataFrame | None:
         "subset": sets.check_subset,
         "equality": sets.check_equality,
         "cardinality": sets.check_role_cardinality,
-        "join_subset": paths.check_join_subset,
-        "join_equality": paths.check_join_equality,
-        "join_exclusion": paths.check_join_exclusion,
+        "join_subset": paths.check_join,
+        "join_equality": paths.check_join,
+        "join_exclusion": paths.check_join,
     }
     return checks[c.kind](facts, c)
 
@@ -70,39 +70,73 @@ def check_dangling(populations: DataFrame, fact_types: DataFrame) -> DataFrame:
         subject=[F.col("fact_type_id")], message="population of an undeclared fact type"))
 
 
-def check_all(facts: FactSet, constraints: Iterable[Constraint], custom: Iterable[Rule] = (), incomplete_instances: bool = True,
-              object_types: bool = True, populations: DataFrame | None = None) -> DataFrame | None:
-    """Every check as one plan; row-local checks of a fact type share one scan, and so do its key checks.
+def _shared_pass(facts: FactSet, c: Constraint) -> tuple:
+    """Constraints with the same value are checked in one pass; alone ones have their own."""
+    bound = _local(facts, c) and facts.has_rows(c.fact_type) and bool(c.roles)
+    if c.kind in keys.KEY_KINDS and bound:
+        return "keys", c.fact_type
+    if c.kind in paths.PATH_KINDS:
+        return "paths", frozenset(c.operands)
+    if c.kind == "ring" and c.ring in rings.TRIANGLE_KINDS and bound:
+        return "triangles", c.fact_type, c.roles
+    return "alone", c
 
-    Rows that are computed (``stored`` bindings) and read by several checks are stored once before.
-    ``object_types`` checks the declared numbers of objects; ``populations`` (pop_id, fact_type_id), where given, is
-    checked for undeclared fact types.
-    """
+
+def _united(parts: list[DataFrame]) -> DataFrame | None:
+    return union(parts) if parts else None
+
+
+def _builds(facts: FactSet, constraints: Iterable[Constraint], custom: Iterable[Rule], incomplete_instances: bool, object_types: bool,
+            populations: DataFrame | None) -> list[Callable[[], DataFrame | None]]:
+    """What builds the violations, part by part. Row-local checks of a fact type share one scan; so do its key checks, the
+    constraints over the same role paths, and the ring checks that need triangles."""
     constraints = list(constraints)
-    facts = _with_stored_rows(facts, constraints)
     fused = [c for c in constraints if c.fact_type in facts.fact_types and rows.is_row_local(c, facts.fact_types[c.fact_type])]
-    parts = [rows.check_local(facts, fused, incomplete_instances)]
-    keyed: dict[str, list[Constraint]] = {}
+    builds: list[Callable[[], DataFrame | None]] = [lambda: rows.check_local(facts, fused, incomplete_instances)]
+    together: dict[tuple, list[Constraint]] = {}
     for c in constraints:
-        if c.kind in keys.KEY_KINDS and _local(facts, c) and facts.has_rows(c.fact_type) and c.roles:
-            keyed.setdefault(c.fact_type, []).append(c)
-    for together in keyed.values():
-        parts += keys.check_keys(facts, together)
-    parts += [check(facts, c) for c in constraints if c not in fused and c not in keyed.get(c.fact_type, [])]
+        if c not in fused:
+            together.setdefault(_shared_pass(facts, c), []).append(c)
+    for (kind, *_), group in together.items():
+        several = {"keys": keys.check_keys, "paths": paths.check_paths, "triangles": rings.check_triangles}.get(kind)
+        builds.append((lambda several=several, group=group: _united(several(facts, group))) if several else (lambda c=group[0]: check(facts, c)))
     if object_types:
-        parts.append(sets.check_object_cardinality(facts))
+        builds.append(lambda: sets.check_object_cardinality(facts))
     if populations is not None:
         declared = populations.sparkSession.createDataFrame([(f,) for f in facts.fact_types], "fact_type_id string")
-        parts.append(check_dangling(populations, declared))
-    parts += [rule(facts).select(*COLUMNS) for rule in custom]
+        builds.append(lambda: check_dangling(populations, declared))
+    return builds + [lambda rule=rule: rule(facts).select(*COLUMNS) for rule in custom]
+
+
+def check_all(facts: FactSet, constraints: Iterable[Constraint], custom: Iterable[Rule] = (), incomplete_instances: bool = True,
+              object_types: bool = True, populations: DataFrame | None = None) -> DataFrame | None:
+    """Every check as one plan.
+
+    ``object_types`` checks the declared numbers of objects; ``populations`` (pop_id, fact_type_id), where given, is
+    checked for undeclared fact types. For many checks of large tables, ``store_all`` is the better way.
+    """
+    parts = [build() for build in _builds(facts, constraints, custom, incomplete_instances, object_types, populations)]
     parts = [p for p in parts if p is not None]
     return union(parts) if parts else None
 
 
+def store_all(facts: FactSet, constraints: Iterable[Constraint], custom: Iterable[Rule] = (), incomplete_instances: bool = True,
+              object_types: bool = True, populations: DataFrame | None = None) -> DataFrame | None:
+    """Every check as a job of its own, several at a time, stored and read back; the rows of ``check_all``.
+
+    Rows that are computed (``computed`` bindings) and read by several checks are stored once before."""
+    constraints = list(constraints)
+    facts = _with_stored_rows(facts, constraints)
+    spark = facts.session()
+    if spark is None:
+        return None
+    return materialize_all(_builds(facts, constraints, custom, incomplete_instances, object_types, populations), "violations", spark)
+
+
 def run(facts: FactSet, constraints: Iterable[Constraint], custom: Iterable[Rule] = ()) -> DataFrame | None:
     """All violations in report order. They are stored first: sorting by range reads its input twice."""
-    found = check_all(facts, constraints, custom)
-    return None if found is None else report_order(materialize(found, "violations"))
+    found = store_all(facts, constraints, custom)
+    return None if found is None else report_order(found)
 
 
 def rejects_population(facts: FactSet, constraints: Iterable[Constraint], forbidden: list[tuple]) -> DataFrame | None:
@@ -123,4 +157,4 @@ def rejects_population(facts: FactSet, constraints: Iterable[Constraint], forbid
     return found.join(names.distinct(), found.element_id == names["_pop"], "left_semi")
 
 
-__all__ = ["check", "check_all", "check_dangling", "errors_only", "rejects_population", "report_order", "run", "tally"]
+__all__ = ["check", "check_all", "check_dangling", "errors_only", "rejects_population", "report_order", "run", "store_all", "tally"]

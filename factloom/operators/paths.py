@@ -36,9 +36,9 @@ def path_tuples(facts: FactSet, operand: JoinOperand) -> DataFrame | None:
     return paths.select(*[F.col(f"n{node}").alias(f"t{i}") for i, node in enumerate(operand.projection)])
 
 
-def _compare(facts: FactSet, c: Constraint):
-    keys = [f"t{i}" for i in range(len(c.operands[0].projection))]
-    sides = [path_tuples(facts, o) for o in c.operands]
+def _compare(facts: FactSet, operands: tuple[JoinOperand, ...]):
+    keys = [f"t{i}" for i in range(len(operands[0].projection))]
+    sides = [path_tuples(facts, o) for o in operands]
     if all(s is None for s in sides):
         return keys, None
     return keys, _flagged(sides, keys)
@@ -50,38 +50,40 @@ def _rows(df: DataFrame, c: Constraint, rule: str, keys: list[str], message: Col
 
 
 def with_rollup(details: DataFrame, c: Constraint, rule: str) -> DataFrame:
-    """The per-tuple rows plus one summary row for the constraint (only when it is violated).
-
-    The rows are stored first, so that the paths are walked once for both."""
-    details = materialize(details, "path-violations")
+    """The per-tuple rows plus one summary row for the constraint (only when it is violated)."""
     total = details.agg(F.count("*").alias("n")).filter("n > 0").select(*record(
         rule, c.severity, c.id or c.fact_type, constraint=c.id, fact_type=c.fact_type,
         detail={"tuples": F.col("n")}, message=F.concat(F.lit("violating tuples: "), F.col("n").cast("string"))))
     return union([details, total])
 
 
-def check_join_subset(facts: FactSet, c: Constraint) -> DataFrame | None:
-    keys, flags = _compare(facts, c)
-    if flags is None:
-        return None
-    return _rows(flags.filter("s0 AND NOT s1"), c, "population/join-subset-violation", keys, "tuple missing from the superset path")
+def _judge(c: Constraint, keys: list[str], flags: DataFrame, place: list[int]) -> DataFrame:
+    """The violations of one constraint; place says which flag each of its operands has."""
+    if c.kind == "join_subset":
+        return _rows(flags.filter(F.col(f"s{place[0]}") & ~F.col(f"s{place[1]}")), c, "population/join-subset-violation", keys, "tuple missing from the superset path")
+    n = sum((F.col(f"s{i}").cast("int") for i in place), F.lit(0))
+    counted = flags.withColumn("n", n)
+    if c.kind == "join_equality":
+        rule, bad, message = "population/join-equality-violation", counted.filter((F.col("n") > 0) & (F.col("n") < len(place))), "tuple missing from some path"
+    else:
+        rule, bad, message = "population/join-exclusion-violation", counted.filter("n > 1"), "tuple reached by several paths"
+    return with_rollup(_rows(bad, c, rule, keys, message, {"paths": F.col("n")}), c, rule)
 
 
-def check_join_equality(facts: FactSet, c: Constraint) -> DataFrame | None:
-    keys, flags = _compare(facts, c)
-    if flags is None:
-        return None
-    rule = "population/join-equality-violation"
-    n = sum((F.col(f"s{i}").cast("int") for i in range(len(c.operands))), F.lit(0))
-    bad = flags.withColumn("n", n).filter(F.col("n") < len(c.operands))
-    return with_rollup(_rows(bad, c, rule, keys, "tuple missing from some path", {"paths": F.col("n")}), c, rule)
+PATH_KINDS = ("join_subset", "join_equality", "join_exclusion")
 
 
-def check_join_exclusion(facts: FactSet, c: Constraint) -> DataFrame | None:
-    keys, flags = _compare(facts, c)
+def check_paths(facts: FactSet, constraints: list[Constraint]) -> list[DataFrame]:
+    """Constraints over the same role paths, in whatever order: every path is walked once, and which tuples it has is
+    stored, for the rows as well as for the summaries of all of them."""
+    operands = tuple(dict.fromkeys(constraints[0].operands))
+    keys, flags = _compare(facts, operands)
     if flags is None:
-        return None
-    rule = "population/join-exclusion-violation"
-    n = sum((F.col(f"s{i}").cast("int") for i in range(len(c.operands))), F.lit(0))
-    bad = flags.withColumn("n", n).filter("n > 1")
-    return with_rollup(_rows(bad, c, rule, keys, "tuple reached by several paths", {"paths": F.col("n")}), c, rule)
+        return []
+    if len(constraints) > 1 or constraints[0].kind != "join_subset":
+        flags = materialize(flags, "path-tuples")
+    return [_judge(c, keys, flags, [operands.index(o) for o in c.operands]) for c in constraints]
+
+
+def check_join(facts: FactSet, c: Constraint) -> DataFrame | None:
+    return next(iter(check_paths(facts, [c])), None)

@@ -120,26 +120,36 @@ def _triangles(plain: DataFrame) -> DataFrame:
     return found.select("pop_id", F.inline(F.filter(orders, lambda p: p["n"] > 0)))
 
 
-def check_intransitive(facts: FactSet, c: Constraint) -> DataFrame:
-    """One row per path a->b->c that a->c closes; ``row_pairs`` counts the pairs of rows forming it."""
-    return closed_paths(materialize(weighted_edges(facts, c), "weighted-edges")).select(*record(
+TRIANGLE_KINDS = ("intransitive", "transitive")
+
+
+def check_triangles(facts: FactSet, constraints: list[Constraint]) -> list[DataFrame]:
+    """Intransitive and transitive constraints over the same roles: distinct pairs and closed paths are stored once for all.
+
+    Intransitive: one row per path a->b->c that a->c closes; ``row_pairs`` counts the pairs of rows forming it.
+    Transitive: one row per pair (a, b) that has successors of b which a does not reach directly; ``row_pairs`` is the exact
+    number of missing steps, counted by row pairs: all continuations of (a, b) minus the closed ones. Listing each missing
+    pair would be quadratic at hubs; ``missing_steps`` lists them for chosen pairs.
+    """
+    edges = materialize(weighted_edges(facts, constraints[0]), "weighted-edges")
+    closed = closed_paths(edges)
+    if len(constraints) > 1:
+        closed = materialize(closed, "closed-paths")
+    return [(_intransitive if c.ring == "intransitive" else _transitive)(c, edges, closed) for c in constraints]
+
+
+def _intransitive(c: Constraint, edges: DataFrame, closed: DataFrame) -> DataFrame:
+    return closed.select(*record(
         RULE, c.severity, F.col("pop_id"), constraint=c.id, fact_type=c.fact_type, pop=F.col("pop_id"),
         subject=[F.col("a"), F.col("b"), F.col("c")], detail={"row_pairs": F.col("n")},
         message="intransitive: the shortcut pair is present"))
 
 
-def check_transitive(facts: FactSet, c: Constraint) -> DataFrame:
-    """One row per pair (a, b) that has successors of b which a does not reach directly.
-
-    ``row_pairs`` is the exact number of missing steps, counted by row pairs: all
-    continuations of (a, b) minus the closed ones. Listing each missing pair would
-    be quadratic at hubs; ``missing_steps`` lists them for chosen pairs.
-    """
-    edges = materialize(weighted_edges(facts, c), "weighted-edges")
+def _transitive(c: Constraint, edges: DataFrame, closed: DataFrame) -> DataFrame:
     out = edges.groupBy("pop_id", F.col("a").alias("b")).agg(F.sum("m").alias("next"))
-    closed = closed_paths(edges).groupBy("pop_id", "a", "b").agg(F.sum("n").alias("closed"))
+    ended = closed.groupBy("pop_id", "a", "b").agg(F.sum("n").alias("closed"))
     missing = (
-        edges.join(out, ["pop_id", "b"]).join(closed, ["pop_id", "a", "b"], "left")
+        edges.join(out, ["pop_id", "b"]).join(ended, ["pop_id", "a", "b"], "left")
         .withColumn("n", F.col("m") * F.col("next") - F.coalesce("closed", F.lit(0)))
         .filter("n > 0")
     )
@@ -149,6 +159,10 @@ def check_transitive(facts: FactSet, c: Constraint) -> DataFrame:
         message=F.concat(F.lit("transitive: steps without a direct pair: "), F.col("n").cast("string"))))
 
 
+def _triangle_check(facts: FactSet, c: Constraint) -> DataFrame:
+    return check_triangles(facts, [c])[0]
+
+
 def missing_steps(facts: FactSet, c: Constraint, chosen: DataFrame) -> DataFrame:
     """For chosen (pop_id, a, b) pairs: each c with b->c but no a->c."""
     edges = edge_rows(facts, c).select("pop_id", "a", "b").distinct()
@@ -259,8 +273,8 @@ RING_CHECKS = {
     "asymmetric": check_asymmetric,
     "antisymmetric": check_antisymmetric,
     "symmetric": check_symmetric,
-    "intransitive": check_intransitive,
-    "transitive": check_transitive,
+    "intransitive": _triangle_check,
+    "transitive": _triangle_check,
     "acyclic": check_acyclic,
 }
 

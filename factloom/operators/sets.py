@@ -159,6 +159,27 @@ def _bound_violation(counts: DataFrame, severity: Column | str, rule: str, eleme
     )
 
 
+def value_sketches(values: DataFrame, keys: list[str], value: str = "value", lg_k: int = 14) -> DataFrame:
+    """A mergeable sketch of the distinct values of each key (keys, sketch): a few kilobytes however many values there are."""
+    return values.groupBy(*keys).agg(F.hll_sketch_agg(value, F.lit(lg_k)).alias("sketch"))
+
+
+def distinct_counts(values: DataFrame, keys: list[str], value: str = "value", approximate: bool = False, lg_k: int = 14) -> DataFrame:
+    """Distinct values of each key (keys, n); exact by default.
+
+    ``approximate`` counts by sketches, without shuffling values: the relative standard error is about 0.83 / sqrt(2^lg_k), 0.65 %
+    for the default. Sketches of several tables (``value_sketches``) are united with ``united_counts``."""
+    if approximate:
+        return united_counts([value_sketches(values, keys, value, lg_k)], keys)
+    return values.select(*keys, value).filter(F.col(value).isNotNull()).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def united_counts(sketches: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Distinct values of each key over all tables that the sketches were made of (keys, n)."""
+    together = reduce(lambda a, b: a.unionByName(b), sketches)
+    return together.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
 def check_object_cardinality(facts: FactSet) -> DataFrame | None:
     """Distinct objects of each bounded object type against its bounds (always an error)."""
     parts = []

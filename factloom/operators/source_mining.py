@@ -7,7 +7,7 @@ from bisect import bisect_left
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factloom.sources.corpus import in_directory
 
@@ -31,9 +31,17 @@ MEMBERS = (r"(?m)^\s*(?:readonly\s+|val\s+|var\s+)?(\w+)\s*[?:]",
 FUNCTIONS = (r"(?m)^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)\s*(?::\s*[^{]+)?\s*\{",
              r"(?m)^\s*(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|(\w+))\s*(?::\s*[^=]+)?\s*=>\s*\{",
              r"(?m)^\s*(?:(?:public|private|protected)\s+)?(?:static\s+)?(?:async\s+)?(\w+)\s*\(([^)]*)\)\s*(?::\s*[^{]+)?\s*\{")
-VALIDATION_NAME = r"^(?:(?i:validate|check|assert|ensure|verify|must|require|canBe|should)\w*|is[A-Z]\w*)"
+# What the names of checks look like, in the order they are tried.
+VALIDATION_NAMES = (
+    r"(?i)^validate\w*", r"(?i)^check\w*", r"^is[A-Z]\w*", r"(?i)^assert\w*", r"(?i)^ensure\w*", r"(?i)^verify\w*", r"(?i)^must\w*",
+    r"(?i)^require\w*", r"(?i)^canBe\w*", r"(?i)^should\w*",
+)
+# Words in the name of a field that holds a state, in the order they are tried.
+STATE_WORDS = (
+    r"(?i)\bstatus\b", r"(?i)\bstate\b", r"(?i)\bphase\b", r"(?i)\bstage\b", r"(?i)\bstep\b", r"(?i)\bmode\b", r"(?i)\btype\b", r"(?i)\bkind\b",
+    r"(?i)\bcategory\b",
+)
 SWITCH = r"\bswitch\s*\(([^)]+)\)\s*\{"
-STATE_WORD = r"(?i)\b(?:status|state|phase|stage|step|mode|type|kind|category)\b"
 # Annotations that state constraints or mappings.
 ANNOTATIONS = ("NotNull", "NotBlank", "NotEmpty", "Size", "Min", "Max", "Pattern", "Email", "Positive", "PositiveOrZero", "Negative", "NegativeOrZero", "Past", "PastOrPresent",
                "Future", "FutureOrPresent", "DecimalMin", "DecimalMax", "Digits", "Valid", "Entity", "Table", "Column", "Id", "GeneratedValue", "Enumerated", "ManyToOne",
@@ -48,6 +56,10 @@ SIGNAL_SCORES = {"strong": 3, "moderate": 2, "weak": 1}
 CONFIDENCE = (("high", 5), ("medium", 3), ("low", 2))
 
 
+def _any(text: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
+
+
 def _file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -141,19 +153,45 @@ def type_definitions(files: DataFrame) -> DataFrame:
     return read.select(*FILE, F.inline(found))
 
 
+# An annotation with its parameters, the header of a type, and lines that are not what an annotation stands on.
+ANNOTATION = r"@(\w+)(?:\(([^)]*)\))?"
+TYPE_HEADER = r"(?:class|interface|enum)\s+(\w+)"
+NOT_A_TARGET = r"^(?:@|//|\*)"
+NEAR = 4  # lines in which an annotation's target is looked for
+
+
+def _annotated(names: tuple[str, ...]):
+    """Arrow UDF: annotations of the given names in a text, each with its line, the type opened last and the next line that
+    may be its target. One walk over the lines with two states (the open type, annotations still without a target), so
+    nothing leaves the file's row."""
+    mark, header, skipped = (re.compile(p, re.ASCII) for p in (ANNOTATION, TYPE_HEADER, NOT_A_TARGET))
+
+    def one(text: str | None) -> list[dict]:
+        rows, open_type, waiting = [], None, []
+        for i, line in enumerate(text.split("\n") if text else ()):
+            trimmed = line.strip(" ")
+            if trimmed and not skipped.search(trimmed):
+                for row in waiting:
+                    row["next"] = trimmed if i - row["line"] < NEAR else None
+                waiting = []
+            opened = header.search(line)
+            open_type = opened.group(1) if opened else open_type
+            for m in mark.finditer(line):
+                if m.group(1) in names:
+                    rows.append({"line": i + 1, "annotation": m.group(1), "params": m.group(2) or "", "class_name": open_type, "next": None})
+                    waiting.append(rows[-1])
+        return rows
+
+    @F.pandas_udf("array<struct<line:int,annotation:string,params:string,class_name:string,next:string>>")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return read
+
+
 def annotations(files: DataFrame) -> DataFrame:
     """Constraint annotations with the element they stand on: (repo_id, path, line, annotation, class_name, target, target_kind, parameters)."""
-    lines = files.select(*FILE, F.posexplode(F.split("content", "\n")).alias("i", "text"))
-    in_file = Window.partitionBy(*FILE).orderBy("i")  # the lines of one file
-    opened = F.regexp_extract("text", r"(?:class|interface|enum)\s+(\w+)", 1)
-    lines = lines.withColumn("class_name", F.last(F.when(opened != "", opened), ignorenulls=True).over(in_file))
-    trimmed = F.trim("text")
-    skipped = (trimmed == "") | trimmed.rlike(r"^(?:@|//|\*)")
-    lines = lines.withColumn("candidate", F.when(~skipped, trimmed))
-    lines = lines.withColumn("next", F.coalesce(*[F.lead("candidate", k).over(in_file) for k in range(1, 5)]))
-    pattern = F.lit(r"@(\w+)(?:\(([^)]*)\))?")
-    zipped = F.arrays_zip(F.regexp_extract_all("text", pattern, 1).alias("annotation"), F.regexp_extract_all("text", pattern, 2).alias("params"))
-    rows = lines.select(*FILE, (F.col("i") + 1).alias("line"), "class_name", "next", F.inline(zipped)).filter(F.col("annotation").isin(*ANNOTATIONS))
+    rows = files.select(*FILE, F.inline(_annotated(ANNOTATIONS)(F.col("content"))))
 
     def group(pattern: str) -> Column:
         found = F.regexp_extract("next", pattern, 1)
@@ -176,13 +214,13 @@ def validations(files: DataFrame) -> DataFrame:
     """Functions whose names announce a check (repo_id, path, name, start_line, end_line, target_type)."""
     found = files.select(*FILE, F.inline(blocks(**{f"form{k}": p for k, p in enumerate(FUNCTIONS)})(F.col("content"))))
     target = F.regexp_extract(F.coalesce("params", F.lit("")), r"(\w+)\s*:\s*(\w+)", 2)
-    return found.filter(F.col("name").rlike(VALIDATION_NAME)).select(*FILE, "name", "start_line", "end_line", F.when(target != "", target).alias("target_type"))
+    return found.filter(_any(F.col("name"), VALIDATION_NAMES)).select(*FILE, "name", "start_line", "end_line", F.when(target != "", target).alias("target_type"))
 
 
 def state_transitions(files: DataFrame) -> DataFrame:
     """Consecutive cases of switches on state-like fields (repo_id, path, start_line, state_field, step, from, to)."""
     field = F.regexp_extract(F.trim("name"), r"(?:\w+\.)?(\w+)(?:\(\))?$", 1)
-    switches = files.select(*FILE, F.inline(blocks(switch=SWITCH)(F.col("content")))).withColumn("state_field", field).filter(F.col("state_field").rlike(STATE_WORD))
+    switches = files.select(*FILE, F.inline(blocks(switch=SWITCH)(F.col("content")))).withColumn("state_field", field).filter(_any(F.col("state_field"), STATE_WORDS))
     quoted = F.regexp_extract_all("body", F.lit(r"\bcase\s+['\"]([^'\"]+)['\"]\s*:"), 1)
     named = F.filter(F.regexp_extract_all("body", F.lit(r"\bcase\s+(?:\w+\.)?(\w+)\s*:"), 1), lambda v: v != "default")
     cases = F.when(F.size(quoted) > 0, quoted).otherwise(named)
@@ -219,6 +257,132 @@ def framework_scores(files: DataFrame, languages: DataFrame, detectors: list[dic
     return best.withColumn("confidence", confidence)
 
 
+# Frameworks in the order they are tried, with their languages.
+FRAMEWORKS = (
+    ("Spring Boot", ("java", "kotlin")), ("NestJS", ("typescript",)), ("Express", ("typescript",)), ("Django", ("python",)), ("FastAPI", ("python",)), ("Rails", ("ruby",)),
+)
+# Signals of each framework: kind, what is looked for, weight.
+SIGNALS = (
+    ("Spring Boot", "dependency", "spring-boot", "strong"),
+    ("Spring Boot", "glob", "**/application.yml", "strong"),
+    ("Spring Boot", "glob", "**/application.properties", "strong"),
+    ("Spring Boot", "source", r"@SpringBootApplication", "moderate"),
+    ("Spring Boot", "source", r"@Entity", "moderate"),
+    ("Spring Boot", "source", r"@RestController", "moderate"),
+    ("Spring Boot", "file", "*Controller.java", "weak"),
+    ("Spring Boot", "file", "*Repository.java", "weak"),
+    ("Spring Boot", "file", "*Controller.kt", "weak"),
+    ("NestJS", "dependency", "@nestjs/core", "strong"),
+    ("NestJS", "glob", "**/nest-cli.json", "strong"),
+    ("NestJS", "source", r"@Module\s*\(", "moderate"),
+    ("NestJS", "source", r"@Injectable\s*\(", "moderate"),
+    ("NestJS", "source", r"@Controller\s*\(", "moderate"),
+    ("NestJS", "file", "*.module.ts", "weak"),
+    ("NestJS", "file", "*.service.ts", "weak"),
+    ("NestJS", "file", "*.controller.ts", "weak"),
+    ("Express", "dependency", '"express"', "strong"),
+    ("Express", "source", r"""require\(['"]express['"]\)|from\s+['"]express['"]""", "moderate"),
+    ("Express", "source", r"app\.(get|post|put|delete|patch|use)\s*\(", "moderate"),
+    ("Express", "file", "*routes*", "weak"),
+    ("Express", "file", "*middleware*", "weak"),
+    ("Django", "glob", "manage.py", "strong"),
+    ("Django", "dependency", "django", "strong"),
+    ("Django", "source", r"from django\.db import models", "moderate"),
+    ("Django", "glob", "**/settings.py", "moderate"),
+    ("Django", "source", r"class\s+\w+\(models\.Model\)", "moderate"),
+    ("Django", "file", "models.py", "weak"),
+    ("Django", "file", "views.py", "weak"),
+    ("Django", "file", "urls.py", "weak"),
+    ("FastAPI", "dependency", "fastapi", "strong"),
+    ("FastAPI", "source", r"from fastapi import", "moderate"),
+    ("FastAPI", "source", r"@app\.(get|post|put|delete|patch)\s*\(", "moderate"),
+    ("FastAPI", "source", r"class\s+\w+\(BaseModel\)", "moderate"),
+    ("FastAPI", "dependency", "pydantic", "weak"),
+    ("FastAPI", "dependency", "uvicorn", "weak"),
+    ("Rails", "dependency", "rails", "strong"),
+    ("Rails", "glob", "config/routes.rb", "strong"),
+    ("Rails", "glob", "app/models", "moderate"),
+    ("Rails", "glob", "app/controllers", "moderate"),
+    ("Rails", "source", r"class\s+\w+\s*<\s*ApplicationRecord", "moderate"),
+    ("Rails", "glob", "db/migrate", "weak"),
+    ("Rails", "file", "Rakefile", "weak"),
+)
+# Directories in which sources and files are not looked for; ".venv" and ".git" are hidden anyway.
+NOT_SEARCHED = ("node_modules", ".git", "dist", "build", "target", ".gradle", "vendor", "__pycache__", ".venv")
+MOST_BYTES = 500_000  # larger sources are not read for signals
+DEEPEST = 10
+
+
+def path_pattern(kind: str, pattern: str) -> str:
+    """Regular expression over a file's path: a glob may end at a directory above the file, a file name stands in any directory."""
+    part = lambda p: "[^/]*".join(re.sub(r"([^\w/-])", r"[\1]", x) for x in p.split("*"))
+    if kind == "file":
+        return f"^(?:[^/]+/){{0,{DEEPEST}}}{part(pattern)}$"
+    return "^" + "".join("(?:[^./][^/]*/)*" if p == "**" else part(p) + "/" for p in pattern.split("/"))[:-1] + "(?:/.*)?$"
+
+
+def needed_literal(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern must hold; empty where it has alternatives outside brackets."""
+    flat = re.sub(r"\(.*?\)[*?]?", "\0", re.sub(r"\\[()]", "\1", pattern))
+    if "|" in flat:
+        return ""
+    flat = re.sub(r"\[[^\]]*\][*+?]?|\\[a-zA-Z][*+?]?|.[*?]", "\0", flat).replace("\\", "")
+    return max(re.split("[\0\1^$+]", flat), key=len)
+
+
+def signal_table(spark: SparkSession, signals=SIGNALS) -> DataFrame:
+    """signal, framework, kind, pattern, literal, weight: a row per signal. literal is what the index finds: part of the source,
+    of the build file, or of the path."""
+    rows = []
+    for k, (framework, kind, pattern, weight) in enumerate(signals):
+        shown = pattern if kind in ("source", "dependency") else path_pattern(kind, pattern)
+        literal = pattern if kind == "dependency" else needed_literal(pattern) if kind == "source" else max(re.split(r"[*/]", pattern), key=len)
+        rows.append((k, framework, kind, re.escape(shown) if kind == "dependency" else shown, literal, SIGNAL_SCORES[weight]))
+    return spark.createDataFrame(rows, "signal int, framework string, kind string, pattern string, literal string, weight int")
+
+
+def signal_hits(files: DataFrame, signals: DataFrame) -> DataFrame:
+    """The distinct (repo_id, signal, framework, weight) with a file that shows the signal.
+
+    Each text is read once for the literals of all signals together; a literal found fetches its signals, and only
+    those run their pattern. Signals are a short declared list (``signal_table``), so they are sent to every task and no
+    text is shuffled.
+    """
+    searched = ~in_directory(F.concat(F.lit("/"), "path"), NOT_SEARCHED) & ~_hidden(F.col("path"))
+    build = F.col("path").isin(*[f for f, _, _ in BUILD_FILES])
+    depth = F.size(F.split("path", "/")) - 1
+    def subject(of: str, walked: Column) -> Column:
+        return F.struct(F.lit(of).alias("of"), F.col(of).alias("subject"), walked.alias("walked"), build.alias("build"))
+
+    walked = searched & (depth <= DEEPEST)
+    both = F.array(subject("path", walked), subject("content", walked & (F.octet_length("content") < MOST_BYTES)))
+    subjects = files.select("repo_id", F.explode(both).alias("s")).select("repo_id", "s.*")
+    literals = sorted({r.literal for r in signals.select("literal").collect() if r.literal}, key=lambda x: (-len(x), x))
+    # a literal inside a longer one is found by looking ahead at every place
+    index = "(?=(" + "|".join(map(re.escape, literals)) + "))" if literals else "(?!)"
+    shorter = F.create_map(*[x for l in literals for x in (F.lit(l), F.array(*[F.lit(m) for m in literals if m in l]))]) if literals else F.create_map().cast("map<string,array<string>>")
+    at = F.array_distinct(F.regexp_extract_all("subject", F.lit(index), 1))
+    fetched = subjects.filter("walked OR build OR of = 'path'").withColumn("literal", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(F.flatten(F.transform(at, lambda l: F.element_at(shorter, l)))))))
+    rows = fetched.join(F.broadcast(signals), "literal")
+    fits = (
+        ((F.col("kind") == "source") & (F.col("of") == "content") & F.col("walked")) | ((F.col("kind") == "dependency") & (F.col("of") == "content") & F.col("build"))
+        | ((F.col("kind") == "file") & (F.col("of") == "path") & F.col("walked")) | ((F.col("kind") == "glob") & (F.col("of") == "path")))
+    return rows.filter(fits).filter(F.expr("subject RLIKE pattern")).select("repo_id", "signal", "framework", "weight").distinct()
+
+
+def framework_signals(files: DataFrame, languages: DataFrame, signals: DataFrame, frameworks=FRAMEWORKS) -> DataFrame:
+    """Scores of the frameworks that fit a repository's language and show enough (repo_id, framework, score, confidence, best).
+
+    best marks the one to choose: the highest score, equal scores by the order of the frameworks."""
+    spark = files.sparkSession
+    listed = spark.createDataFrame([(k, name, list(spoken)) for k, (name, spoken) in enumerate(frameworks)], "place int, framework string, spoken array<string>")
+    scores = signal_hits(files, signals).groupBy("repo_id", "framework").agg(F.sum("weight").alias("score"))
+    fitting = scores.filter(F.col("score") >= CONFIDENCE[-1][1]).join(F.broadcast(listed), "framework").join(languages.select("repo_id", "language"), "repo_id").filter(F.array_contains("spoken", F.col("language")))
+    confidence = reduce(lambda acc, c: F.when(F.col("score") >= c[1], c[0]).otherwise(acc), reversed(CONFIDENCE), F.lit(None).cast("string"))
+    first = Window.partitionBy("repo_id").orderBy(F.desc("score"), "place")  # a repository has a row per framework at most
+    return fitting.select("repo_id", "framework", "score", confidence.alias("confidence"), (F.row_number().over(first) == 1).alias("best"))
+
+
 def build_system(files: DataFrame) -> DataFrame:
     """Build system of each repository by the most telling file at its root (repo_id, build_system, build_file)."""
     table = F.create_map(*[x for i, (f, name, priority) in enumerate(BUILD_FILES) for x in (F.lit(f), F.struct(F.lit(priority).alias("priority"), F.lit(-i).alias("order"), F.lit(name).alias("build_system")))])

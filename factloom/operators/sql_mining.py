@@ -7,8 +7,11 @@ columns, details); columns given in ``keys`` are carried along.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.naming import to_pascal
@@ -107,8 +110,10 @@ def joins(sql: Column) -> Column:
 
 
 def where_predicates(sql: Column) -> Column:
-    clause = F.regexp_extract(sql, WHERE, 1)
+    return _predicates(F.regexp_extract(sql, WHERE, 1))
 
+
+def _predicates(clause: Column) -> Column:
     def found(pattern: str, groups: int, kind: str, **details: int) -> Column:
         return F.transform(_matches(clause, pattern, groups), lambda m: _pattern(
             "where", m["g0"], F.array(_bare(m["g1"])), predicate=F.lit(kind), **{k: m[f"g{g}"] for k, g in details.items()}))
@@ -167,9 +172,12 @@ def defaults(sql: Column) -> Column:
 
 
 def group_bys(sql: Column) -> Column:
-    clause = F.regexp_extract(sql, GROUP_BY, 1)
+    return _grouped(F.regexp_extract(sql, GROUP_BY, 0), F.regexp_extract(sql, GROUP_BY, 1))
+
+
+def _grouped(source: Column, clause: Column) -> Column:
     columns = F.filter(F.transform(F.split(clause, ","), lambda c: _bare(_trimmed(c))), lambda c: (c != "") & ~c.rlike(r"^\d+$"))
-    return F.filter(F.array(_pattern("group_by", F.regexp_extract(sql, GROUP_BY, 0), columns)), lambda p: F.size(p["columns"]) > 0)
+    return F.filter(F.array(_pattern("group_by", source, columns)), lambda p: F.size(p["columns"]) > 0)
 
 
 EXTRACTORS = {
@@ -186,6 +194,88 @@ def patterns(statements: DataFrame, *keys: str, kinds: tuple[str, ...] = tuple(E
         *keys, "file_path", "statement", "start_line", "end_line", "place", "p.*")
 
 
+# ---- clauses of nested statements ---------------------------------------------------------------------------
+
+# What a clause walk looks at, and the words that end a clause at its own level.
+CLAUSE_TOKEN = r"""(?is)'[^']*(?:'|\Z)|"[^"]*(?:"|\Z)|--[^\n]*|/\*.*?(?:\*/|\Z)|[();]|\b(?:GROUP\s+BY|ORDER\s+BY|WHERE|HAVING|LIMIT|UNION|CHECK|SELECT)\b"""
+ENDS_WHERE = ("group by", "order by", "having", "limit", "union", ";")
+ENDS_GROUP = ("having", "order by", "limit", "union", ";")
+
+
+def _walk(sql: str) -> list[dict]:
+    """WHERE, GROUP BY and CHECK clauses in the order they begin, each up to the end of its own level."""
+    found: list[tuple[int, int, str, int]] = []  # begin, end, kind, begin of its text
+    nested: list[tuple[int, int]] = []  # brackets that hold a SELECT
+    levels: list[dict] = [{"at": 0, "clause": None, "select": False, "check": None}]
+    before = ("", 0, 0)  # the word before, its begin and end
+
+    def close(end: int) -> None:
+        if levels[-1]["clause"]:
+            begin, kind, text = levels[-1]["clause"]
+            found.append((begin, end, kind, text))
+            levels[-1]["clause"] = None
+
+    for m in re.finditer(CLAUSE_TOKEN, sql):
+        word = re.sub(r"\s+", " ", m.group().lower())
+        if word == "(":
+            check = before[1] if before[0] == "check" and not sql[before[2]:m.start()].strip() else None
+            levels.append({"at": m.start(), "clause": None, "select": False, "check": check})
+        elif word == ")":
+            close(m.start())
+            if len(levels) > 1:
+                level = levels.pop()
+                if level["check"] is not None:
+                    found.append((level["check"], m.end(), "check", level["at"] + 1))
+                if level["select"]:
+                    nested.append((level["at"], m.end()))
+        elif word == "select":
+            levels[-1]["select"] = True
+        elif word[0] not in "'\"-/":
+            kind = levels[-1]["clause"][1] if levels[-1]["clause"] else ""
+            if kind == "where" and word in ENDS_WHERE or kind == "group_by" and word in ENDS_GROUP or word in ("where", "group by"):
+                close(m.start())
+            if word in ("where", "group by"):
+                levels[-1]["clause"] = (m.start(), word.replace(" ", "_"), m.end())
+        before = (word, m.start(), m.end())
+    while levels:
+        close(len(sql))
+        levels.pop()
+    nested.sort()
+    rows = []
+    for begin, end, kind, text in sorted(found):
+        parts, at, upto = [], text, end - (kind == "check")
+        for a, b in nested[bisect_left(nested, (text, 0)):bisect_left(nested, (upto, 0))]:
+            if a >= at:  # a bracket inside one already left out is left out with it
+                parts, at = [*parts, sql[at:a], "()"], b
+        clause = "".join([*parts, sql[at:upto]])
+        rows.append({"kind": kind, "clause": clause, "source_text": sql[begin:text] + clause + sql[upto:end]})
+    return rows
+
+
+def clauses(sql: Column) -> Column:
+    """Clauses of each statement at every level. Levels are beyond regular expressions, so this one step is Python; it
+    walks a statement once, with a stack of open brackets. Subqueries are shown as () in the clause around them."""
+    @F.pandas_udf("array<struct<kind:string,clause:string,source_text:string>>")
+    def walk(texts: pd.Series) -> pd.Series:
+        return pd.Series([_walk(t) if t else [] for t in texts], dtype=object)
+
+    return walk(sql)
+
+
+def nested_patterns(statements: DataFrame, *keys: str) -> DataFrame:
+    """Evidence of WHERE, GROUP BY and CHECK clauses at every level of a statement, each clause by itself: every branch of a
+    UNION, outer clauses after a subquery, and whole CHECK conditions. Quoted text in a CHECK names no column."""
+    def one(c: Column) -> Column:
+        words = F.regexp_extract_all(F.regexp_replace(c["clause"], "'[^']*'", " "), F.lit(r"(?i)\b([a-z]\w*)\b"), 1)
+        check = F.array(_pattern("check", c["source_text"], F.array_distinct(F.filter(words, lambda w: ~F.upper(w).isin(*CHECK_KEYWORDS)))))
+        return F.when(c["kind"] == "where", _predicates(c["clause"])).when(c["kind"] == "group_by", _grouped(c["source_text"], c["clause"])).otherwise(check)
+
+    needed = F.upper("sql").rlike("WHERE|GROUP|CHECK")
+    found = statements.withColumn("clauses", clauses(F.when(needed, F.col("sql"))))
+    return found.select(*keys, "file_path", "statement", "start_line", "end_line", F.posexplode(F.flatten(F.transform("clauses", one))).alias("place", "p")).select(
+        *keys, "file_path", "statement", "start_line", "end_line", "place", "p.*")
+
+
 # ---- what the evidence suggests --------------------------------------------------------------------------
 
 def entity_candidates(found: DataFrame, *keys: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factloom.plans.model import FactType, ObjectType, Role
 from factloom.plans.session import materialize
@@ -69,6 +69,10 @@ class FactSet:
         other._bindings = {k: list(v) for k, v in self._bindings.items()}
         return other
 
+    def session(self) -> SparkSession | None:
+        """The session of the bound tables, None where nothing is bound."""
+        return next((b.rows.sparkSession for bound in self._bindings.values() for b in bound), None)
+
     def is_computed(self, fact_type: str) -> bool:
         return any(b.computed for b in self._bindings.get(fact_type, []))
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every job of this library relies on.
@@ -49,3 +52,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+AT_ONCE = 8  # jobs submitted side by side
+
+
+def materialize_all(builds: Iterable[Callable[[], DataFrame | None]], name: str, spark: SparkSession) -> DataFrame | None:
+    """Build and store tables of one schema, several jobs at a time, and read them back as one.
+
+    Independent plans stay small: as branches of a single one, each would be planned anew whenever a stage of another
+    ends, and they could not share the cluster. A build may give None; None is returned if all do."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    def store(k: int, build: Callable[[], DataFrame | None]):
+        df = build()
+        if df is None:
+            return None
+        df.write.parquet(f"{folder}/{k}")
+        return f"{folder}/{k}", df.schema
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        made = [m for m in pool.map(inheritable_thread_target(spark)(store), *zip(*enumerate(builds))) if m is not None]
+    return spark.read.schema(made[0][1]).parquet(*[path for path, _ in made]) if made else None

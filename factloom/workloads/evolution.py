@@ -282,7 +282,7 @@ def d08(t: Tables):
 @query("w05_state_transitions", """SELECT event_type AS "from", nxt AS "to", count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY ALL""")
 def w05(t: Tables):
     e = t.events.select("event_id", "ts", "user_id", "event_type")
-    steps = next_value(e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), "event_type", "nxt").filter("nxt IS NOT NULL")
+    steps = next_value(e, ["user_id"], ["ts", "event_id"], None, "event_type", "nxt").filter("nxt IS NOT NULL")
     return steps.groupBy(F.col("event_type").alias("from"), F.col("nxt").alias("to")).agg(F.count("*").alias("n"))
 
 

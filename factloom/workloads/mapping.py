@@ -166,7 +166,7 @@ def w08(t: Tables):
     rows = facts(t, "places").rows("places")
     cells = rows.select("ord", F.inline(F.array(*[F.struct(F.lit(p).alias("player_id"), F.col(r).cast("string").alias("value")) for p, r in (("Customer", "pl_cust"), ("Order", "pl_ord"))])))
     seen = cells.groupBy("player_id", "value").agg(F.min("ord").alias("at"))
-    return number_rows(seen, ["player_id"], ["at", "value"], F.floor(F.col("at") / 4096), "number").select("player_id", "value", "number")
+    return number_rows(seen, ["player_id"], ["at", "value"], None, "number").select("player_id", "value", "number")
 
 
 # ---- relational mapping ------------------------------------------------------------------------------

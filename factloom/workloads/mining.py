@@ -108,6 +108,37 @@ def r10(t: Tables):
     return shown(found(t, "group_by"))
 
 
+_NESTED = r"""concat('SELECT a.x FROM t', o_orderkey, ' a WHERE a.x IN (SELECT b.y FROM u b WHERE b.z = ', o_orderkey % 5, ' AND b.t IN (\'(\', \'k\') GROUP BY b.y) AND a.w > ', o_orderkey % 50, ' GROUP BY a.x, a.q HAVING count(*) > 1 UNION ',
+  'SELECT c.x FROM (SELECT * FROM v', CASE WHEN o_orderkey % 2 = 0 THEN ' WHERE v.e IS NOT NULL' ELSE '' END, ') c WHERE c.s = \'', o_orderstatus, '\' GROUP BY c.m ORDER BY 1;\nCREATE TABLE w', o_orderkey, ' (g TEXT CHECK (g IN (\'a\', \'b\') AND (n > ', o_orderkey % 3, ' OR n IS NULL)), h INT)')"""
+
+
+def nested(t: Tables, kind: str):
+    texts = t.orders.select(F.expr(_PATH).alias("file_path"), F.expr(_NESTED).alias("sql"))
+    return R.nested_patterns(R.split_statements(texts)).filter(F.col("kind") == kind)
+
+
+def _nested_where(text: str, column: str, kind: str, operator: str = "NULL", value: str = "NULL", where: str = "TRUE") -> str:
+    return row("0", "1", "1", text, "''", f"'{column}'", where, extra=f", '{kind}' AS predicate, CAST({operator} AS VARCHAR) AS operator, CAST({value} AS VARCHAR) AS value")
+
+
+@query("r03_every_where", " UNION ALL ".join([
+    _nested_where("'a.x IN ()'", "x", "in"), _nested_where("concat('a.w > ', o_orderkey % 50)", "w", "comparison", "'>'", "o_orderkey % 50"),
+    _nested_where("concat('b.z = ', o_orderkey % 5)", "z", "comparison", "'='", "o_orderkey % 5"), _nested_where("'b.t IN (''('', ''k'')'", "t", "in"),
+    _nested_where("'v.e IS NOT NULL'", "e", "is_not_null", where="o_orderkey % 2 = 0"), _nested_where("concat('c.s = ''', o_orderstatus, '''')", "s", "comparison", "'='", "concat('''', o_orderstatus, '''')")]))
+def r03_nested(t: Tables):
+    return shown(nested(t, "where"), "predicate", "operator", "value")
+
+
+@query("r05_whole_checks", row("1", "2", "2", "concat('CHECK (g IN (''a'', ''b'') AND (n > ', o_orderkey % 3, ' OR n IS NULL))')", "''", "'g,n'"))
+def r05_whole(t: Tables):
+    return shown(nested(t, "check"))
+
+
+@query("r10_every_group_by", " UNION ALL ".join(row("0", "1", "1", f"'{text}'", "''", f"'{columns}'") for text, columns in (("GROUP BY b.y", "y"), ("GROUP BY a.x, a.q", "x,q"), ("GROUP BY c.m", "m"))))
+def r10_nested(t: Tables):
+    return shown(nested(t, "group_by"))
+
+
 _TABLES = f"SELECT CAST(o_orderkey % 7 AS VARCHAR) AS project, concat('customer_', o_custkey) AS t FROM orders UNION SELECT CAST(o_orderkey % 7 AS VARCHAR), concat('part_', o_orderkey % 10) FROM orders UNION SELECT CAST(o_orderkey % 7 AS VARCHAR), unnest(['o', 'c', 'p']) FROM orders"
 _PASCAL = "list_aggregate(list_transform(string_split(t, '_'), lambda w: upper(w[1:1]) || lower(w[2:])), 'string_agg', '')"
 
@@ -268,6 +299,55 @@ def t07(t: Tables):
     return B.framework_scores(files(t), languages, DETECTORS).select("repo_id", "framework")
 
 
+# Files of many kinds: what a file is called and what it says both follow from the part's number and size.
+_SIGNAL_PATH = """CASE p_partkey % 11 WHEN 0 THEN concat('src/main/java/P', p_partkey, CASE p_size % 3 WHEN 0 THEN 'Controller.java' WHEN 1 THEN 'Repository.java' ELSE '.java' END)
+  WHEN 1 THEN CASE p_size % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN 'requirements.txt' WHEN 2 THEN 'Gemfile' ELSE 'pom.xml' END
+  WHEN 2 THEN concat('src/a', p_partkey, '.module.ts') WHEN 3 THEN concat('src/x', p_partkey, 'routes.js')
+  WHEN 4 THEN CASE p_size % 5 WHEN 0 THEN 'manage.py' WHEN 1 THEN concat('site', p_partkey, '/settings.py') WHEN 2 THEN 'app/models/user.rb' WHEN 3 THEN 'config/routes.rb' ELSE 'db/migrate/1.rb' END
+  WHEN 5 THEN concat('shop/models', CASE WHEN p_size % 2 = 0 THEN '' ELSE 'x' END, '.py') WHEN 6 THEN concat('node_modules/m', p_partkey, '/views.py')
+  WHEN 7 THEN concat('.git/u', p_partkey, '/urls.py') WHEN 8 THEN concat('conf/application.', CASE WHEN p_size % 2 = 0 THEN 'yml' ELSE 'xml' END)
+  WHEN 9 THEN concat('lib/k', p_partkey, '.kt') ELSE concat('app/s', p_partkey, '.rb') END"""
+_SIGNAL_TEXT = """CASE p_size % 14 WHEN 0 THEN concat('@Entity', chr(10), 'class A') WHEN 1 THEN concat('import x', chr(10), '@SpringBootApplication') WHEN 2 THEN '@Module (imports)'
+  WHEN 3 THEN concat('const e = require(', chr(39), 'express', chr(39), '); app.get (1)') WHEN 4 THEN concat('from django.db import models', chr(10), 'class A(models.Model): pass')
+  WHEN 5 THEN concat('from fastapi import FastAPI', chr(10), '@app.post(1)') WHEN 6 THEN 'class U < ApplicationRecord' WHEN 7 THEN concat(chr(34), 'express', chr(34), ': 1, ', chr(34), '@nestjs/core', chr(34))
+  WHEN 8 THEN concat('django==4', chr(10), 'uvicorn', chr(10), 'pydantic') WHEN 9 THEN 'gem rails' WHEN 10 THEN 'spring-boot-starter' WHEN 11 THEN 'class M(BaseModel): pass'
+  WHEN 12 THEN '@Injectable() @Controller ()' ELSE concat('nothing ', p_partkey) END"""
+_SIGNAL_FILES = f"SELECT {_REPO} AS repo_id, {_SIGNAL_PATH} AS path, {_SIGNAL_TEXT} AS content FROM part"
+_SPOKEN = "CASE CAST(substring(repo_id, 2, 9) AS INTEGER) % 5 WHEN 0 THEN 'java' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' WHEN 3 THEN 'ruby' ELSE 'kotlin' END"
+
+
+def _signal_sql() -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    rows = ", ".join(f"({k}, '{f}', '{kind}', {quoted(p if kind in ('source', 'dependency') else B.path_pattern(kind, p))}, {B.SIGNAL_SCORES[w]})" for k, (f, kind, p, w) in enumerate(B.SIGNALS))
+    places = ", ".join(f"({k}, '{name}', '{lang}')" for k, (name, spoken) in enumerate(B.FRAMEWORKS) for lang in spoken)
+    builds = ", ".join(f"'{f}'" for f, *_ in B.BUILD_FILES)
+    walked = f"NOT regexp_matches('/' || path, '/(?:{'|'.join(d.replace('.', '[.]') for d in B.NOT_SEARCHED)}|[.][^/]*)(?:/|$)')"
+    return f"""WITH f AS ({_SIGNAL_FILES}), s(k, framework, kind, pattern, weight) AS (VALUES {rows}), w(place, framework, language) AS (VALUES {places}),
+  hit AS (SELECT DISTINCT repo_id, k, s.framework, weight FROM f JOIN s ON CASE kind WHEN 'dependency' THEN path IN ({builds}) AND contains(content, pattern)
+    WHEN 'glob' THEN regexp_matches(path, pattern) WHEN 'file' THEN regexp_matches(path, pattern) AND {walked} ELSE regexp_matches(content, pattern) AND {walked} END),
+  sc AS (SELECT repo_id, framework, CAST(sum(weight) AS BIGINT) AS score FROM hit GROUP BY ALL HAVING sum(weight) >= 2)
+  SELECT repo_id, framework, score, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS confidence, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, place) = 1 AS best
+  FROM sc JOIN w USING (framework) WHERE language = {_SPOKEN}"""
+
+
+def scored_frameworks(t: Tables):
+    files = t.spark.sql(_SIGNAL_FILES.replace("FROM part", "FROM {part}"), part=t.part)
+    languages = t.part.select(F.expr(_REPO).alias("repo_id")).distinct().withColumn("language", F.expr(_SPOKEN))
+    return B.framework_signals(files, languages, B.signal_table(t.spark))
+
+
+@query("b07_framework_signals", _signal_sql())
+def b07_signals(t: Tables):
+    return scored_frameworks(t)
+
+
+@query("t07_best_framework", f"SELECT repo_id, framework, confidence FROM ({_signal_sql()}) WHERE best")
+def t07_best(t: Tables):
+    return scored_frameworks(t).filter("best").select("repo_id", "framework", "confidence")
+
+
 @query("b08_build_system", f"SELECT {_REPO} AS repo_id, 'npm' AS build_system, 'package.json' AS build_file FROM part WHERE p_partkey % 25 = 4 GROUP BY 1")
 def b08(t: Tables):
     return B.build_system(files(t))

@@ -41,8 +41,7 @@ FACT_TYPES = [
 
 def follow_rows(t: Tables) -> DataFrame:
     """Each event's user and the user of the next event of the same type."""
-    hour = F.date_trunc("hour", F.col("ts"))
-    return next_value(t.events.select("event_id", "ts", "user_id", "event_type"), ["event_type"], ["ts", "event_id"], hour, "user_id", "next_user")
+    return next_value(t.events.select("event_id", "ts", "user_id", "event_type"), ["event_type"], ["ts", "event_id"], None, "user_id", "next_user")
 
 
 BINDINGS = {

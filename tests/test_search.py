@@ -23,6 +23,8 @@ def test_bucketed_windows_equal_plain_windows(spark):
     w = Window.partitionBy("k").orderBy("o")
     bucket = F.floor(F.col("o") / 7)
     for got, want in (
+        *[(step(df, ["k"], ["o"], None, *names), df.withColumn("x", plain)) for step, names, plain in (
+            (S.next_value, ("v", "x"), F.lead("v").over(w)), (S.previous_value, ("v", "x"), F.lag("v").over(w)), (S.number_rows, ("x",), F.row_number().over(w).cast("bigint")))],
         (S.next_value(df, ["k"], ["o"], bucket, "v", "x"), df.withColumn("x", F.lead("v").over(w))),
         (S.previous_value(df, ["k"], ["o"], bucket, "v", "x"), df.withColumn("x", F.lag("v").over(w))),
         (S.number_rows(df, ["k"], ["o"], bucket, "x"), df.withColumn("x", F.row_number().over(w).cast("bigint"))),
@@ -31,6 +33,24 @@ def test_bucketed_windows_equal_plain_windows(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_buckets_stay_even_when_one_key_and_hour_hold_most_rows(spark):
+    """90 % of the rows are one player's, in one hour: no bucket holds many more rows than another, and numbers are right."""
+    hot = spark.range(90_000).selectExpr("'hot' AS k", "id % 3600 AS second", "id")
+    df = hot.union(spark.range(90_000, 100_000).selectExpr("concat('k', id % 50) AS k", "id * 97 % 864000 AS second", "id"))
+    wide = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r.n for r in S.bucketed(df, ["k"], ["second", "id"]).groupBy("_b").agg(F.count("*").alias("n")).collect()]
+        got = S.number_rows(df, ["k"], ["second", "id"], None, "x")
+        steps = S.next_value(df, ["k"], ["second", "id"], None, "id", "x")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", wide)
+    assert len(sizes) >= 6 and max(sizes) < 2.5 * 100_000 / len(sizes)
+    w = Window.partitionBy("k").orderBy("second", "id")
+    for found, plain in ((got, F.row_number().over(w).cast("bigint")), (steps, F.lead("id").over(w))):
+        assert found.exceptAll(df.withColumn("x", plain)).isEmpty()
+
+
 def test_shortest_paths_equal_breadth_first_search(spark):
     cat = catalog(Tables(spark, FOLDER))
     names, by_model = {}, defaultdict(list)
