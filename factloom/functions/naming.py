@@ -78,8 +78,9 @@ ERROR_CLASSES = {
 }
 
 
-def conceptual_type(sql_type: Column) -> Column:
-    return _first_match(F.upper(sql_type), CONCEPTUAL_TYPES, "other")
+def conceptual_type(sql_type: Column, more: dict[str, str] | None = None) -> Column:
+    """Conceptual type of a SQL type; ``more`` adds patterns of a dialect."""
+    return _first_match(F.upper(sql_type), CONCEPTUAL_TYPES | (more or {}), "other")
 
 
 def sql_type(name: Column, length: Column, scale: Column) -> Column:

@@ -3,7 +3,7 @@
 import importlib
 
 # The modules that register queries.
-MODULES = ("checks", "catalog", "mapping", "evolution", "upkeep", "mining")
+MODULES = ("checks", "catalog", "mapping", "evolution", "upkeep", "mining", "imports")
 
 
 def load():
