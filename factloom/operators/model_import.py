@@ -179,3 +179,77 @@ def defined_model(tables: DataFrame) -> CandidateModel:
         (F.lit(True), _offer("internal_uniqueness", F.when(value & ~F.col("unique"), 0).otherwise(1))), (~F.col("nullable"), _offer("mandatory", F.when(value, 0).otherwise(1)))])
     report = placed.filter("kind = 'lost'").select("project", "source", F.lit("gap").alias("severity"), F.lit("relationship").alias("category"), "column")
     return CandidateModel(fact_types, constraints, report)
+
+
+# ---- source code --------------------------------------------------------------------------------------------
+
+# Names and endings of types that are no concepts.
+UTILITY_TYPES = (
+    "Props", "State", "Config", "Options", "Params", "Args", "Result", "Response", "Request", "Error", "Event", "Handler", "Callback", "Listener", "Logger", "Context",
+    "Middleware", "Controller", "Service", "Repository", "Dto", "DTO", "Mapper", "Builder", "Factory", "Exception", "Application",
+)
+UTILITY_ENDINGS = ("Props", "Config", "Controller", "Service", "Repository", "Dto", "DTO", "Mapper", "Exception")
+# Annotations that relate two classes, and those to be looked at by a person.
+RELATING = ("ManyToOne", "OneToOne")
+REVIEWED = ("NotNull", "NotBlank", "NotEmpty", "Size", "Min", "Max", "Pattern", "Column")
+
+
+@dataclass
+class SourceModel:
+    object_types: DataFrame  # repo_id, name, kind, reference_mode, allowed
+    fact_types: DataFrame  # repo_id, fact_type, first_player, second_player
+    review: DataFrame  # repo_id, path, line, annotation, class_name, target, parameters
+
+
+def _concept(name: Column) -> Column:
+    """A field's name as a type's: words apart by - or _ joined, each with a capital."""
+    return F.array_join(F.transform(F.split(name, "[-_]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
+
+
+def source_model(types: DataFrame, annotations: DataFrame, transitions: DataFrame) -> SourceModel:
+    """Candidate types and facts of every repository from what its sources show.
+
+    ``types``, ``annotations`` and ``transitions`` are rows of ``source_mining``. Of a name found several times the first counts, in
+    this order: enums with members (values), classes marked as entities, other classes and interfaces that are no mere
+    helpers (entities), aliases of quoted alternatives (values), fields that a switch walks through (values); within each by
+    path and kind. An entity is identified by its first field marked as id, else by a member named id or like the
+    type with Id, else by its name with _id. A marked relation to a field whose name is a type's is a fact.
+    """
+    text, texts = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+
+    def offered(df: DataFrame, name: Column | str, rank: int, kind: str, allowed: Column, at: Column) -> DataFrame:
+        name = F.col(name) if isinstance(name, str) else name
+        return df.select("repo_id", name.alias("name"), F.struct(F.lit(rank).alias("rank"), at.alias("at")).alias("order"), F.lit(kind).alias("kind"), allowed.alias("allowed"))
+
+    place = F.struct(F.col("path"), F.col("kind").alias("part"))
+    having = F.size("members") > 0
+    helper = F.col("name").isin(*UTILITY_TYPES) | reduce(lambda a, b: a | b, [F.endswith("name", F.lit(e)) for e in UTILITY_ENDINGS])
+    steps = transitions.groupBy("repo_id", "state_field", "path", "start_line").agg(F.array_sort(F.collect_list(F.struct("step", "from", "to"))).alias("s"))
+    walked = F.array_distinct(F.flatten(F.transform("s", lambda x: F.array(x["from"], x["to"]))))
+    marked = annotations.filter("annotation = 'Entity' AND target_kind = 'class'")
+    line = lambda column: F.struct(F.col("path"), F.lpad(F.col(column).cast("string"), 12, "0").alias("part"))
+    names = reduce(lambda a, b: a.unionByName(b), [
+        offered(types.filter(F.col("kind") == "enum").filter(having), "name", 0, "value", F.col("members"), place),
+        offered(marked, "target", 1, "entity", texts, line("line")),
+        offered(types.filter(F.col("kind").isin("interface", "class")).filter(~helper), "name", 2, "entity", texts, place),
+        offered(types.filter(F.col("kind") == "type_alias").filter(having), "name", 3, "value", F.col("members"), place),
+        offered(steps, _concept(F.col("state_field")), 4, "value", walked, line("start_line"))])
+    first = names.groupBy("repo_id", "name").agg(F.min_by(F.struct("kind", "allowed"), "order").alias("t")).select("repo_id", "name", "t.*")
+    known = materialize(first, "source-types")
+
+    members = types.groupBy("repo_id", "name").agg(F.min_by("members", place).alias("members"))
+    ids = annotations.filter("annotation = 'Id'").groupBy("repo_id", F.col("class_name").alias("name")).agg(F.min_by("target", F.struct("path", "line")).alias("id"))
+    own = F.concat(F.lower(F.substring("name", 1, 1)), F.substr("name", F.lit(2)), F.lit("Id"))
+    snake = F.concat(F.regexp_replace(F.lower(F.regexp_replace("name", "([A-Z])", "_$1")), "^_", ""), F.lit("_id"))
+    mode = F.coalesce("id", F.when(F.array_contains("members", F.lit("id")), "id").when(F.array_contains("members", own), own), snake)
+    object_types = known.join(members, ["repo_id", "name"], "left").join(ids, ["repo_id", "name"], "left").select(
+        "repo_id", "name", "kind", F.when(F.col("kind") == "entity", mode).otherwise(text).alias("reference_mode"), "allowed")
+
+    there = known.select("repo_id", "name")
+    related = annotations.filter(F.col("annotation").isin(*RELATING)).select("repo_id", F.col("class_name").alias("first_player"), _concept(F.col("target")).alias("second_player")).distinct()
+    facts = (
+        related.filter("first_player <> second_player").join(there.withColumnRenamed("name", "first_player"), ["repo_id", "first_player"], "left_semi")
+        .join(there.withColumnRenamed("name", "second_player"), ["repo_id", "second_player"], "left_semi"))
+    fact_types = facts.select("repo_id", F.concat_ws(" has ", "first_player", "second_player").alias("fact_type"), "first_player", "second_player")
+    review = annotations.filter(F.col("annotation").isin(*REVIEWED)).select("repo_id", "path", "line", "annotation", "class_name", "target", "parameters")
+    return SourceModel(object_types, fact_types, review)

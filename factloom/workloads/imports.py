@@ -1,10 +1,11 @@
-"""Candidate models: from the column tests of a model per order, and from a file of table definitions per order."""
+"""Candidate models: from the column tests of a model per order, a file of table definitions per order, and a source file per part."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from factloom.operators import model_import as I, sql_mining as R
+from factloom.operators import model_import as I, source_mining as B, sql_mining as R
+from factloom.plans.session import materialize
 from factloom.workloads.registry import Tables, query
 
 PROJECT = "CAST(o_orderkey % 7 AS VARCHAR) AS project"
@@ -147,3 +148,45 @@ def n06(t: Tables):
 @query("n06_defined_report", f"WITH {_KNOWN} " + told(ORDER, "cust_id", "'gap' AS severity, 'relationship' AS category", f"FROM orders WHERE {_LACKS}"))
 def n06_report(t: Tables):
     return defined(t).report
+
+
+# ---- source code --------------------------------------------------------------------------------------------
+
+REPO, SOURCE = "concat('r', CAST(floor(p_partkey / 25.0) AS BIGINT))", "concat('src/F', lpad(CAST(p_partkey AS STRING), 9, '0'), '.java')"
+_SOURCE_SQL = SOURCE.replace("STRING", "VARCHAR")
+_MODEL_CODE = r"""concat('package p;\nenum Color', p_partkey % 20, ' { RED, GREEN }\n@Entity\npublic class Item', p_partkey, ' {\n  @Id\n  private Long code', p_partkey % 3, ';\n  @NotNull\n  private String label;\n  @ManyToOne\n  private Maker maker', p_partkey % 7,
+  ';\n  void run() { switch (this.status) { case \'new\': break; case \'old\': break; case \'', p_type, '\': break; } }\n}\ninterface Maker', p_partkey % 5, ' {\n  ', CASE WHEN p_partkey % 2 = 0 THEN 'id' ELSE 'other' END, ': string;\n}\nclass Item', p_partkey, 'Service {\n}\ntype Mode', p_partkey % 4, ' = \'on\' | \'off\';\n')"""
+
+
+def model_files(t: Tables):
+    return t.part.select(F.expr(REPO).alias("repo_id"), F.expr(SOURCE).alias("path"), F.expr(_MODEL_CODE).alias("content"))
+
+
+def mined(t: Tables) -> I.SourceModel:
+    files = materialize(model_files(t), "model-files")
+    return I.source_model(B.type_definitions(files), B.annotations(files), B.state_transitions(files))
+
+
+def _type(name: str, kind: str, mode: str, allowed: str, group: str = "") -> str:
+    return f"SELECT {REPO} AS repo_id, {name} AS name, '{kind}' AS kind, {mode} AS reference_mode, {allowed} AS allowed FROM part {group}"
+
+
+# Of several files with one name the first by path counts; paths have numbers of equal length, so the smallest part comes first.
+@query("n07_source_types", " UNION ALL ".join([
+    _type("concat('Color', p_partkey % 20)", "value", "NULL", "'RED|GREEN'", "GROUP BY ALL"), _type("concat('Mode', p_partkey % 4)", "value", "NULL", "'on|off'", "GROUP BY ALL"),
+    _type("concat('Item', p_partkey)", "entity", "concat('code', p_partkey % 3)", "NULL"),
+    _type("concat('Maker', p_partkey % 5)", "entity", "CASE WHEN min(p_partkey) % 2 = 0 THEN 'id' ELSE concat('maker', p_partkey % 5, '_id') END", "NULL", f"GROUP BY {REPO}, p_partkey % 5"),
+    _type("'Status'", "value", "NULL", "concat('new|old|', min_by(p_type, p_partkey))", f"GROUP BY {REPO}")]))
+def n07(t: Tables):
+    return mined(t).object_types.withColumn("allowed", F.array_join("allowed", "|"))
+
+
+@query("n08_source_facts", f"""SELECT {REPO} AS repo_id, concat('Item', p_partkey, ' has Maker', p_partkey % 7) AS fact_type, concat('Item', p_partkey) AS first_player, concat('Maker', p_partkey % 7) AS second_player FROM part
+  WHERE ({REPO}, p_partkey % 7) IN (SELECT ({REPO}, p_partkey % 5) FROM part)""")
+def n08(t: Tables):
+    return mined(t).fact_types
+
+
+@query("n09_source_review", f"SELECT {REPO} AS repo_id, {_SOURCE_SQL} AS path, CAST(7 AS INTEGER) AS line, 'NotNull' AS annotation, concat('Item', p_partkey) AS class_name, 'label' AS target, '' AS parameters FROM part")
+def n09(t: Tables):
+    return mined(t).review.withColumn("parameters", F.array_join("parameters", ";"))
