@@ -97,43 +97,59 @@ def parse(html: str | None) -> Page:
     The head ends at the first text or tag that is not of a head; svg and math at "/>" or at a tag of HTML; button and select
     at the tags that HTML names, and at the next block if they are never closed."""
     page, stack, position, text = Page(), [("", 0)], 0, html or ""
-    open_controls: set[int] = set()  # places in the stack of controls that are never closed
+    places: dict[str, list[int]] = {}  # of the open elements of each name in the stack
+    blocks = [0]  # places of those that are not inline
+    open_controls: list[int] = []  # places of controls that are never closed
+    runs: list[tuple[int, list[str], list[int]]] = []  # node, pieces of text, characters of each inside links
     unseen = links = 0
     fresh = True
 
+    def push(name: str, node: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name not in _INLINE:
+            blocks.append(len(stack))
+        stack.append((name, node))
+
     def pop() -> None:
         nonlocal unseen, links
         name, _ = stack.pop()
-        open_controls.discard(len(stack))
+        places[name].pop()
+        if name not in _INLINE:
+            blocks.pop()
+        if open_controls and open_controls[-1] == len(stack):
+            open_controls.pop()
         unseen -= name in _UNSEEN
         links -= name == "a"
 
-    def leave(at: int) -> None:
-        nonlocal fresh
+    def cut(at: int) -> None:
         while len(stack) > at:
             pop()
+
+    def leave(at: int) -> None:
+        nonlocal fresh
+        cut(at)
         fresh = True
 
+    def last(names: set[str]) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def within(names: set[str], border: set[str]) -> int:
         """Place of the innermost open element of these names inside the border; 0 if there is none."""
-        for at in range(len(stack) - 1, 0, -1):
-            if stack[at][0] in names:
-                return at
-            if stack[at][0] in border:
-                return 0
-        return 0
+        at = last(names)
+        return at if at > last(border) else 0
 
     def say(piece: str) -> None:
         nonlocal fresh
         if unseen or not piece:
             return
         piece = entities.unescape(piece) if "&" in piece else piece
-        if fresh or page.runs[-1][0] != stack[-1][1]:
-            page.runs.append([stack[-1][1], "", 0])
+        if fresh or runs[-1][0] != stack[-1][1]:
+            runs.append((stack[-1][1], [], []))
             fresh = False
-        page.runs[-1][1] += piece
+        runs[-1][1].append(piece)
         if links:
-            page.runs[-1][2] += len(piece)
+            runs[-1][2].append(len(piece))
 
     while position < len(text):
         token = _TOKEN.search(text, position)
@@ -149,18 +165,15 @@ def parse(html: str | None) -> Page:
             continue
         name = name.lower()
         if closing:
+            at = places[name][-1] if places.get(name) else 0
             if name in _INLINE:
-                at = len(stack) - 1
-                while at and stack[at][0] in _INLINE and stack[at][0] != name:
-                    at -= 1
+                at = at if at > blocks[-1] else 0
             else:
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
                 fresh = fresh or bool(at)
-            if at and stack[at][0] == name:
-                while len(stack) > at:
-                    pop()
+            if at:
+                cut(at)
             continue
-        if name == "head" and any(tag != "html" for tag, _ in stack[1:]) or name == "html" and stack[-1][0] == "head":
+        if name == "head" and len(stack) - 1 > len(places.get("html", ())) or name == "html" and stack[-1][0] == "head":
             continue
         if stack[-1][0] == "head" and name not in _IN_HEAD:
             leave(len(stack) - 1)
@@ -170,8 +183,8 @@ def parse(html: str | None) -> Page:
             for control, ends in _CONTROLS.items():
                 if name in ends and (at := within({control}, _SCOPE)):
                     leave(at)
-            if open_controls and name in _ENDS_P and within(set(_CONTROLS), _SCOPE) >= min(open_controls):
-                leave(min(open_controls))
+            if open_controls and name in _ENDS_P and within(set(_CONTROLS), _SCOPE) >= open_controls[0]:
+                leave(open_controls[0])
         if name in _RAW:
             if unseen and attributes.rstrip().endswith("/") and within(_FOREIGN, _PASSAGES):
                 continue
@@ -187,39 +200,31 @@ def parse(html: str | None) -> Page:
             while len(stack) > 1 and stack[-1][0] != "html":
                 pop()
         if name in _ENDS_P:
-            inner = len(stack) - 1
-            while inner and stack[inner][0] in _INLINE:
-                inner -= 1
-            if stack[inner][0] == "p":
-                while len(stack) > inner:
-                    pop()
-            closes = _SIBLINGS.get(name, ())
-            inner = len(stack) - 1
-            while inner and stack[inner][0] in _INLINE:
-                inner -= 1
-            while closes and stack[inner][0] in closes:
-                while len(stack) > inner:
-                    pop()
-                inner = len(stack) - 1
+            if stack[blocks[-1]][0] == "p":
+                cut(blocks[-1])
+            closes, at = _SIBLINGS.get(name, ()), blocks[-1]
+            while closes and stack[at][0] in closes:
+                cut(at)
+                at = len(stack) - 1
         if name in _FOREIGN and attributes.rstrip().endswith("/"):
             continue
         if name in _CONTROLS:
             follows = _CONTROL[name].search(text, position)
             if not follows or not follows[1]:
-                open_controls.add(len(stack))
+                open_controls.append(len(stack))
         if name in _INLINE or name in _UNSEEN:
             unseen += name in _UNSEEN
             links += name == "a"
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
             continue
         found, label = _hints(attributes.strip()) if attributes.strip() else ((), "")
         page.parent.append(stack[-1][1])
         page.tag.append(name)
         page.hints.append(found)
         page.label.append(label or page.label[stack[-1][1]])
-        stack.append((name, len(page.parent) - 1))
+        push(name, len(page.parent) - 1)
         fresh = True
-    page.runs = [[node, run, linked] for node, run, linked in ([n, " ".join(r.split()), k] for n, r, k in page.runs) if run]
+    page.runs = [[node, run, linked] for node, run, linked in ([n, " ".join("".join(r).split()), sum(k)] for n, r, k in runs) if run]
     return page
 
 
