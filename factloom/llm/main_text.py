@@ -354,16 +354,17 @@ def extract(pages: DataFrame, model: TextModel, html: str = "html") -> DataFrame
     """pages with __text, the article's text: white space within a block made one space, blocks joined by line feeds.
 
     Null and empty pages and pages without an article have the empty text. Repeated rows are read each for itself; other
-    columns are kept, but html must not be named __text; an empty table gives an empty result."""
+    columns are kept, only one named __text is replaced; an empty table gives an empty result."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    kept = pages.columns
+    columns = pages.columns
+    kept = [c for c in columns if c != "__text"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = kept.index(html)
+        at = columns.index(html)
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
                 found = texts(part.column(at).to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*kept, "__text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.string())], names=[*kept, "__text"])
 
-    return pages.mapInArrow(read, T.StructType([*pages.schema.fields, T.StructField("__text", T.StringType())]))
+    return pages.mapInArrow(read, T.StructType([*(f for f in pages.schema.fields if f.name in kept), T.StructField("__text", T.StringType())]))

@@ -77,7 +77,7 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] =
 
     Each distinct URL is judged once. Null, empty and odd URLs have empty parts and the verdict `otherwise`, unless a rule
     fits the empty text. Host and path rules win over patterns, longer names over shorter, earlier over later. Repeated rows
-    are judged alike; other columns are kept."""
+    are judged alike; other columns are kept, only those of these five names are replaced."""
     spark = pages.sparkSession
     host, path = parts(F.col("__url"))
     urls = pages.select(F.coalesce(F.col(url), F.lit("")).alias("__url")).distinct().select("__url", F.concat(host, path).alias("subject"))
@@ -90,9 +90,9 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] =
     names = spark.createDataFrame([(k, r.name, r.verdict, r.ordered) for k, r in enumerate(rules)],
                                   "rule_no int, __name string, __verdict string, __ordered boolean")
     judged = best.join(names, "rule_no").select("__url", "__name", "__verdict", "__ordered")
-    host, path = parts(F.col(url))
-    return (
-        pages.withColumn("__url", F.coalesce(F.col(url), F.lit(""))).join(judged, "__url", "left")
-        .withColumn("__host", host).withColumn("__path", path)
-        .withColumn("__rule", F.when(F.col("__ordered"), F.col("__name"))).withColumn("__pattern", F.when(~F.col("__ordered"), F.col("__name")))
-        .withColumn("__verdict", F.coalesce("__verdict", F.lit(otherwise))).drop("__url", "__name", "__ordered"))
+    host, path = parts(F.col("row")[url])
+    rows = pages.select(F.struct(*pages.columns).alias("row"), F.coalesce(F.col(url), F.lit("")).alias("__url")).join(judged, "__url", "left")
+    found = {
+        "__host": host, "__path": path, "__rule": F.when(F.col("__ordered"), F.col("__name")), "__pattern": F.when(~F.col("__ordered"), F.col("__name")),
+        "__verdict": F.coalesce("__verdict", F.lit(otherwise))}
+    return rows.select(*[F.col("row")[c].alias(c) for c in pages.columns if c not in found], *[v.alias(c) for c, v in found.items()])

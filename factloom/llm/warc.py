@@ -23,7 +23,6 @@ from factloom.plans.session import ensure_checkpoint_dir, materialize
 LEAST_SHARED = 100  # payloads of fewer bytes are always stored
 ARCHIVE_BYTES = 64 << 20  # an archive is closed once it has taken so many bytes before compression
 RANGE_ROWS = 8192  # index rows merged by one task
-OPEN_ARCHIVES = 32  # files a reading task keeps open
 INDEX = "run string, seq long, url_key string, captured string, page_id long, place long, stored long"
 
 
@@ -95,8 +94,8 @@ def write_archives(captures: DataFrame, folder: str | None = None, archive_bytes
             ordered = sorted(entries)
             return pa.RecordBatch.from_arrays([
                 pa.array([run] * len(ordered)), pa.array(range(len(ordered)), pa.int64()), pa.array([e[0] for e in ordered], pa.string()),
-                pa.array([e[1] for e in ordered], pa.string()), pa.array([e[4] for e in ordered], pa.int64()),
-                pa.array([e[3] for e in ordered], pa.int64()), pa.array([e[5] for e in ordered], pa.int64())],
+                pa.array([e[1] for e in ordered], pa.string()), pa.array([e[5] for e in ordered], pa.int64()),
+                pa.array([e[4] for e in ordered], pa.int64()), pa.array([e[6] for e in ordered], pa.int64())],
                 names=["run", "seq", "url_key", "captured", "page_id", "place", "stored"])
 
         for batch in batches:
@@ -111,8 +110,8 @@ def write_archives(captures: DataFrame, folder: str | None = None, archive_bytes
                 record = _record(page, url, captured, digest, refers_to, payload)
                 member, place = _gzip(record), out.tell()
                 out.write(member)
-                entries.append((key, captured or "", page is not None, place, page, len(member)) if page is None else
-                               (key, captured or "", True, place, page, len(member)))
+                # sorted by what the runs are merged by, then by place
+                entries.append((key, captured or "", page is not None, page or 0, place, page, len(member)))
                 size += len(record)
                 if size >= archive_bytes:
                     yield close()
@@ -196,26 +195,30 @@ def parse_record(data: bytes) -> dict:
 
 
 def read_archives(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """Read every indexed record, in index order -> page_id, url, captured, payload_bytes, payload_digest, record_type, refers_to
-    (and payload, null for revisits). Stored payloads are measured and digested anew; a digest that differs is an error."""
+    """Read every indexed record -> page_id, url, captured, payload_bytes, payload_digest, record_type, refers_to
+    (and payload, null for revisits), in index order. A batch of the index is read archive by archive from front to back, so each
+    file is opened once a batch. Stored payloads are measured and digested anew; a digest that differs is an error."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = pafs.FileSystem.from_uri(folder)
-        files: OrderedDict[str, pa.NativeFile] = OrderedDict()
         number = lambda urn: int(urn[len("<urn:page:"):-1]) if urn and urn != "<urn:page:>" else None
         for batch in batches:
-            rows: list[tuple] = []
-            for run, place, stored in zip(*(batch.column(n).to_pylist() for n in ("run", "place", "stored"))):
-                if run not in files:
-                    if len(files) >= OPEN_ARCHIVES:
-                        files.popitem(last=False)[1].close()
-                    files[run] = system.open_input_file(run)
-                files.move_to_end(run)
-                r = parse_record(zlib.decompress(files[run].read_at(stored, place), 31))
+            wanted = list(zip(*(batch.column(n).to_pylist() for n in ("run", "place", "stored"))))
+            rows: list[tuple] = [()] * len(wanted)
+            opened, file = None, None
+            for at in sorted(range(len(wanted)), key=wanted.__getitem__):
+                run, place, stored = wanted[at]
+                if run != opened:
+                    if file is not None:
+                        file.close()
+                    opened, file = run, system.open_input_file(run)
+                r = parse_record(zlib.decompress(file.read_at(stored, place), 31))
                 payload, digest = r["payload"], r["warc-payload-digest"].removeprefix("sha256:")
                 if payload is not None and (len(payload) != r["http-length"] or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"{run} at {place}: the payload does not have its digest")
-                rows.append((number(r["warc-record-id"]), r["warc-target-uri"], r["warc-date"], r["http-length"], digest, r["warc-type"],
-                             number(r.get("warc-refers-to")), payload))
+                rows[at] = (number(r["warc-record-id"]), r["warc-target-uri"], r["warc-date"], r["http-length"], digest, r["warc-type"],
+                            number(r.get("warc-refers-to")), payload if with_payload else None)
+            if file is not None:
+                file.close()
             names = ["page_id", "url", "captured", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
             keep = len(names) - (not with_payload)

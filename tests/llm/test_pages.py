@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -61,12 +62,33 @@ def test_index_is_in_global_order(spark, odd):
     assert keys == sorted(keys) and len(keys) == 3000
 
 
+def test_index_of_one_moment(spark):
+    """Captures of one URL and moment in one archive, written in any order, come out by page id."""
+    pages = spark.createDataFrame([(k, "http://h.org/p", "<p>") for k in (9, 3, 7, 1, 8, 2)] + [(None, "http://h.org/p", "<p>")], "page_id long, url string, html string")
+    captures = warc.plan_captures(pages.coalesce(1), captured=F.lit("2024-01-01").cast("timestamp"))
+    index = warc.write_archives(captures)
+    assert [r.page_id for r in warc.merge_runs(index, range_rows=100).collect()] == [None, 1, 2, 3, 7, 8, 9]
+    runs = index.orderBy("run", "seq").collect()
+    assert [r.page_id for r in runs] == [None, 1, 2, 3, 7, 8, 9]
+
+
 @given(st.lists(st.lists(st.integers(0, 20)), max_size=9))
 def test_loser_tree(runs):
     runs = [sorted(r) for r in runs]
     assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
 
 
+def test_page_columns_may_clash(spark, odd):
+    names = ("__url", "__name", "__ordered", "row", "order", "subject", "token")
+    clash = odd.selectExpr("*", *[f"concat('{n}', coalesce(page_id, 0)) AS `{n}`" for n in names], "'x' AS __text", "'y' AS __host")
+    judged = url_rules.judge_urls(clash)
+    assert judged.count() == len(ODD) and all(r[n] == f"{n}{r.page_id or 0}" for r in judged.collect() for n in names)
+    assert {r["__host"] for r in judged.collect()} != {"y"}
+    plain = {(r.page_id, r.url): r["__text"] for r in main_text.extract(odd.filter("length(html) < 1000"), main_text.trained()).collect()}
+    found = main_text.extract(clash.filter("length(html) < 1000"), main_text.trained())
+    assert {(r.page_id, r.url): r["__text"] for r in found.collect()} == plain and found.columns.count("__text") == 1
+
+
 def test_urls(spark, odd):
     got = {(r.page_id, r.url): (r["__host"], r["__path"], r["__rule"], r["__pattern"], r["__verdict"]) for r in url_rules.judge_urls(odd).collect()}
     assert url_rules.judge_urls(odd).count() == len(ODD)
@@ -239,3 +261,13 @@ def test_order_of_rows_does_not_matter():
     order = random.Random(1).sample(range(20), 20)
     model = main_text.trained()
     assert [main_text.texts(pages, model)[k] for k in order] == main_text.texts([pages[k] for k in order], model)
+
+
+@pytest.mark.parametrize("page", [
+    "<i>" * 800_000 + "</b>" * 700_000, "<div>x</p>" * 500_000, "<i>" * 800_000 + "<p>x" * 700_000, "<p>" + "word <b>x</b> " * 400_000, "<button><table>" * 330_000,
+    "<svg>" * 500_000 + "<desc><p>" * 300_000, "<head>" * 800_000, "<a href='>" * 500_000, "<li>x" * 1_000_000, "<select>" * 600_000], ids=range(10))
+def test_long_pages_take_linear_time(page):
+    """5 MB of shapes that a search through the open elements would make quadratic."""
+    start = time.process_time()
+    main_text.parse(page)
+    assert time.process_time() - start < 60
