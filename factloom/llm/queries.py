@@ -70,7 +70,7 @@ def op5(pages: DataFrame) -> DataFrame:
 @query("op6_source_mixing", "documents", sql=r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS k, source IS NULL AS o, source,
   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS h FROM documents),
 s AS (SELECT k, o, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY ALL),
 w AS (SELECT *, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], CAST((row_number() OVER (ORDER BY o, k) - 1) % 3 + 1 AS INTEGER)) AS weight FROM s),
 r AS (SELECT *, n * 3.0::DOUBLE AS most, n * 3.0::DOUBLE / weight AS ratio, sum(n::DOUBLE) OVER () AS total, sum(weight) OVER () AS all_weight FROM w),
