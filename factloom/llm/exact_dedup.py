@@ -52,11 +52,11 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sal
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """The kept rows of docs, with all their columns; among rows equal in id and text, any one."""
-    # plain keys for join and drop alike, so that texts are dealt out once for both
-    def keyed(df: DataFrame, digest, identity) -> DataFrame:
-        return df.withColumns({"__digest": digest, "__id": F.coalesce(identity, F.lit(0).cast("long")), "__none": identity.isNull()})
-
-    keys = ["__digest", "__id", "__none"]
-    kept = keyed(copy_groups(docs, doc_id, text, salts), F.col("text_sha256"), F.col("keep_id")).select(*keys)
-    rows = keyed(docs, F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.col(doc_id).cast("long"))
-    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    # plain keys for join and drop alike, so that texts are dealt out once for both; the row itself travels as one column
+    def keyed(df: DataFrame, digest, identity, *more) -> DataFrame:
+        return df.select(digest.alias("digest"), F.coalesce(identity, F.lit(0).cast("long")).alias("identity"), identity.isNull().alias("none"), *more)
+
+    keys = ["digest", "identity", "none"]
+    kept = keyed(copy_groups(docs, doc_id, text, salts), F.col("text_sha256"), F.col("keep_id"))
+    rows = keyed(docs, F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.col(doc_id).cast("long"), F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).select("row.*")

@@ -5,8 +5,8 @@ similar enough share a shingle among their first few. Documents with identical p
 share a prefix shingle are paired and filtered by size and position, then expanded to their documents. Parity bitmaps rule
 out most pairs; what stays is joined into presumed components, inside which whole sets are compared.
 
-No step lists all pairs of a large group: groups, very common shingles and large components are dealt out in tiles, and a
-tile reports no more links than it takes to connect its documents.
+No step lists all pairs of a large group: groups and very common shingles are dealt out in tiles, large components are
+compared with a few representatives first, and no tile reports more links than it takes to connect its documents.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ COMMON = 64  # a shingle in more prefixes than this is common: it goes later in
 MOST_COMMON = 1 << 20  # shingles moved back at most; any choice of them gives the same result
 MAP_TILE = 4096  # documents of a tile when bitmaps are compared, a few hundred bytes each
 TEXT_TILE = 256  # and when whole texts are
+REPRESENTATIVES = 8  # members of a large component that all others meet first
 SLICE = 1000  # rows whose sketches are made together
 KNOWN = 200_000  # words whose hashes a worker remembers before it starts anew
 
@@ -165,15 +166,15 @@ def _key(doc_id: str, text: str):
 
 
 def ordered(rows: DataFrame, common: np.ndarray, like: Similarity) -> DataFrame:
-    """Sketches with group (hash of size and prefix), prefix, which of it is common, and whether any common shingle was moved
-    instead of `first`: the first shingles when common ones stand `back` later. Whatever lies beyond the stored hashes comes
+    """Sketches with group (hash of size and prefix), prefix and which of it is common instead of `first`: the first
+    shingles when common ones stand `back` later. Whatever lies beyond the stored hashes comes
     later than those."""
     shared = rows.sparkSession.sparkContext.broadcast(np.sort(common))
     columns = ["key", "doc_id", "n", "s1", "s2", "bitmap"]
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, firsts, often, moved = [], [], [], []
+            groups, firsts, often = [], [], []
             for n, first in zip(batch.column("n").to_pylist(), batch.column("first")):
                 s = first.values.to_numpy().view(np.uint64)
                 at = np.minimum(np.searchsorted(shared.value, s), max(len(shared.value) - 1, 0))
@@ -183,12 +184,11 @@ def ordered(rows: DataFrame, common: np.ndarray, like: Similarity) -> DataFrame:
                 groups.append(xxhash.xxh64_intdigest(s[chosen].tobytes(), n) - (1 << 63))
                 firsts.append(s[chosen].view(np.int64))
                 often.append(is_common[chosen])
-                moved.append(bool(is_common[:like.prefix(n)].any()))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array(groups, pa.int64()), pa.array(firsts, pa.list_(pa.int64())),
-                 pa.array(often, pa.list_(pa.bool_())), pa.array(moved, pa.bool_())], names=[*columns, "group", "prefix", "common", "moved"])
+                 pa.array(often, pa.list_(pa.bool_()))], names=[*columns, "group", "prefix", "common"])
 
-    ddl = "key long, doc_id long, n int, s1 long, s2 long, bitmap binary, group long, prefix array<long>, common array<boolean>, moved boolean"
+    ddl = "key long, doc_id long, n int, s1 long, s2 long, bitmap binary, group long, prefix array<long>, common array<boolean>"
     return rows.select(*columns, "first").mapInArrow(order, ddl)
 
 
@@ -235,8 +235,43 @@ def presumed_pairs(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataF
     return pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b", "n", "m").mapInArrow(compare, "x long, y long")
 
 
-def verified_links(texts: DataFrame, like: Similarity) -> DataFrame:
-    """texts (key, node, text): whole sets are compared within each key -> linked pairs (x, y), as few as connect them."""
+def linked_members(texts: DataFrame, like: Similarity) -> DataFrame:
+    """texts (key, node, text): linked pairs (x, y) within each key, enough to connect whatever links connect.
+
+    Keys of up to two tiles are compared whole. In larger ones every member first meets a few members chosen by hash, the
+    representatives, and the others of its tile: in a group of near copies that links all, for one copy of each text.
+    Where several classes are left, the members outside the largest class meet everybody: all of them in tiles, and each tile
+    of them every tile of the largest class."""
+    sizes = materialize(texts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(REPRESENTATIVES)])).alias("chosen"),
+    ).filter(F.col("members") > 2 * TEXT_TILE).withColumn("parts", F.ceil(F.col("members") / TEXT_TILE).cast("int")), "large-components")
+    small = verified_links(tiles(texts.join(sizes.select("key"), "key", "left_anti"), "key", TEXT_TILE), like)
+    if sizes.isEmpty():
+        return small
+    large = materialize(texts.join(sizes.select("key", "parts"), "key"), "large-bodies")
+    chosen = sizes.select("key", F.explode("chosen").alias("node")).join(large, ["key", "node"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = large.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).unionByName(chosen.withColumn("part", every("parts")))
+    first = materialize(verified_links(dealt.withColumn("cell", F.xxhash64("key", "part")), like), "first-links")
+
+    classed = large.select("key", "node").join(components(first).withColumnRenamed("label", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    classes = materialize(classed, "classes")
+    counts = classes.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.max("n").alias("most"))
+    main = materialize(main.filter("classes > 1").select("key", "main", *[F.ceil(F.col(c) / TEXT_TILE).cast("int").alias(f"{c}_parts") for c in ("others", "most")]), "mixed-components")
+    if main.isEmpty():
+        return small.unionByName(first)
+    mixed = large.drop("parts").join(classes, ["key", "node"]).join(main, "key").withColumn("in_main", F.col("class") == F.col("main"))
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(2)), F.col(n)).cast("int")
+    inside = mixed.filter("in_main").withColumn("b", own("most_parts")).withColumn("s", every("others_parts"))
+    outside = mixed.filter("NOT in_main").withColumn("s", own("others_parts")).withColumn("b", every("most_parts"))
+    across = inside.unionByName(outside).withColumn("cell", F.xxhash64("key", "s", "b", F.lit("across")))
+    apart = tiles(mixed.filter("NOT in_main").select("key", "node", "text"), "key", TEXT_TILE)
+    return small.unionByName(first).unionByName(verified_links(across, like)).unionByName(verified_links(apart, like))
+
+
+def verified_links(dealt: DataFrame, like: Similarity) -> DataFrame:
+    """dealt (cell, node, text): whole sets are compared within each cell -> linked pairs (x, y), as few as connect them."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in cells(batches):
             nodes = table.column("node").to_numpy()
@@ -260,7 +295,7 @@ def verified_links(texts: DataFrame, like: Similarity) -> DataFrame:
                         links.join(k, other)
             yield _as_pairs([(int(nodes[a]), int(nodes[b])) for a, b in links.made])
 
-    return by_cell(tiles(texts, "key", TEXT_TILE), "node", "text").mapInArrow(compare, "x long, y long")
+    return by_cell(dealt, "node", "text").mapInArrow(compare, "x long, y long")
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", like: Similarity = Similarity(), common: int = COMMON) -> DataFrame:
@@ -284,15 +319,15 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         placed.groupBy("n", "s1", "s2").agg(
             F.min("key").alias("node"), F.min("doc_id").alias("least_id"), F.any_value("bitmap").alias("bitmap"), F.any_value("group").alias("group")), "sets")
     sizes = sets.groupBy("n", "group").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("members"))
-    shapes = placed.groupBy("n", "group").agg(F.any_value("prefix").alias("prefix"), F.any_value("common").alias("common"), F.max("moved").alias("moved"))
+    shapes = placed.groupBy("n", "group").agg(F.any_value("prefix").alias("prefix"), F.any_value("common").alias("common"))
     groups = materialize(shapes.join(sizes, ["n", "group"]), "groups")
     of_group = materialize(
         sets.select("node", "n", "group").join(groups.filter("members > 1").select("n", "group", "gid"), ["n", "group"]).select("node", "n", "gid"), "members")
-    tokens = groups.select("gid", "n", "members", "moved", F.posexplode(F.arrays_zip("prefix", "common")).alias("place", "t")).select(
-        "gid", "n", "members", "moved", "place", F.col("t.prefix").alias("token"), F.col("t.common").alias("common"))
-    # shingles that came into prefixes because others went later may be common too
+    tokens = groups.select("gid", "n", "members", F.posexplode(F.arrays_zip("prefix", "common")).alias("place", "t")).select(
+        "gid", "n", "members", "place", F.col("t.prefix").alias("token"), F.col("t.common").alias("common"))
+    # shingles that came into prefixes because others went later may be common too, and so may those beyond MOST_COMMON
     late = (
-        tokens.filter("moved AND NOT common").groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > common)
+        tokens.filter("NOT common").groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > common)
         .select("token", F.lit(True).alias("late")))
     tokens = tokens.join(materialize(late, "late"), "token", "left").withColumn("common", F.col("common") | F.coalesce("late", F.lit(False)))
     rare = tokens.filter(~F.col("common"))
@@ -319,7 +354,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # whole sets, inside the presumed components
     presumed = components(single.union(tiled))
     bodies = docs.select(_key(doc_id, text).alias("node"), F.col(text).alias("text")).join(presumed, "node").select(F.col("label").alias("key"), "node", "text")
-    linked = components(verified_links(materialize(bodies, "bodies"), like))
+    linked = components(linked_members(materialize(bodies, "bodies"), like))
     named = linked.join(sets.select("node", "least_id"), "node")
     names = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_sets = materialize(
@@ -332,5 +367,5 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", like: Similarity = Similarity()) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id names their component. Rows without an id stay."""
     found = similar_components(docs, doc_id, text, like)
-    dropped = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "near-copies")
-    return docs.join(dropped, F.col(doc_id).cast("long") == F.col("__dropped"), "left_anti")
+    dropped = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.alias("docs").join(dropped.alias("dropped"), F.col(f"docs.{doc_id}").cast("long") == F.col("dropped.doc_id"), "left_anti")

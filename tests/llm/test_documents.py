@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 from collections import defaultdict
 
@@ -64,7 +66,7 @@ def test_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in entry.queries()
 
 
@@ -101,6 +103,43 @@ def test_jaccard_tiles(spark, monkeypatch):
     assert got == linked(texts)
 
 
+@pytest.mark.parametrize("chain", [0, 60])
+def test_jaccard_representatives(spark, monkeypatch, chain):
+    """A large component of near copies with strangers that only share its bitmaps, and a long chain of links through it:
+    classes that no representative reaches are still found, and near copies do not meet in pairs of tiles."""
+    monkeypatch.setattr(jaccard, "TEXT_TILE", 8)
+    monkeypatch.setattr(jaccard, "REPRESENTATIVES", 2)
+    pick, texts = np.random.default_rng(6), {}
+    for k in range(150):
+        w = [f"w{i}" for i in range(100)]
+        w[int(pick.integers(0, 100))] = f"x{k}"
+        texts[k] = " ".join(w)
+    words = [f"w{i}" for i in range(100)]
+    for k in range(chain):  # each differs from the one before in one word, so the ends have nothing in common
+        words[k] = f"c{k}"
+        texts[1000 + k] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(docs).collect()} == linked(texts)
+
+
+def test_jaccard_members_of_all_classes(spark, monkeypatch):
+    """One presumed component of several real ones: exact classes, whichever members represent it."""
+    monkeypatch.setattr(jaccard, "TEXT_TILE", 4)
+    pick, texts = np.random.default_rng(1), {}
+    for k in range(120):
+        base, w = k % 7 if k % 3 else 0, []
+        w = [f"b{base}w{i}" for i in range(60)]
+        for at in pick.integers(0, 60, int(pick.integers(0, 3))):
+            w[at] = f"y{pick.integers(5)}"
+        texts[k] = " ".join(w)
+    rows = spark.createDataFrame([(1, k, t) for k, t in texts.items()] + [(2, 900, "a b c d"), (2, 901, "a b c d")], "key long, node long, text string")
+    for chosen in (1, 3):
+        monkeypatch.setattr(jaccard, "REPRESENTATIVES", chosen)
+        found = components.components(jaccard.linked_members(rows, jaccard.Similarity())).collect()
+        got = {k: k for k in [*texts, 900, 901]} | {r.node: r.label for r in found}
+        assert got == {k: c for k, (_, c) in linked(texts | {900: "a b c d", 901: "a b c d"}).items()}
+
+
 def test_jaccard_edges(spark, odd):
     rows = jaccard.similar_components(odd).collect()
     assert len(rows) == len(ODD)
@@ -130,6 +169,18 @@ def test_exact_dedup(spark, odd):
     assert exact_dedup.mark_copies(odd.limit(0)).collect() == []
 
 
+def test_names_used_inside_may_clash(spark):
+    """Columns of the table that are named like those used inside stay as they are."""
+    names = "__digest __id __none __dropped __p __taken __copy __text __size digest identity none row doc i s h copy turn body".split()
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(["one text here", "one text here", "another text there", None])], "doc_id long, text string, lang string, source string")
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    model = language.train(docs)
+    for made in (exact_dedup.drop_copies(docs), jaccard.one_of_each(docs), mixing.mix(docs), language.identify(docs, model)):
+        rows = made.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), made.columns
+    assert len(exact_dedup.mark_copies(docs).collect()) == 4
+
+
 def test_mixing(spark, odd):
     rows = mixing.plan_mix(odd, part_rows=2).collect()
     assert len(rows) == len(ODD)
@@ -185,15 +236,103 @@ def test_language_of_copies(spark, monkeypatch, blank):
         assert np.allclose(model.centroids, want.centroids) and np.allclose(model.least, want.least)
 
 
-def test_gram_counts_of_slices(monkeypatch):
-    slices = ["ab cd ", "ef gh", " ij kl"]
-    want = np.zeros(language.WIDTH)
-    for part in slices:
-        found, counts = language.gram_counts(part)
-        want[found] += counts
-    monkeypatch.setattr(language, "SLICE", 6)
-    found, counts = language.gram_counts("ab cd ef ghx"[:6] + "ef gh " + "ij kl")
-    assert set(found) == set(np.flatnonzero(want)) and (counts == want[found]).all()
+@pytest.mark.parametrize("text", ["ab cd ef ghx  ijkl -- m", " 12 ", "", "é", "a" * 20, "  x  y  "])
+def test_gram_counts_of_slices(monkeypatch, text):
+    """Grams go on from slice to slice: the counts do not depend on where a text is cut."""
+    want, counts = language.gram_counts(text)
+    for size in range(1, 9):
+        monkeypatch.setattr(language, "SLICE", size)
+        found, same = language.gram_counts(text)
+        assert found.tolist() == want.tolist() and same.tolist() == counts.tolist()
+
+
+def plain_grams(text):
+    """Letter 1- to 3-grams, with one mark (a space) for what is no letter."""
+    marked = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    marked = re.sub(" +", " ", marked)
+    if not marked.strip():
+        return {}
+    made = defaultdict(int)
+    for n in (1, 2, 3):
+        for k in range(len(marked) - n + 1):
+            if n > 1 or marked[k] != " ":
+                made[marked[k:k + n]] += 1
+    return made
+
+
+def test_language_cosine(spark):
+    """Scores are the cosines of plain dictionaries of grams: document frequencies of all texts, clusters of the same ones."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = [(r.text, r.lang) for r in docs.collect() if r.text is not None and r.lang is not None]
+    model = language.train(docs)
+    grams, n = [plain_grams(t) for t, _ in texts], len(texts)
+    places = {}
+
+    def place(gram):
+        if gram not in places:
+            codes = np.array([0 if c == " " else ord(c) for c in gram], np.uint64)
+            if len(codes) == 1:
+                places[gram] = int(language._grams(codes)[0])
+            else:
+                both = language._grams(codes)
+                places[gram] = int(both[-1])
+        return places[gram]
+
+    frequency = defaultdict(int)
+    for g in grams:
+        for b in {place(x) for x in g}:
+            frequency[b] += 1
+
+    def vector(g):
+        counts = defaultdict(int)
+        for gram, m in g.items():
+            counts[place(gram)] += m
+        weights = {b: (1 + math.log(m)) * (math.log((1 + n) / (1 + frequency[b])) + 1) for b, m in counts.items()}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        return {b: w / length for b, w in weights.items()}
+
+    centroids = [{int(b): float(c[b]) for b in np.flatnonzero(c)} for c in model.centroids.T]
+    for (text, _), g in list(zip(texts, grams))[::7]:
+        got = model.predict(text)
+        if not g:
+            assert got == ("und", 0.0, True)
+            continue
+        v = vector(g)
+        likeness = [sum(w * c.get(b, 0.0) for b, w in v.items()) for c in centroids]
+        assert got[1] == pytest.approx(min(max(likeness), 1.0), abs=1e-5)
+        assert max(x for x, l in zip(likeness, model.languages) if l == got[0]) == pytest.approx(max(likeness), abs=1e-5)
+    # the first round of clustering, on plain lists
+    few = [vector(g) for g, (_, l) in zip(grams, texts) if l == "de" and g][:20]
+    dense = np.zeros((len(few), language.WIDTH))
+    for k, v in enumerate(few):
+        dense[k, list(v)] = list(v.values())
+    made = language.cluster(dense, 2, rounds=1)
+    start = int(np.argmax(dense @ dense.mean(axis=0)))
+    other = int(np.argmin(dense @ dense[start]))
+    near = [0 if sum(a * b for a, b in zip(x, dense[start])) >= sum(a * b for a, b in zip(x, dense[other])) else 1 for x in dense]
+    for k in (0, 1):
+        mean = dense[[i for i, m in enumerate(near) if m == k]].mean(axis=0)
+        assert np.allclose(made[k], mean / np.linalg.norm(mean))
+
+
+def test_mixing_loses_no_words(spark):
+    """Rows that share ids, or have none, and equal rows in great number: every source gives the words of its plan."""
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(7, words(k, 10), "s1") for k in range(5)] + [(None, words(k, 3 + k), "s1") for k in range(9)] + [(8, "the same text", "s2")] * 300
+    rows += [(None, "no id, same text", "s2")] * 50 + [(None, "x", None)] * 4 + [(k, words(k, 40), "s3") for k in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS copy", "2 AS size", "3 AS doc", "4 AS __taken").repartition(6)
+    plan = mixing.plan_mix(docs, part_rows=16).collect()
+    targets = {r.source: int(r.target) for r in plan}
+    mixed = mixing.mix(docs, part_rows=16)
+    assert mixed.columns == docs.columns
+    got, cut = defaultdict(int), defaultdict(int)
+    for r in mixed.collect():
+        got[r.source] += len(r.text.split())
+        cut[r.source] += (r.doc_id, r.text, r.source) not in set(rows)
+    assert got == {s: t for s, t in targets.items() if t}
+    assert max(cut.values()) <= 1  # whole rows first, and one cut
+    first = [r.taken for r in plan if r.doc_id is None and r.source == "s1"]
+    assert len(set(first)) > 1
 
 
 def test_quality(spark, odd):
@@ -226,6 +365,20 @@ def test_quality_sample_is_full(spark):
     assert want.weights.any()
 
 
+def test_worths_by_plain_gradient(spark):
+    """The weights are where a plain gradient of the same loss on the same pairs vanishes."""
+    pick = np.random.default_rng(2)
+    x = pick.normal(size=(60, 3))
+    label = (x @ np.array([1.0, -2.0, 0.5]) + pick.normal(size=60) > 0).astype(int)
+    model = quality.learn(x, label)
+    again = quality.learn(x, label)
+    assert np.allclose(model.weights, again.weights)
+    scores = model.scores(x)
+    # scores rise with the worth, a linear function of the features
+    worth = x @ np.linalg.lstsq(np.column_stack([x, np.ones(60)]), np.log(scores / (1 - scores)), rcond=None)[0][:3]
+    assert (np.argsort(worth, kind="stable") == np.argsort(scores, kind="stable")).all()
+
+
 def test_pairwise_ranking_orders_by_preference():
     pick = np.random.default_rng(0)
     x = pick.normal(size=(400, 5))
