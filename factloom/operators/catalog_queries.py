@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factloom.functions.naming import expand_reading
 from factloom.functions.predicates import matches_keyword, same_name
 from factloom.operators.sequences import extreme_rows, first_rows
-from factloom.plans.session import cut_lineage
+from factloom.plans.session import HopTable, cut_lineage
 from factloom.sources.catalog import Catalog
 
 KEY = ["model_id", "fact_type_id"]
@@ -221,27 +221,24 @@ def shortest_paths(cat: Catalog, start: str, end: str) -> DataFrame:
     step = cut_lineage(hops(cat).join(ends.select("model_id"), "model_id", "left_semi"))
     no_steps = F.array().cast("array<struct<fact_type_id:string,from:string,to:string>>")
     frontier = ends.select("model_id", F.col("first").alias("node"), F.array().cast("array<bigint>").alias("place"), no_steps.alias("steps"))
-    visited = frontier.select("model_id", "node")
-    answers = [ends.filter("first = last").select("model_id", no_steps.alias("steps"))]
-    wanted = open_ends = ends.filter("first <> last").select("model_id", "last")
+    wanted = ends.filter("first <> last").select("model_id", F.col("last").alias("node"))
+    # what is visited and what is answered are stored hop by hop and read as one table each, so no plan grows with the hops
+    visited, answers = HopTable(frontier.select("model_id", "node"), "visited"), HopTable(ends.filter("first = last").select("model_id", no_steps.alias("steps")), "answers")
     while True:
-        reach = frontier.join(open_ends.select("model_id"), "model_id", "left_semi").join(step, ["model_id", "node"]).select(
+        open_models = ends.select("model_id").join(answers.read().select("model_id"), "model_id", "left_anti")
+        reach = frontier.join(open_models, "model_id", "left_semi").join(step, ["model_id", "node"]).select(
             "model_id", F.col("next").alias("node"),
             F.concat("place", F.array("seq", F.col("entry").cast("bigint"), F.col("exit").cast("bigint"))).alias("place"),
             F.concat("steps", F.array(F.struct("fact_type_id", F.col("node").alias("from"), F.col("next").alias("to")))).alias("steps"))
-        fresh = reach.join(visited, ["model_id", "node"], "left_anti").groupBy("model_id", "node").agg(
+        fresh = reach.join(visited.read(), ["model_id", "node"], "left_anti").groupBy("model_id", "node").agg(
             F.min("place").alias("place"), F.min_by("steps", "place").alias("steps"))
         frontier = cut_lineage(fresh)
         if frontier.isEmpty():
             break
-        visited = visited.union(frontier.select("model_id", "node"))
+        visited.add(frontier.select("model_id", "node"))
         # a model that has its answer has no frontier left, so every meeting with an end is a first one
-        hit = frontier.join(wanted.withColumnRenamed("last", "node"), ["model_id", "node"]).select("model_id", "steps")
-        answers.append(hit)
-        # hits read checkpointed frontiers only, so this stays a cheap filter
-        open_ends = wanted.join(reduce(lambda a, b: a.union(b), [a.select("model_id") for a in answers]), "model_id", "left_anti")
-    found = reduce(lambda a, b: a.union(b), answers)
-    return ends.select("model_id").join(found, "model_id", "left").select(
+        answers.add(frontier.join(wanted, ["model_id", "node"]).select("model_id", "steps"))
+    return ends.select("model_id").join(answers.read(), "model_id", "left").select(
         "model_id", F.col("steps").isNotNull().alias("found"), F.size(F.coalesce("steps", no_steps)).alias("hops"), F.coalesce("steps", no_steps).alias("steps"))
 
 

@@ -54,6 +54,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class HopTable:
+    """A table that a loop adds to, in the shared folder: reading it is one scan, however many rounds have added."""
+
+    def __init__(self, first: DataFrame, name: str):
+        ensure_checkpoint_dir(first.sparkSession)
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.folder = f"{self.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.folder)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.folder)
+
+
 AT_ONCE = 8  # jobs submitted side by side
 
 
