@@ -54,6 +54,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys over all cores where its input has fewer partitions than there are cores, else as it is. For narrow
+    rows before dear work, such as the keys of texts that are then made or read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 class HopTable:
     """A table that a loop adds to, in the shared folder: reading it is one scan, however many rounds have added."""
 

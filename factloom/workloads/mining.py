@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, functions as F
 
 from factloom.operators import source_mining as B, sql_mining as R
-from factloom.plans.session import ensure_checkpoint_dir
+from factloom.plans.session import ensure_checkpoint_dir, spread
 from factloom.sources.corpus import read_source, read_sql
 from factloom.workloads.registry import Tables, query
 
@@ -22,8 +22,12 @@ _TEXT = r"""concat('-- order ', o_orderkey, '; with a break\nCREATE TABLE order_
 _PATH = "concat('db/', o_orderkey % 7, '/order_', o_orderkey, '.sql')"
 
 
+def orders(t: Tables):
+    return spread(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+
+
 def corpus(t: Tables):
-    return t.orders.select(F.expr(_PATH).alias("file_path"), F.concat(F.lit("order_"), "o_orderkey").alias("model"), (F.col("o_orderkey") % 7).cast("string").alias("project"), F.expr(_TEXT).alias("sql"))
+    return orders(t).select(F.expr(_PATH).alias("file_path"), F.concat(F.lit("order_"), "o_orderkey").alias("model"), (F.col("o_orderkey") % 7).cast("string").alias("project"), F.expr(_TEXT).alias("sql"))
 
 
 def statements(t: Tables):
@@ -113,7 +117,7 @@ _NESTED = r"""concat('SELECT a.x FROM t', o_orderkey, ' a WHERE a.x IN (SELECT b
 
 
 def nested(t: Tables, kind: str):
-    texts = t.orders.select(F.expr(_PATH).alias("file_path"), F.expr(_NESTED).alias("sql"))
+    texts = orders(t).select(F.expr(_PATH).alias("file_path"), F.expr(_NESTED).alias("sql"))
     return R.nested_patterns(R.split_statements(texts)).filter(F.col("kind") == kind)
 
 
@@ -227,8 +231,12 @@ _CODE = r"""concat('\nexport enum Color', p_partkey, ' { RED = 1, GREEN }\ninter
   ' {\n  @NotNull\n  @Size(min = 1, max = ', p_size, ')\n  private String code;\n  @Min(5)\n  public int count() {\n    switch (this.status) { case \'new\': break; case \'old\': break; case \'gone\': default: { } }\n  }\n}\nexport function validateItem', p_partkey, '(item: Item', p_partkey, '): boolean {\n  if (x) { return true; }\n}\nfunction other(a: B) { }\n')"""
 
 
+def parts(t: Tables):
+    return spread(t.part.select("p_partkey", "p_size"), "p_partkey")
+
+
 def files(t: Tables):
-    return t.part.select(F.expr(_REPO).alias("repo_id"), F.expr(_FILE).alias("path"), F.expr(_CODE).alias("content"))
+    return parts(t).select(F.expr(_REPO).alias("repo_id"), F.expr(_FILE).alias("path"), F.expr(_CODE).alias("content"))
 
 
 def each_part(columns: str, more: str = "") -> str:
