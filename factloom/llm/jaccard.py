@@ -139,7 +139,7 @@ def tiles(rows: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, like: Similarity) -> DataFrame:
-    """A row per row of docs: doc_id, key (doc_id, or a hash of the text), n, two set signatures, bitmap, and the hashes up to
+    """A row per row of docs: doc_id, key (a hash of id and text), n, two set signatures, bitmap, and the hashes up to
     `back` beyond the prefix."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
@@ -162,7 +162,8 @@ def sketches(docs: DataFrame, doc_id: str, text: str, like: Similarity) -> DataF
 
 
 def _key(doc_id: str, text: str):
-    return F.coalesce(F.col(doc_id).cast("long"), -F.abs(F.xxhash64(text)) - 1)
+    """Names a row's text; rows that share an id but not their text have keys of their own."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
 def ordered(rows: DataFrame, common: np.ndarray, like: Similarity) -> DataFrame:
@@ -301,9 +302,15 @@ def verified_links(dealt: DataFrame, like: Similarity) -> DataFrame:
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", like: Similarity = Similarity(), common: int = COMMON) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach).
 
-    Null, empty and blank texts have no shingles, link with nothing and are their own component. Equal sets are linked. Rows
-    that share an id count as one document. Rows without an id are linked like others, but name no component (null if none of
-    it has an id). Other columns take no part; an empty table gives an empty result."""
+    Null, empty and blank texts have no shingles, link with nothing and are their own component. Equal sets are linked. Each
+    row is a document of its own: texts are linked by what they hold, not by an id they share. Rows without an id are linked
+    like others, but name no component (null if none of it has an id). Other columns take no part; an empty table gives an
+    empty result."""
+    return _keyed_components(docs, doc_id, text, like, common).drop("key")
+
+
+def _keyed_components(docs: DataFrame, doc_id: str, text: str, like: Similarity, common: int = COMMON) -> DataFrame:
+    """The rows of :func:`similar_components`, with their keys."""
     rows = materialize(sketches(docs, doc_id, text, like), "sketches")
 
     # the order: shingles that many prefixes hold go later
@@ -361,11 +368,12 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         sets.select("n", "s1", "s2", "node", "least_id").join(named.join(names, "label").select("node", "component_id"), "node", "left")
         .select("n", "s1", "s2", F.coalesce("component_id", "least_id").alias("component_id")), "components")
     return rows.join(of_sets, ["n", "s1", "s2"], "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "key", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", like: Similarity = Similarity()) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id names their component. Rows without an id stay."""
-    found = similar_components(docs, doc_id, text, like)
-    dropped = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.alias("docs").join(dropped.alias("dropped"), F.col(f"docs.{doc_id}").cast("long") == F.col("dropped.doc_id"), "left_anti")
+    found = _keyed_components(docs, doc_id, text, like)
+    dropped = materialize(found.filter("doc_id <> component_id").select("doc_id", "key").distinct(), "near-copies")
+    same = (F.col(f"docs.{doc_id}").cast("long") == F.col("dropped.doc_id")) & (_key(f"docs.{doc_id}", f"docs.{text}") == F.col("dropped.key"))
+    return docs.alias("docs").join(dropped.alias("dropped"), same, "left_anti")

@@ -88,6 +88,18 @@ def test_jaccard(spark, words, percent):
     assert kept == {k for _, k in linked(texts, words, percent).values()}
 
 
+def test_jaccard_rows_that_share_an_id(spark):
+    """Each row is a document: an id that different texts share links none of them, and links of one text name no other."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, " ".join(a[:-1] + ["x"])), (2, " ".join(b)), (9, " ".join(b[:-1] + ["y"])), (9, ""), (8, "p q r"), (8, "s t u"),
+            (1, ""), (1, "v w"), (None, "v w"), (7, " ".join(f"c{i}" for i in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.similar_components(docs).filter("doc_id IS NOT NULL").collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 58, 2), (3, 58, 3), (5, 58, 2), (5, 58, 3), (7, 58, 7), (8, 1, 8), (8, 1, 8), (9, 0, 9), (9, 58, 2)]
+    kept = {(r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()}
+    assert kept == {rows[k] for k in (2, 3, 5, 6, 7, 8, 9, 10, 11)}
+
+
 def test_jaccard_tiles(spark, monkeypatch):
     """Large groups go through several tiles, and very common shingles do not decide the result."""
     monkeypatch.setattr(jaccard, "MAP_TILE", 16)
