@@ -7,6 +7,7 @@ not nested lists, so an element with very many fact types stays distributed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -114,24 +115,24 @@ def _hierarchy(cat: Catalog, name: str | None, transitive: bool, down: bool) ->
     pairs = _subtype_pairs(cat, down)
     reached = pairs.join(find_object(cat, name).select("model_id", "entity_id"), ["model_id", "entity_id"], "left_semi")
     if transitive:
-        reached = closure(pairs, reached).filter("entity_id <> object_type_id")
+        reached = closure(pairs, reached, lambda df: cat.store(df, "reached")).filter("entity_id <> object_type_id")
     return reached.join(cat.object_types.select("model_id", "object_type_id", "name"), ["model_id", "object_type_id"]).select(
         "model_id", "entity_id", "object_type_id", "name")
 
 
-def closure(pairs: DataFrame, start: DataFrame) -> DataFrame:
+def closure(pairs: DataFrame, start: DataFrame, store: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """All (model_id, entity_id, object_type_id) reached from ``start`` along ``pairs``.
 
     Frontier by frontier: each round joins only the newest pairs and drops those
-    already known, so the rounds end by themselves; each is checkpointed, so plans
-    do not grow.
+    already known, so the rounds end by themselves; each is stored, so a round is
+    not computed again.
     """
     columns = ["model_id", "entity_id", "object_type_id"]
     step = pairs.select("model_id", F.col("entity_id").alias("object_type_id"), F.col("object_type_id").alias("next"))
-    known = frontier = cut_lineage(start.select(*columns).distinct())
+    known = frontier = store(start.select(*columns).distinct())
     while not frontier.isEmpty():
         grown = frontier.join(step, ["model_id", "object_type_id"]).select("model_id", "entity_id", F.col("next").alias("object_type_id")).distinct()
-        frontier = cut_lineage(grown.join(known, columns, "left_anti"))
+        frontier = store(grown.join(known, columns, "left_anti"))
         known = known.union(frontier)
     return known
 
@@ -217,13 +218,13 @@ def shortest_paths(cat: Catalog, start: str, end: str) -> DataFrame:
     """
     ends = find_object(cat, start).select("model_id", F.col("entity_id").alias("first")).join(
         find_object(cat, end).select("model_id", F.col("entity_id").alias("last")), "model_id")
-    ends = cut_lineage(ends)
-    step = cut_lineage(hops(cat).join(ends.select("model_id"), "model_id", "left_semi"))
+    ends = cat.store(ends, "ends")
+    step = cat.store(hops(cat).join(ends.select("model_id"), "model_id", "left_semi"), "steps")
     no_steps = F.array().cast("array<struct<fact_type_id:string,from:string,to:string>>")
     frontier = ends.select("model_id", F.col("first").alias("node"), F.array().cast("array<bigint>").alias("place"), no_steps.alias("steps"))
     wanted = ends.filter("first <> last").select("model_id", F.col("last").alias("node"))
     # what is visited and what is answered are stored hop by hop and read as one table each, so no plan grows with the hops
-    visited, answers = HopTable(frontier.select("model_id", "node"), "visited"), HopTable(ends.filter("first = last").select("model_id", no_steps.alias("steps")), "answers")
+    visited, answers = HopTable(frontier.select("model_id", "node"), "visited", cat.buckets), HopTable(ends.filter("first = last").select("model_id", no_steps.alias("steps")), "answers", cat.buckets)
     while True:
         open_models = ends.select("model_id").join(answers.read().select("model_id"), "model_id", "left_anti")
         reach = frontier.join(open_models, "model_id", "left_semi").join(step, ["model_id", "node"]).select(
@@ -232,7 +233,7 @@ def shortest_paths(cat: Catalog, start: str, end: str) -> DataFrame:
             F.concat("steps", F.array(F.struct("fact_type_id", F.col("node").alias("from"), F.col("next").alias("to")))).alias("steps"))
         fresh = reach.join(visited.read(), ["model_id", "node"], "left_anti").groupBy("model_id", "node").agg(
             F.min("place").alias("place"), F.min_by("steps", "place").alias("steps"))
-        frontier = cut_lineage(fresh)
+        frontier = cat.store(fresh, "frontier")
         if frontier.isEmpty():
             break
         visited.add(frontier.select("model_id", "node"))
@@ -360,8 +361,9 @@ def neighbourhood(cat: Catalog, name: str, hops_: int) -> DataFrame:
     links = reduce(lambda a, b: a.union(b), [
         cat.roles.select("model_id", F.col("fact_type_id").alias("link"), F.lit("fact type").alias("section"), "player_id"),
         cat.subtype_facts.select("model_id", F.col("subtype_fact_id").alias("link"), F.lit("subtype").alias("section"), F.explode(F.array("subtype_id", "supertype_id")).alias("player_id")),
-    ]).distinct()
-    nodes = frontier = cut_lineage(find_object(cat, name).select("model_id", F.col("entity_id").alias("player_id")))
+    ])
+    links = cat.store(cat.dealt(links).distinct(), "links")
+    nodes = frontier = cat.store(find_object(cat, name).select("model_id", F.col("entity_id").alias("player_id")), "nodes")
     crossed = []
     for _ in range(hops_):
         if frontier.isEmpty():
@@ -369,7 +371,7 @@ def neighbourhood(cat: Catalog, name: str, hops_: int) -> DataFrame:
         used = frontier.join(links, ["model_id", "player_id"]).select("model_id", "section", "link").distinct()
         crossed.append(used)
         reached = used.join(links, ["model_id", "section", "link"]).select("model_id", "player_id").distinct()
-        frontier = cut_lineage(reached.join(nodes, ["model_id", "player_id"], "left_anti"))
+        frontier = cat.store(reached.join(nodes, ["model_id", "player_id"], "left_anti"), "nodes")
         nodes = nodes.union(frontier)
     found = nodes.select("model_id", F.lit("object type").alias("section"), F.col("player_id").alias("element_id"))
     for used in crossed:

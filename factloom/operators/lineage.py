@@ -43,14 +43,14 @@ def _constraint_name(kind: Column, fact_name: Column) -> Column:
     return label
 
 
-def _fact_sources(cat: Catalog, uses: DataFrame, values_only: bool = False) -> DataFrame:
+def _fact_sources(cat: Catalog, uses: DataFrame, values_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sources behind ``uses`` (model_id, artifact, fact_type_id): the fact types, their roles and players."""
     facts = uses.join(cat.fact_types.select(*KEY, "name"), KEY)
     roles = facts.select("model_id", "artifact", "fact_type_id").join(cat.roles.select(*KEY, "role_id", F.col("name").alias("role_name"), "player_id"), KEY)
     players = roles.join(cat.object_types.select("model_id", F.col("object_type_id").alias("player_id"), "kind", F.col("name").alias("player")), ["model_id", "player_id"])
     if values_only:
         players = players.filter("kind = 'value'")
-    return _union(
+    return (
         _source(facts, "artifact", "fact_type_id", F.lit("FactType"), F.col("name")),
         _source(roles, "artifact", "role_id", F.lit("Role"), F.col("role_name")),
         _source(players, "artifact", "player_id", _kind_name(F.col("kind")), F.col("player")),
@@ -68,13 +68,15 @@ def table_lineage(cat: Catalog, schema: Relational) -> DataFrame:
     referenced = fks.join(objects.select("model_id", F.col("artifact").alias("to_table_id"), "name"), ["model_id", "to_table_id"])
     enforced = fks.join(cat.constraints.select(*KEY, F.col("constraint_id").alias("source_id"), "type"), ["model_id", "source_id"]).join(cat.fact_types.select(*KEY, "name"), KEY)
     uses = by_role.union(enforced.select("model_id", "artifact", "fact_type_id")).distinct()
+    used_facts, used_roles, players = _fact_sources(cat, uses)
+    # sources of different types never equal each other
     return _union(
-        _source(tables.join(objects, ["model_id", "artifact"]).withColumn("id", F.col("artifact")), "artifact", "id", F.lit("EntityType"), F.col("name")),
-        _source(tables.join(facts, ["model_id", "artifact"]).withColumn("id", F.col("artifact")), "artifact", "id", F.lit("FactType"), F.col("name")),
-        _fact_sources(cat, uses),
-        _source(referenced, "artifact", "to_table_id", F.lit("EntityType"), F.col("name")),
-        _source(enforced, "artifact", "source_id", F.lit("Constraint"), _constraint_name(F.col("type"), F.col("name"))),
-    ).distinct()
+        _union(_source(tables.join(objects, ["model_id", "artifact"]).withColumn("id", F.col("artifact")), "artifact", "id", F.lit("EntityType"), F.col("name")),
+               players, _source(referenced, "artifact", "to_table_id", F.lit("EntityType"), F.col("name"))).distinct(),
+        _union(_source(tables.join(facts, ["model_id", "artifact"]).withColumn("id", F.col("artifact")), "artifact", "id", F.lit("FactType"), F.col("name")), used_facts).distinct(),
+        used_roles.distinct(),
+        _source(enforced, "artifact", "source_id", F.lit("Constraint"), _constraint_name(F.col("type"), F.col("name"))).distinct(),
+    )
 
 
 def entity_lineage(cat: Catalog) -> DataFrame:
@@ -86,12 +88,14 @@ def entity_lineage(cat: Catalog) -> DataFrame:
         F.struct(F.col("subtype_id").alias("artifact"), F.col("supertype_id").alias("other")), F.struct(F.col("supertype_id").alias("artifact"), F.col("subtype_id").alias("other")))))
     related = links.join(entities.select("model_id", "artifact"), ["model_id", "artifact"], "left_semi").join(
         cat.object_types.select("model_id", F.col("object_type_id").alias("other"), "name"), ["model_id", "other"])
+    used_facts, used_roles, values = _fact_sources(cat, uses, values_only=True)
+    # sources of different types never equal each other
     return _union(
-        _source(entities.withColumn("id", F.col("artifact")), "artifact", "id", F.lit("EntityType"), F.col("name")),
-        _fact_sources(cat, uses, values_only=True),
-        _source(constraints, "artifact", "constraint_id", F.lit("Constraint"), _constraint_name(F.col("type"), F.col("name"))),
-        _source(related, "artifact", "other", F.lit("EntityType"), F.col("name")),
-    ).distinct()
+        _union(_source(entities.withColumn("id", F.col("artifact")), "artifact", "id", F.lit("EntityType"), F.col("name")),
+               _source(related, "artifact", "other", F.lit("EntityType"), F.col("name"))).distinct(),
+        used_facts.distinct(), used_roles.distinct(), values.distinct(),
+        _source(constraints, "artifact", "constraint_id", F.lit("Constraint"), _constraint_name(F.col("type"), F.col("name"))).distinct(),
+    )
 
 
 def impact(exports: DataFrame, sources: DataFrame, changed: DataFrame) -> DataFrame:
