@@ -12,8 +12,9 @@ def components(edges: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
 
     Each round takes the least label among the neighbours, then the label of that label. Every round is stored in the shared
     folder; the number of rounds follows from the data."""
-    there = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    graph = materialize(there.union(there.select("other", "node")).distinct(), "graph")
+    there, back = F.struct(F.col(a).alias("node"), F.col(b).alias("other")), F.struct(F.col(b).alias("node"), F.col(a).alias("other"))
+    # both directions from one row: a union would compute the edges twice
+    graph = materialize(edges.select(F.inline(F.array(there, back))).distinct(), "graph")
     labels = materialize(graph.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
         near = graph.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))

@@ -97,10 +97,10 @@ def _fold(value: bytes, size: int) -> np.ndarray:
 
 
 class Links:
-    """Union of numbered members; keeps the pairs that joined two sets."""
+    """Union of numbered members."""
 
     def __init__(self, count: int):
-        self.parent, self.made = list(range(count)), []
+        self.parent = list(range(count))
 
     def root(self, k: int) -> int:
         while self.parent[k] != k:
@@ -112,15 +112,17 @@ class Links:
         x, y = self.root(a), self.root(b)
         if x != y:
             self.parent[max(x, y)] = min(x, y)
-            self.made.append((a, b))
 
-
-def _pairs_schema() -> pa.Schema:
-    return pa.schema([("x", pa.int64()), ("y", pa.int64())])
-
-
-def _as_pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=_pairs_schema())
+    def stars(self, nodes: np.ndarray) -> pa.RecordBatch:
+        """Pairs (x, y) of each member's least fellow node and its own: whatever is joined is two steps apart at most."""
+        roots = np.array([self.root(k) for k in range(len(nodes))], np.int64)
+        centres = np.lexsort((nodes, roots))
+        centres = centres[np.concatenate([[True], np.diff(roots[centres]) > 0])]
+        centre = np.empty(len(nodes), np.int64)
+        centre[roots[centres]] = centres
+        outer = np.flatnonzero(centre[roots] != np.arange(len(nodes)))
+        pairs = nodes[centre[roots[outer]]], nodes[outer]
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in pairs], names=["x", "y"])
 
 
 def tiles(rows: DataFrame, key: str, size: int) -> DataFrame:
@@ -194,7 +196,7 @@ def ordered(rows: DataFrame, common: np.ndarray, like: Similarity) -> DataFrame:
 
 
 def presumed_in_tiles(rows: DataFrame, like: Similarity) -> DataFrame:
-    """rows (key, node, n, bitmap) -> pairs (x, y) of nodes of a key whose bitmaps allow a link, as few as connect them."""
+    """rows (key, node, n, bitmap) -> pairs (x, y) of nodes that links which their bitmaps allow connect within a cell, as few as connect them."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in cells(batches):
             n = table.column("n").to_numpy().astype(np.int64)
@@ -215,7 +217,7 @@ def presumed_in_tiles(rows: DataFrame, like: Similarity) -> DataFrame:
                     both = n[k] + n[k + 1:end]
                     for other in np.flatnonzero(differ <= both - 2 * like.overlap(n[k], n[k + 1:end])).tolist():
                         links.join(k, k + 1 + other)
-            yield _as_pairs([(int(nodes[a]), int(nodes[b])) for a, b in links.made])
+            yield links.stars(nodes)
 
     return by_cell(tiles(rows, "key", MAP_TILE), "node", "n", "bitmap").mapInArrow(compare, "x long, y long")
 
@@ -237,7 +239,7 @@ def presumed_pairs(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataF
 
 
 def linked_members(texts: DataFrame, like: Similarity) -> DataFrame:
-    """texts (key, node, text): linked pairs (x, y) within each key, enough to connect whatever links connect.
+    """texts (key, node, text): pairs (x, y) within each key that links connect, enough to connect whatever links connect.
 
     Keys of up to two tiles are compared whole. In larger ones every member first meets a few members chosen by hash, the
     representatives, and the others of its tile: in a group of near copies that links all, for one copy of each text.
@@ -246,33 +248,35 @@ def linked_members(texts: DataFrame, like: Similarity) -> DataFrame:
     sizes = materialize(texts.groupBy("key").agg(
         F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(REPRESENTATIVES)])).alias("chosen"),
     ).filter(F.col("members") > 2 * TEXT_TILE).withColumn("parts", F.ceil(F.col("members") / TEXT_TILE).cast("int")), "large-components")
-    small = verified_links(tiles(texts.join(sizes.select("key"), "key", "left_anti"), "key", TEXT_TILE), like)
+    small = tiles(texts.join(sizes.select("key"), "key", "left_anti"), "key", TEXT_TILE).select("cell", "node", "text")
     if sizes.isEmpty():
-        return small
+        return verified_links(small, like)
     large = materialize(texts.join(sizes.select("key", "parts"), "key"), "large-bodies")
     chosen = sizes.select("key", F.explode("chosen").alias("node")).join(large, ["key", "node"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = large.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).unionByName(chosen.withColumn("part", every("parts")))
-    first = materialize(verified_links(dealt.withColumn("cell", F.xxhash64("key", "part")), like), "first-links")
+    first = verified_links(dealt.withColumn("cell", F.xxhash64("key", "part")), like)
 
     classed = large.select("key", "node").join(components(first).withColumnRenamed("label", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     classes = materialize(classed, "classes")
+    met = classes.filter("class <> node").select(F.col("class").alias("x"), F.col("node").alias("y"))
     counts = classes.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.max("n").alias("most"))
     main = materialize(main.filter("classes > 1").select("key", "main", *[F.ceil(F.col(c) / TEXT_TILE).cast("int").alias(f"{c}_parts") for c in ("others", "most")]), "mixed-components")
     if main.isEmpty():
-        return small.unionByName(first)
+        return verified_links(small, like).unionByName(met)
     mixed = large.drop("parts").join(classes, ["key", "node"]).join(main, "key").withColumn("in_main", F.col("class") == F.col("main"))
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(2)), F.col(n)).cast("int")
     inside = mixed.filter("in_main").withColumn("b", own("most_parts")).withColumn("s", every("others_parts"))
     outside = mixed.filter("NOT in_main").withColumn("s", own("others_parts")).withColumn("b", every("most_parts"))
     across = inside.unionByName(outside).withColumn("cell", F.xxhash64("key", "s", "b", F.lit("across")))
     apart = tiles(mixed.filter("NOT in_main").select("key", "node", "text"), "key", TEXT_TILE)
-    return small.unionByName(first).unionByName(verified_links(across, like)).unionByName(verified_links(apart, like))
+    rest = [df.select("cell", "node", "text") for df in (across, apart)]
+    return verified_links(small.unionByName(rest[0]).unionByName(rest[1]), like).unionByName(met)
 
 
 def verified_links(dealt: DataFrame, like: Similarity) -> DataFrame:
-    """dealt (cell, node, text): whole sets are compared within each cell -> linked pairs (x, y), as few as connect them."""
+    """dealt (cell, node, text): whole sets are compared within each cell -> pairs (x, y) that links connect, as few as connect them."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in cells(batches):
             nodes = table.column("node").to_numpy()
@@ -294,7 +298,7 @@ def verified_links(dealt: DataFrame, like: Similarity) -> DataFrame:
                 for other in np.flatnonzero(100 * both >= like.percent * (size + size[k] - both)).tolist():
                     if other > k:
                         links.join(k, other)
-            yield _as_pairs([(int(nodes[a]), int(nodes[b])) for a, b in links.made])
+            yield links.stars(nodes)
 
     return by_cell(dealt, "node", "text").mapInArrow(compare, "x long, y long")
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -432,3 +434,24 @@ def test_pipeline(spark, tmp_path):
     assert max(tokens.values()) <= 1024
     assert sorted((r.doc_id, r.piece, r.length) for r in corpus_pipeline.run(spark, FOLDER).collect()) == sorted(
         (r.doc_id, r.piece, r.length) for r in corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect())
+
+
+def test_edges_are_computed_once(spark, tmp_path):
+    def edge(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                (tmp_path / uuid.uuid4().hex).write_text(str(k))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0)], names=["x", "y"])
+
+    found = components.components(spark.range(5, numPartitions=1).mapInArrow(edge, "x long, y long")).collect()
+    assert sorted((r.node, r.label) for r in found) == [(k, k) for k in range(5)]
+    assert len(list(tmp_path.iterdir())) == 5
+
+
+def test_links_of_a_cell_are_stars_around_the_least_node(spark):
+    words = [f"w{k}" for k in range(200)]
+    chain = [" ".join(words[:k] + [f"x{j}" for j in range(k)] + words[k:]) for k in range(0, 40, 4)]  # neighbours are linked, ends are not
+    rows = [(cell, 100 * cell + 50 - k, text) for cell in (1, 2) for k, text in enumerate(chain)]
+    assert max(linked(dict(enumerate(chain)))[k][1] for k in range(len(chain))) == 0
+    pairs = [tuple(r) for r in jaccard.verified_links(spark.createDataFrame(rows, "cell long, node long, text string"), jaccard.Similarity()).collect()]
+    assert sorted(pairs) == sorted((100 * cell + 41, 100 * cell + n) for cell in (1, 2) for n in range(42, 51))
